@@ -83,36 +83,50 @@ def skew_kurt_exprs(x, over=None, rolling: bool = False) -> tuple[Column, Column
     return skew, kurt
 
 
-def dagostino_k2(n: Column, g1: Column, g2: Column) -> tuple[Column, Column, Column, Column]:
-    """D'Agostino-Pearson omnibus test from n, population g1 and excess g2.
+def dagostino_k2(df, n: str, g1: str, g2: str, prefix: str = "_k"):
+    """D'Agostino-Pearson omnibus test columns from n, population g1 and excess g2.
 
-    Returns (z_skew, z_kurt, k2, p).  Closed form (D'Agostino 1970; Anscombe &
-    Glynn 1983); the chi-square tail with 2 degrees of freedom is exp(-k2/2).
-    NULL below 8 observations.
+    Adds ``z_skew``, ``z_kurt``, ``normaltest_stat`` and ``normaltest_p``.
+    Closed form (D'Agostino 1970; Anscombe & Glynn 1983); the chi-square
+    tail with 2 degrees of freedom is exp(-k2/2).  NULL below 8 observations.
+    Built in stages so each intermediate is computed once.
     """
-    b2 = g2 + 3.0
-    y0 = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    y = F.when(y0 == 0, F.lit(1.0)).otherwise(y0)
-    beta2 = (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
-             / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))
-    w2 = -1.0 + F.sqrt(2.0 * (beta2 - 1))
-    delta = 1.0 / F.sqrt(0.5 * F.ln(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1))
-    ya = y / alpha
-    zs = delta * F.ln(ya + F.sqrt(ya * ya + 1))
-
-    e = 3.0 * (n - 1) / (n + 1)
-    v = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (b2 - e) / F.sqrt(v)
-    b = (6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-         * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
-    a = 6.0 + 8.0 / b * (2.0 / b + F.sqrt(1 + 4.0 / (b * b)))
-    d = 1 + x * F.sqrt(2.0 / (a - 4.0))
-    term = F.signum(d) * F.pow(F.abs((1 - 2.0 / a) / d), F.lit(1.0 / 3.0))
-    zk = (1 - 2.0 / (9.0 * a) - term) / F.sqrt(2.0 / (9.0 * a))
-    k2 = zs * zs + zk * zk
-    p = F.exp(-k2 / 2.0)
-    small = n < 8
+    p = prefix
+    N = F.col(n).cast("double")
+    c = lambda name: F.col(f"{p}_{name}")
+    s1 = df.select(
+        "*",
+        (F.col(g1) * F.sqrt((N + 1) * (N + 3) / (6.0 * (N - 2)))).alias(f"{p}_y0"),
+        (3.0 * (N * N + 27 * N - 70) * (N + 1) * (N + 3)
+         / ((N - 2) * (N + 5) * (N + 7) * (N + 9))).alias(f"{p}_beta2"),
+        ((F.col(g2) + 3.0 - 3.0 * (N - 1) / (N + 1))
+         / F.sqrt(24.0 * N * (N - 2) * (N - 3) / ((N + 1) * (N + 1) * (N + 3) * (N + 5)))).alias(f"{p}_x"),
+        (6.0 * (N * N - 5 * N + 2) / ((N + 7) * (N + 9))
+         * F.sqrt(6.0 * (N + 3) * (N + 5) / (N * (N - 2) * (N - 3)))).alias(f"{p}_b"))
+    s2 = s1.select(
+        "*",
+        F.when(c("y0") == 0, F.lit(1.0)).otherwise(c("y0")).alias(f"{p}_y"),
+        (-1.0 + F.sqrt(2.0 * (c("beta2") - 1))).alias(f"{p}_w2"),
+        (6.0 + 8.0 / c("b") * (2.0 / c("b") + F.sqrt(1 + 4.0 / (c("b") * c("b"))))).alias(f"{p}_a"))
+    s3 = s2.select(
+        "*",
+        (1.0 / F.sqrt(0.5 * F.ln(c("w2")))).alias(f"{p}_delta"),
+        F.sqrt(2.0 / (c("w2") - 1)).alias(f"{p}_alpha"),
+        (1 + c("x") * F.sqrt(2.0 / (c("a") - 4.0))).alias(f"{p}_d"))
+    s4 = s3.select(
+        "*",
+        (c("delta") * F.asinh(c("y") / c("alpha"))).alias(f"{p}_zs"),
+        ((1 - 2.0 / (9.0 * c("a"))
+          - F.signum(c("d")) * F.pow(F.abs((1 - 2.0 / c("a")) / c("d")), F.lit(1.0 / 3.0)))
+         / F.sqrt(2.0 / (9.0 * c("a")))).alias(f"{p}_zk"))
+    small = N < 8
     null = F.lit(None).cast("double")
-    return (F.when(small, null).otherwise(zs), F.when(small, null).otherwise(zk),
-            F.when(small, null).otherwise(k2), F.when(small, null).otherwise(p))
+    k2 = c("zs") * c("zs") + c("zk") * c("zk")
+    out = s4.select(
+        "*",
+        F.when(small, null).otherwise(c("zs")).alias("z_skew"),
+        F.when(small, null).otherwise(c("zk")).alias("z_kurt"),
+        F.when(small, null).otherwise(k2).alias("normaltest_stat"),
+        F.when(small, null).otherwise(F.exp(-k2 / 2.0)).alias("normaltest_p"))
+    return out.drop(*[f"{p}_{k}" for k in ("y0", "beta2", "x", "b", "y", "w2", "a", "delta", "alpha", "d",
+                                           "zs", "zk")])

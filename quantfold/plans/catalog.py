@@ -30,24 +30,28 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None, ops: tuple[str, ...] = ()):
+def register(name: str, sql: str | None, ops: tuple[str, ...] = (), digits: dict[str, int] | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_required_conf(spark)
-            return finalize(fn(spark, sf_dir))
+            return finalize(fn(spark, sf_dir), overrides=digits)
         run.__name__ = fn.__name__
         REGISTRY[name] = Query(name, run, sql, ops)
         return fn
     return deco
 
 
-def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Normalise output types for comparison: doubles rounded, ints widened."""
+def finalize(df: DataFrame, digits: int = 6, overrides: dict[str, int] | None = None) -> DataFrame:
+    """Normalise output types for comparison: doubles rounded, ints widened.
+
+    ``overrides`` gives fewer decimals to large-magnitude columns whose last
+    digit depends on summation order (the oracle rounds them the same way).
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double"), (overrides or {}).get(f.name, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
