@@ -20,8 +20,8 @@ def iso_to_local_midnight(c, tz: str = NEW_YORK) -> Column:
 def parse_us_datetime(c, strict: bool = True) -> Column:
     """``m/d/Y, h:mm AM`` after a leading word (``Published 01/02/2020, 3:04 PM``)."""
     txt = drop_first_word(c)
-    fmt = F.lit("M/d/yyyy, h:mm a")
-    ts = F.to_timestamp(txt, fmt) if strict else F.try_to_timestamp(txt, fmt)
+    fmt = "M/d/yyyy, h:mm a"
+    ts = F.to_timestamp(txt, fmt) if strict else F.try_to_timestamp(txt, F.lit(fmt))
     return F.date_trunc("day", ts)
 
 

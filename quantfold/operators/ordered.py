@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 
 def order_number(df: DataFrame, order: str) -> Column:
     """The order column as a number (microseconds for timestamps, days for dates)."""
@@ -44,7 +46,7 @@ def bucketize(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int |
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = n * fine_per_bucket
     t = order_number(df, order).cast("double")
-    rng = df.agg(F.min(t).alias("_mn"), F.max(t).alias("_mx"))
+    rng = materialize(df.agg(F.min(t).alias("_mn"), F.max(t).alias("_mx")))
     with_cell = df.crossJoin(F.broadcast(rng)).withColumn(
         "_cell", F.least(F.floor((t - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + 1.0) * cells),
                          F.lit(cells - 1)).cast("int")).drop("_mn", "_mx")
@@ -54,6 +56,7 @@ def bucketize(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int |
                                                     F.lit(0)))
             .withColumn("_total", F.sum("_c").over(Window.partitionBy()))
             .select("_cell", F.floor(F.col("_before") * n / F.col("_total")).cast("int").alias("_bk")))
+    cmap = materialize(cmap)  # at most buckets * fine_per_bucket rows
     return with_cell.join(F.broadcast(cmap), "_cell").drop("_cell")
 
 

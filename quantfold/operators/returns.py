@@ -21,42 +21,43 @@ def complete_cases(long: DataFrame, date: str = "date", key: str = "ccy",
                    values: Sequence[str] = ("value",), n_series: int | None = None) -> DataFrame:
     """Keep only dates on which every series has non-NULL ``values``.
 
-    This is the long-form equivalent of an outer join of all series on the
-    date followed by dropping any row with a missing value.  The expected
-    number of series is ``n_series`` or, when not given, the number of
-    distinct series in the frame (a one-row aggregate joined by broadcast).
+    The long-form equivalent of an outer join of all series on the date
+    followed by dropping rows with a missing value.  Rows are unique per
+    (date, series).  With ``n_series`` given the test is a window count per
+    date (partition = one date, bounded by the number of series); otherwise
+    the expected count is the number of distinct series (a one-row
+    aggregate, broadcast).
     """
     ok = F.lit(True)
     for v in values:
         ok = ok & F.col(v).isNotNull()
-    per_date = (long.where(ok).groupBy(date)
-                .agg(F.countDistinct(key).alias("_n")))
-    if n_series is None:
-        total = long.agg(F.countDistinct(key).alias("_total"))
-        per_date = per_date.crossJoin(F.broadcast(total)).where(F.col("_n") == F.col("_total"))
-    else:
-        per_date = per_date.where(F.col("_n") == F.lit(n_series))
-    return long.join(per_date.select(date), on=date, how="left_semi")
+    counted = long.withColumn("_n_ok", F.count(F.when(ok, F.lit(1))).over(Window.partitionBy(date)))
+    if n_series is not None:
+        return counted.where(F.col("_n_ok") == F.lit(n_series)).drop("_n_ok")
+    total = long.agg(F.countDistinct(key).alias("_total"))
+    return (counted.crossJoin(F.broadcast(total)).where(F.col("_n_ok") == F.col("_total"))
+            .drop("_n_ok", "_total"))
 
 
 def log_returns(long: DataFrame, date: str = "date", key: str = "ccy", value: str = "value",
-                out: str = "ret", complete: bool = True) -> DataFrame:
+                out: str = "ret", complete: bool = True, n_series: int | None = None) -> DataFrame:
     """``ln(v_t / v_{t-1})`` per series over consecutive (complete-case) dates.
 
     With ``complete=True`` the input is first restricted to complete-case
     dates (as the reference drops incomplete dates before shifting) and dates
     whose return is missing for any series are dropped afterwards.
     """
-    src = complete_cases(long, date, key, (value,)) if complete else long
+    src = complete_cases(long, date, key, (value,), n_series) if complete else long
     w = Window.partitionBy(key).orderBy(date)
     prev = F.lag(value).over(w)
     res = src.withColumn(out, safe_ln(F.try_divide(F.col(value), prev)))
-    res = res.where(F.col(out).isNotNull()) if not complete else complete_cases(res, date, key, (out,))
+    res = res.where(F.col(out).isNotNull()) if not complete else complete_cases(res, date, key, (out,), n_series)
     return res
 
 
 def horizon_sums(long: DataFrame, date: str = "date", key: str = "ccy", ret: str = "ret",
-                 n: int = 5, future: str = "future", past: str = "past") -> DataFrame:
+                 n: int = 5, future: str = "future", past: str = "past",
+                 n_series: int | None = None) -> DataFrame:
     """Sum of the next ``n`` returns (t+1..t+n) and the previous ``n`` (t-n..t-1).
 
     Only full windows count; dates where either side is missing for any
@@ -67,7 +68,7 @@ def horizon_sums(long: DataFrame, date: str = "date", key: str = "ccy", ret: str
     res = (long
            .withColumn(future, F.when(F.count(ret).over(fw) == n, F.sum(ret).over(fw)))
            .withColumn(past, F.when(F.count(ret).over(pw) == n, F.sum(ret).over(pw))))
-    return complete_cases(res, date, key, (future, past))
+    return complete_cases(res, date, key, (future, past), n_series)
 
 
 def rank_label(value: str, date: str, order_col: str, top: int = 3, bottom_from: int = 7):
@@ -130,6 +131,7 @@ def label_table(long_rates: DataFrame, date: str = "date", key: str = "ccy", val
             long_rates.select(key).distinct().withColumn("ccy_ord", order), on=key)
     else:
         ordered = long_rates.withColumn("ccy_ord", series_order(codes, key))
-    rets = log_returns(ordered, date, key, value)
-    sums = horizon_sums(rets, date, key, "ret", n)
+    k = len(codes) if codes is not None else None
+    rets = log_returns(ordered, date, key, value, n_series=k)
+    sums = horizon_sums(rets, date, key, "ret", n, n_series=k)
     return rank_labels(sums, date, key, "ccy_ord", ("future", "past"), top, bottom_from)

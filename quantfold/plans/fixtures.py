@@ -59,7 +59,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "source", F.col("doc_id").alias("ordinal"), "doc_id",
         F.substring("text", 1, 40).alias("Title"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp")
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("Date"),
         F.col("text").alias("Full Text"),
         F.concat("source", F.col("doc_id").cast("string")).alias("URL"))

@@ -71,3 +71,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A location for a written stage table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stages/{name}"
+
+
+def materialize(df):
+    """Cut lineage of a small intermediate (a key map, a per-date table) with a
+    reliable checkpoint into ``spark.checkpoint.dir``; later plans read it as
+    a leaf instead of re-planning and re-running its subtree."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
