@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_fx", "q_ts", "q_news")
+_MODULES = ("q_fx", "q_ts", "q_news", "q_panel")
 
 
 def all_queries():

@@ -89,7 +89,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``gvkey = o_custkey``, ``datadate = Dec 31 of the order year``; measures
     come from sum / count / min / max / avg of ``o_totalprice``; optional
-    inputs get deterministic NULL patterns so the fill rules matter.
+    inputs get deterministic NULL patterns so the fill rules matter.  Divisors
+    are primes so derived values never end exactly on a rounding digit.
     """
     o = table(spark, sf_dir, "orders")
     g = (o.groupBy(F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("fyear"))
@@ -107,22 +108,22 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cols = {
         "gvkey": k, "datadate": F.make_date(y, F.lit(12), F.lit(31)),
-        "at": s / 1000.0, "sale": hi / 100.0, "ib": (mu - lo) / 1000.0 - 50.0,
+        "at": s / 997.0, "sale": hi / 97.0, "ib": (mu - lo) / 997.0 - 50.0,
         "csho": F.when(k % 17 == 0, F.lit(0.0)).otherwise(n.cast("double")),
         "SecurityType": F.when(k % 13 == 0, "PREF").otherwise("EQTY"),
         "SecuritySubType": F.lit("COM"),
         "PrimaryExch": F.element_at(F.array(*[F.lit(x) for x in "NAQX"]), (k % 4 + 1).cast("int")),
         "sic": F.when(k % 11 == 0, F.lit(None).cast("int")).otherwise(((k * 37) % 10000).cast("int")),
-        "MthPrc": F.when(k % 19 == 0, F.lit(0.5)).otherwise(mu / 10000.0),
-        "ivaeq": maybe(lo / 5000.0, 3), "ivao": maybe(hi / 9000.0, 4),
-        "act": maybe(s / 3000.0, 5), "che": maybe(lo / 700.0, 6), "lct": maybe(hi / 800.0, 7),
-        "dlc": maybe(mu / 2000.0, 8), "txp": maybe(n.cast("double"), 9), "dp": maybe(lo / 1500.0, 10),
-        "oancf": F.when((k + y) % 4 == 0, F.lit(0.0)).otherwise(maybe(f / 1000.0, 5, 1)),
-        "xidoc": maybe(mu / 10000.0, 6, 2),
+        "MthPrc": F.when(k % 19 == 0, F.lit(0.5)).otherwise(mu / 9973.0),
+        "ivaeq": maybe(lo / 4999.0, 3), "ivao": maybe(hi / 8999.0, 4),
+        "act": maybe(s / 2999.0, 5), "che": maybe(lo / 701.0, 6), "lct": maybe(hi / 797.0, 7),
+        "dlc": maybe(mu / 1999.0, 8), "txp": maybe(n.cast("double"), 9), "dp": maybe(lo / 1499.0, 10),
+        "oancf": F.when((k + y) % 4 == 0, F.lit(0.0)).otherwise(maybe(f / 997.0, 5, 1)),
+        "xidoc": maybe(mu / 9973.0, 6, 2),
     }
     extra = ["cogs", "xsga", "xint", "nopi", "txt", "xad", "xrd", "spi", "xido", "dvc", "lt",
              "ceq", "invt", "rect", "ppent", "intan", "ap", "dltt", "re"]
     for i, name in enumerate(extra):
         base = [s, hi, lo, mu][i % 4]
-        cols[name] = maybe(base / (100.0 * (i + 1)) - F.col("urgent"), 7 + i % 5, i % 3)
+        cols[name] = maybe(base / (97.0 * (i + 1)) - F.col("urgent"), 7 + i % 5, i % 3)
     return g.select(*[e.alias(c) for c, e in cols.items()])

@@ -34,26 +34,27 @@ def _maybe(expr: str, mod: int, rem: int = 0) -> str:
 def _panel_sql() -> str:
     cols = {
         "gvkey": "gvkey", "datadate": "make_date(CAST(fyear AS BIGINT), 12, 31)",
-        "at": "s / 1000.0", "sale": "hi / 100.0", "ib": "(mu - lo) / 1000.0 - 50.0",
+        "at": "s / 997.0", "sale": "hi / 97.0", "ib": "(mu - lo) / 997.0 - 50.0",
         "csho": "CASE WHEN gvkey % 17 = 0 THEN 0.0 ELSE CAST(n AS DOUBLE) END",
         '"SecurityType"': "CASE WHEN gvkey % 13 = 0 THEN 'PREF' ELSE 'EQTY' END",
         '"SecuritySubType"': "'COM'",
         '"PrimaryExch"': "['N', 'A', 'Q', 'X'][CAST(gvkey % 4 + 1 AS INTEGER)]",
         "sic": "CASE WHEN gvkey % 11 = 0 THEN NULL ELSE CAST((gvkey * 37) % 10000 AS INTEGER) END",
-        '"MthPrc"': "CASE WHEN gvkey % 19 = 0 THEN 0.5 ELSE mu / 10000.0 END",
-        "ivaeq": _maybe("lo / 5000.0", 3), "ivao": _maybe("hi / 9000.0", 4),
-        "act": _maybe("s / 3000.0", 5), "che": _maybe("lo / 700.0", 6), "lct": _maybe("hi / 800.0", 7),
-        "dlc": _maybe("mu / 2000.0", 8), "txp": _maybe("CAST(n AS DOUBLE)", 9),
-        "dp": _maybe("lo / 1500.0", 10),
-        "oancf": f"CASE WHEN (gvkey + fyear) % 4 = 0 THEN 0.0 ELSE {_maybe('f / 1000.0', 5, 1)} END",
-        "xidoc": _maybe("mu / 10000.0", 6, 2),
+        '"MthPrc"': "CASE WHEN gvkey % 19 = 0 THEN 0.5 ELSE mu / 9973.0 END",
+        "ivaeq": _maybe("lo / 4999.0", 3), "ivao": _maybe("hi / 8999.0", 4),
+        "act": _maybe("s / 2999.0", 5), "che": _maybe("lo / 701.0", 6), "lct": _maybe("hi / 797.0", 7),
+        "dlc": _maybe("mu / 1999.0", 8), "txp": _maybe("CAST(n AS DOUBLE)", 9),
+        "dp": _maybe("lo / 1499.0", 10),
+        "oancf": f"CASE WHEN (gvkey + fyear) % 4 = 0 THEN 0.0 ELSE {_maybe('f / 997.0', 5, 1)} END",
+        "xidoc": _maybe("mu / 9973.0", 6, 2),
     }
     extra = ["cogs", "xsga", "xint", "nopi", "txt", "xad", "xrd", "spi", "xido", "dvc", "lt",
              "ceq", "invt", "rect", "ppent", "intan", "ap", "dltt", "re"]
     for i, name in enumerate(extra):
         base = ["s", "hi", "lo", "mu"][i % 4]
-        cols[name] = _maybe(f"{base} / {100.0 * (i + 1)!r} - urgent", 7 + i % 5, i % 3)
-    select = ",\n       ".join(f"{e} AS {c}" for c, e in cols.items())
+        cols[name] = _maybe(f"{base} / {97.0 * (i + 1)!r} - urgent", 7 + i % 5, i % 3)
+    select = ",\n       ".join(f"{e} AS {c if c.startswith(chr(34)) else chr(34) + c + chr(34)}"
+                                 for c, e in cols.items())
     return f"""
 SELECT {select}
 FROM (SELECT o_custkey AS gvkey, year(o_orderdate) AS fyear, sum(o_totalprice) AS s,

@@ -22,6 +22,10 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide frames (60 derived features, a NOT NULL filter over every column)
+    # make constraint inference grow combinatorially in the optimizer; the
+    # filters it would infer are already explicit in our plans.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
