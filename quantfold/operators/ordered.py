@@ -78,9 +78,11 @@ def carry(df: DataFrame, order: str, value: str, by: Sequence[str] = (), directi
     op = f"_{direction}_p"
     b = df if "_bk" in df.columns else bucketize(df, order, by, buckets)
     inner = Window.partitionBy("_bk", *by).orderBy(order)
-    frame = (inner.rowsBetween(Window.unboundedPreceding, 0) if fwd
-             else inner.rowsBetween(0, Window.unboundedFollowing))
-    pick = F.last if fwd else F.first
+    # Backward = forward over descending order: a running frame is linear,
+    # an UNBOUNDED FOLLOWING frame is re-aggregated for every row.
+    frame = (inner if fwd else Window.partitionBy("_bk", *by).orderBy(F.col(order).desc())) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.last
     marker = F.struct(F.col(order).alias("t"), F.col(value).alias("v"),
                       *( [F.col("_lpos").alias("p")] if position else []))
     marked = F.when(F.col(value).isNotNull(), marker)
@@ -95,8 +97,8 @@ def carry(df: DataFrame, order: str, value: str, by: Sequence[str] = (), directi
         summ_aggs.append(F.count(F.lit(1)).alias("_cnt"))
     summ = b.groupBy("_bk", *by).agg(*summ_aggs)
     sw = Window.partitionBy(*by).orderBy("_bk")
-    sframe = (sw.rowsBetween(Window.unboundedPreceding, -1) if fwd
-              else sw.rowsBetween(1, Window.unboundedFollowing))
+    sframe = (sw if fwd else Window.partitionBy(*by).orderBy(F.col("_bk").desc())) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     if position:
         summ = summ.withColumn(
             "_off", F.coalesce(F.sum("_cnt").over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -68,8 +68,10 @@ def rolling_stats(df: DataFrame, window: str, time: str = "time", cols: Sequence
         exprs = {}
         if "mean" in stats:
             exprs["mean"] = F.avg(x).over(win)
+        # One percentile aggregate per window for all three quartiles.
+        qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(win)
         if "median" in stats:
-            exprs["median"] = F.percentile(x, 0.5).over(win)
+            exprs["median"] = qs[1]
         if "std" in stats:
             exprs["std"] = F.stddev_samp(x).over(win)
         if "var" in stats:
@@ -81,7 +83,7 @@ def rolling_stats(df: DataFrame, window: str, time: str = "time", cols: Sequence
             exprs["max"] = mx
         if "range" in stats:
             exprs["range"] = mx - mn
-        q1, q3 = F.percentile(x, 0.25).over(win), F.percentile(x, 0.75).over(win)
+        q1, q3 = qs[0], qs[2]
         if "q1" in stats:
             exprs["q1"] = q1
         if "q3" in stats:
