@@ -67,6 +67,14 @@ def word_count(c) -> Column:
     return F.size(F.filter(parts, lambda w: w != F.lit(""))).cast("bigint")
 
 
+def has_min_words(c, n: int) -> Column:
+    """``word_count(c) >= n`` without splitting the whole text: an anchored regex
+    that stops after the n-th word.  NULL text gives NULL (filtered out)."""
+    if n <= 0:
+        return col_(c).isNotNull()
+    return col_(c).rlike(rf"(?U)^\s*(?:\S+\s+){{{n - 1}}}\S")
+
+
 def truncate_chars(c, n: int) -> Column:
     """Keep the first ``n`` characters (code points)."""
     return F.substring(col_(c), 1, n)
@@ -84,17 +92,39 @@ def synonym_regex(patterns: list[str], word_boundary: bool = False) -> str:
     return f"(?iu)(?:{alt})"
 
 
+def _literal(pattern: str) -> str | None:
+    """The plain ASCII text a pattern matches, or None if it uses regex syntax."""
+    import re
+
+    if re.search(r"[\\^$.|?*+()\[\]{}]", re.sub(r"\\[.\-]", "", pattern)) or not pattern.isascii():
+        return None
+    return re.sub(r"\\([.\-])", r"\1", pattern)
+
+
 def mentioned_currencies(c, synonyms: dict[str, list[str]] | None = None,
                          word_boundary: bool = False) -> Column:
     """Array of codes whose synonym regex matches anywhere in the text, in dict order.
 
     Matching is unanchored by default (as in the reference: "Euro" matches
-    "Europe"); ``word_boundary=True`` anchors on word boundaries.
+    "Europe"); ``word_boundary=True`` anchors on word boundaries.  Literal
+    ASCII synonyms are matched as substrings of the lower-cased text (the
+    same hits as a case-insensitive search, without a regex engine pass
+    over every character); other patterns use a case-insensitive regex.
     """
     syn = synonyms or CURRENCY_SYNONYMS
     x = col_(c)
-    hits = [F.when(x.rlike(synonym_regex(p, word_boundary)), F.lit(code))
-            for code, p in syn.items()]
+    low = F.lower(x)
+    hits = []
+    for code, pats in syn.items():
+        lits = [_literal(p) for p in pats]
+        if not word_boundary and all(lits):
+            cond = None
+            for lit in dict.fromkeys(t.lower() for t in lits):
+                e = low.contains(lit)
+                cond = e if cond is None else (cond | e)
+        else:
+            cond = x.rlike(synonym_regex(pats, word_boundary))
+        hits.append(F.when(cond, F.lit(code)))
     return F.filter(F.array(*hits), lambda v: v.isNotNull())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_to_local_midnight, parse_us_datetime
-from ..functions.text import mentioned_currencies, truncate_chars, word_count
+from ..functions.text import has_min_words, mentioned_currencies, truncate_chars
 from ..session import materialize
 
 ARTICLE_COLUMNS = ["Title", "Date", "Full Text", "URL"]
@@ -42,7 +42,7 @@ def clean_articles(df: DataFrame, min_words: int = 20, max_chars: int = 32767,
     """
     cols = [*partition, ordinal, *keep, *ARTICLE_COLUMNS]
     out = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(cols)])
-    out = out.where(word_count(F.col("`Full Text`")) >= min_words)
+    out = out.where(has_min_words(F.col("`Full Text`"), min_words))
     names = [f"_k{i}" for i in range(len(dedup_keys))]
     keys = out.select(*partition, ordinal,
                       *[F.sha2(F.col(f"`{k}`").cast("string"), 256).alias(n) for k, n in zip(dedup_keys, names)])
