@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streams, watermarks, event-time windows or state: every
+input is a file.  No streaming operator is built or claimed.  All operators
+are DataFrame -> DataFrame, so a caller can apply them to micro-batches with
+``writeStream.foreachBatch`` if needed.
+"""
