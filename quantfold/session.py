@@ -9,6 +9,7 @@ from the session and only filled in when unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,10 +55,12 @@ def apply_required_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory, setting a local one only if unset.
+    """Return the cluster's checkpoint directory, setting a local one only in local mode.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; we never
-    override it.  Tests and local runs get a fresh scratch folder.
+    override it and raise when it is missing, because a machine-local folder
+    would be unreadable from other nodes.  In ``local`` mode (tests, bench),
+    where driver and executors are one process, a fresh scratch folder is set.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -65,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="quantfold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
