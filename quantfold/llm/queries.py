@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import packing, simhash, tokenfile
 from .common import read
 
 QUERIES: dict = {}
@@ -34,3 +34,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of ``documents`` with its place in a sequence of at most 2048 tokens."""
     path = tokenizer_path()
     return packing.id_digests(packing.pack(read(spark, sf_dir, "documents"), path), path)
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
