@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokenfile
+from . import langid, packing, simhash, tokenfile
 from .common import read
 
 QUERIES: dict = {}
@@ -40,3 +40,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the rows that are not held out."""
+    return langid.language_query(read(spark, sf_dir, "documents"))
