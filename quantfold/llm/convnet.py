@@ -9,7 +9,7 @@ import numpy as np
 
 
 class ConvNet:
-    """``symbols`` distinct inputs (0: padding), ``outputs`` numbers per text."""
+    """``symbols`` embedding rows, ``outputs`` numbers per text; padding has a zero embedding."""
 
     def __init__(self, symbols: int, embed: int, widths: tuple[int, ...], filters: int, outputs: int, seed: int = 0):
         rnd = np.random.default_rng(seed)
@@ -18,21 +18,25 @@ class ConvNet:
         self.p |= {f"w{w}": rnd.normal(0, (w * embed) ** -0.5, (w, embed, filters)) for w in widths}
         self.p |= {f"b{w}": np.zeros(filters) for w in widths}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.p["embed"][0] = 0
 
     @property
     def pad(self) -> int:
         """Padding symbols that must follow each text."""
         return max(self.widths) - 1
 
-    def pooled(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of every filter in each padded text, and where it is."""
-        lens = np.diff(np.append(starts, len(symbols)))
+    def pooled(self, numbers: np.ndarray, starts: np.ndarray, rows: np.ndarray):
+        """Largest response of every filter in each padded text, and what ``gradients`` needs.
+
+        ``numbers``: the symbols, -1 for padding; ``rows[number]``: the embedding rows, one or more,
+        that a symbol adds up."""
+        used, code = np.unique(numbers, return_inverse=True)
+        e = self.p["embed"][rows[used]].sum(1) * (used >= 0)[:, None]
+        lens = np.diff(np.append(starts, len(numbers)))
         values, where = [], []
         for w in self.widths:
-            r = self.p[f"b{w}"] + np.zeros((len(symbols), self.filters), np.float32)
-            for j in range(w):
-                r[: len(r) - j] += (self.p["embed"] @ self.p[f"w{w}"][j])[symbols[j:]]
+            r = (e @ self.p[f"w{w}"][0] + self.p[f"b{w}"])[code]
+            for j in range(1, w):
+                r[:-j] += (e @ self.p[f"w{w}"][j])[code[j:]]
             top = np.maximum.reduceat(r, starts, axis=0)
             row, f = np.nonzero(r == np.repeat(top, lens, axis=0))
             text = np.repeat(np.arange(len(starts)), lens)[row]
@@ -40,27 +44,33 @@ class ConvNet:
             at[text[::-1], f[::-1]] = row[::-1]  # the first of equal ones
             values.append(top)
             where.append(at)
-        return np.maximum(np.concatenate(values, 1), 0), np.concatenate(where, 1)
+        return np.maximum(np.concatenate(values, 1), 0), (rows[used], code, e, np.concatenate(where, 1))
 
-    def gradients(self, symbols, starts, dout, hidden, where) -> dict[str, np.ndarray]:
-        """``dout``: gradient of the loss by the outputs."""
-        g = {"out": hidden.T @ dout, "bias": dout.sum(0), "embed": np.zeros_like(self.p["embed"])}
+    def gradients(self, dout, hidden, context) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """``dout``: gradient of the loss by the outputs; "embed" for the returned rows only."""
+        rows, code, e, where = context
+        g = {"out": hidden.T @ dout, "bias": dout.sum(0)}
+        ge = np.zeros_like(e)
         dh = (dout @ self.p["out"].T) * (hidden > 0)
-        padded = np.append(symbols, np.zeros(self.pad, symbols.dtype))
+        code = np.concatenate([code, np.zeros(self.pad, code.dtype)])  # number -1 sorts first
         for i, w in enumerate(self.widths):
             cols = slice(i * self.filters, (i + 1) * self.filters)
             d, at = dh[:, cols], where[:, cols]
             g[f"b{w}"] = d.sum(0)
             g[f"w{w}"] = np.empty_like(self.p[f"w{w}"])
             for j in range(w):
-                s = padded[at + j]
-                g[f"w{w}"][j] = np.einsum("nf,nfe->ef", d, self.p["embed"][s])
-                np.add.at(g["embed"], s.ravel(), (d[:, :, None] * self.p[f"w{w}"][j].T[None]).reshape(-1, g["embed"].shape[1]))
-        g["embed"][0] = 0
-        return g
+                c = code[at + j]
+                g[f"w{w}"][j] = np.einsum("nf,nfe->ef", d, e[c])
+                np.add.at(ge, c.ravel(), (d[:, :, None] * self.p[f"w{w}"][j].T[None]).reshape(-1, e.shape[1]))
+        touched = np.flatnonzero(ge[1:].any(1)) + 1
+        on, back = np.unique(rows[touched], return_inverse=True)
+        g["embed"] = np.zeros((len(on), e.shape[1]), np.float32)
+        for c in back.reshape(len(touched), -1).T:
+            np.add.at(g["embed"], c, ge[touched])
+        return g, on
 
-    def fit(self, texts: list[np.ndarray], loss_gradient, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0, vary=None) -> None:
-        """``loss_gradient(rows, outputs)``: gradient by the outputs; ``vary(symbols, rnd)``: augmentation."""
+    def fit(self, texts: list[np.ndarray], symbols: np.ndarray, loss_gradient, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0, vary=None) -> None:
+        """``symbols``: the ``rows`` of ``pooled``; ``loss_gradient(rows, outputs)``: gradient by the outputs; ``vary(symbols, rnd)``: augmentation."""
         rnd, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -69,24 +79,24 @@ class ConvNet:
             order = rnd.permutation(len(texts))
             for a in range(0, len(order), batch):
                 rows = order[a : a + batch]
-                symbols, starts = self.laid([vary(texts[i], rnd) if vary else texts[i] for i in rows])
-                hidden, where = self.pooled(symbols, starts)
-                g = self.gradients(symbols, starts, loss_gradient(rows, hidden @ self.p["out"] + self.p["bias"]).astype(np.float32), hidden, where)
+                hidden, context = self.pooled(*self.laid([vary(texts[i], rnd) if vary else texts[i] for i in rows]), symbols)
+                g, used = self.gradients(loss_gradient(rows, hidden @ self.p["out"] + self.p["bias"]).astype(np.float32), hidden, context)
                 step += 1
                 now = rate * (1 - step / (total + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, x in g.items():
-                    m[k] += 0.1 * (x - m[k])
-                    v2[k] += 0.001 * (x * x - v2[k])
-                    self.p[k] -= now * m[k] / (np.sqrt(v2[k]) + 1e-8)
+                    on = used if k == "embed" else slice(None)
+                    m[k][on] += 0.1 * (x - m[k][on])
+                    v2[k][on] += 0.001 * (x * x - v2[k][on])
+                    self.p[k][on] -= now * m[k][on] / (np.sqrt(v2[k][on]) + 1e-8)
 
     def laid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Texts one after another with their padding, and their starts."""
-        pad = np.zeros(self.pad, np.int64)
+        pad = np.full(self.pad, -1, np.int64)
         lens = np.array([len(t) + self.pad for t in texts], np.int64)
         return np.concatenate([x for t in texts for x in (t, pad)]).astype(np.int64), np.cumsum(lens) - lens
 
-    def outputs(self, texts: list[np.ndarray]) -> np.ndarray:
-        return self.pooled(*self.laid(texts))[0] @ self.p["out"] + self.p["bias"]
+    def outputs(self, texts: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
+        return self.pooled(*self.laid(texts), symbols)[0] @ self.p["out"] + self.p["bias"]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

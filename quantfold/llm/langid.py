@@ -64,7 +64,7 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> tuple[list[str], dict
         p[np.arange(len(rows)), truth[rows]] -= 1
         return p / len(rows)
 
-    net.fit(texts, gradient, EPOCHS, seed=seed, vary=vary)
+    net.fit(texts, np.arange(256)[:, None], gradient, EPOCHS, seed=seed, vary=vary)
     return langs, net.p
 
 
@@ -72,7 +72,8 @@ class Windows:
     """The trained network as two tables over pairs of neighbouring bytes."""
 
     def __init__(self, p: dict):
-        e = p["embed"]
+        e = p["embed"].copy()
+        e[0] = 0  # padding
         first, second = [], []
         for w in WIDTHS:
             row = [e @ p[f"w{w}"][j] for j in range(w)] + [np.zeros((256, FILTERS), np.float32)] * (4 - w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, tokenfile
+from . import langid, packing, simhash, tokenfile, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -46,3 +46,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the rows that are not held out."""
     return langid.language_query(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the labels that are not held out."""
+    return toxicity.toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
