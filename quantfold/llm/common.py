@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +56,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Gather batches until ``column`` holds ``limit`` bytes, so that a task works on few, equal pieces."""
+    """Gather batches as long as ``column`` holds at most ``limit`` bytes, so that a task works on few, equal pieces."""
     held, size = [], 0
     for b in slices(batches, column, limit):
-        size += int(pc.sum(pc.binary_length(b.column(column))).as_py() or 0)
-        held.append(b)
-        if size >= limit:
+        n = int(pc.sum(pc.binary_length(b.column(column))).as_py() or 0)
+        if held and size + n > limit:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
+        held.append(b)
+        size += n
     if held:
         yield pa.Table.from_batches(held)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Hand long texts to Python in batches of fewer rows while a job runs, then restore the setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """``(offsets, words)`` of runs of anything but ASCII white space (space, U+0009-U+000D)."""
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large, merged, stored
+from .common import large, merged, small_batches, stored
 from .tokens import encoder
 
 SIZE = 2048
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(tokenizer, end_id)
         code, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for t in merged(batches, "text", 6 << 20):
+        for t in merged(batches, "text", 5 << 20):
             offsets, ids = code.encode(large(t["text"]))
             ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))
@@ -162,7 +162,8 @@ class Plan:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, slack: int | None = None,
          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``PACKED`` rows, one per piece; ``ids`` as in ``PIECES``."""
-    cut = stored(pieces(docs, tokenizer, end_id, size), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, end_id, size), "pieces")
     counts = stored(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     plan = Plan(histogram, size, size // 64 if slack is None else slack)

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large, merged, scratch
+from .common import large, merged, scratch, small_batches
 from .tokens import encoder
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
-ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 6 << 20
+ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 5 << 20
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
@@ -65,7 +65,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "first", "n_tokens")}
     for k, v in options.items():
         w = w.option(k, v)
-    w.parquet(path)
+    with small_batches(docs.sparkSession):
+        w.parquet(path)
 
 
 def read_meta(spark, path: str) -> DataFrame:
