@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, simhash, substrings, tokenfile, toxicity
+from . import html, langid, packing, simhash, substrings, tiling, tokenfile, topk, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -65,3 +65,29 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every vector whose id is divisible by 50."""
+    vectors = topk.whole_numbers(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+ORACLES["op5_top_k"] = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+           FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest coverage of a benchmark item in every document, and the items that contaminate it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.judged(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "coverage", F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), (F.size("items") > 0).alias("contaminated"))
