@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, simhash, substrings, tiling, tokenfile, topk, toxicity
+from . import html, langid, packing, pii, simhash, substrings, tiling, tokenfile, topk, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -91,3 +91,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = tiling.judged(docs, read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "coverage", F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), (F.size("items") > 0).alias("contaminated"))
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of the base spans of every document, and all its spans."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
