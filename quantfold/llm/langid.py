@@ -113,6 +113,23 @@ def predict(docs: DataFrame, model: tuple[list[str], dict] | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], dict] | None, least: float) -> DataFrame:
+    """Rows of ``docs`` that have a language with at least that score; decided row by row."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Windows(model[1]) if model else None
+        for b in slices(batches, "text", 4 << 20):
+            texts = large(b.column("text"))
+            known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & (net is not None)
+            keep = np.zeros(b.num_rows, bool)
+            if known.any():
+                keep[known] = score_texts(net, texts.filter(pa.array(known)))[0] >= least
+            yield b.select(names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_texts(net: Windows, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lower = large(pc.utf8_lower(texts))
     at = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]

@@ -72,3 +72,15 @@ def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(chain).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 100: 90}
+
+
+def test_first_of_each(frame):
+    rows = corpus(3) + [(3000, "w7 w8 w9 same id"), (3000, "w7 w8 w9 same id"), (3000, "quite another text of the same id")]
+    of = {(d, f): c for d, f, c in by_force(rows)}
+    want = sorted({(d, f) for d, f, c in by_force(rows) if d == c})
+    for how in ({}, {"broadcast_rows": -1}):
+        kept = simhash.first_of_each(frame(rows), **how)
+        assert kept.columns == frame(rows).columns
+        got = sorted((str(r["doc_id"]), f"{fingerprint(r['text']):016x}") for r in kept.collect())
+        assert len(got) == len({of[x] if x[0] != "None" else x for x in got}) + 1  # id 3000 names two components
+        assert set(got) <= set(want) and {of[x] for x in got} == {of[x] for x in want}
