@@ -21,27 +21,29 @@ class ConvNet:
 
     @property
     def pad(self) -> int:
-        """Padding symbols that must follow each text."""
-        return max(self.widths) - 1
+        """Padding symbols that must follow each text, so that no filter sees the next one."""
+        return max(self.widths)
 
     def pooled(self, numbers: np.ndarray, starts: np.ndarray, rows: np.ndarray):
-        """Largest response of every filter in each padded text, and what ``gradients`` needs.
+        """Largest response of every filter in each text, its first padding included, and what ``gradients`` needs.
 
         ``numbers``: the symbols, -1 for padding; ``rows[number]``: the embedding rows, one or more,
         that a symbol adds up."""
         used, code = np.unique(numbers, return_inverse=True)
         e = self.p["embed"][rows[used]].sum(1) * (used >= 0)[:, None]
-        lens = np.diff(np.append(starts, len(numbers)))
+        sizes = np.diff(np.append(starts, len(numbers))) - self.pad + 1
+        inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        text_of = np.repeat(np.arange(len(starts)), sizes)
         values, where = [], []
         for w in self.widths:
             r = (e @ self.p[f"w{w}"][0] + self.p[f"b{w}"])[code]
             for j in range(1, w):
                 r[:-j] += (e @ self.p[f"w{w}"][j])[code[j:]]
-            top = np.maximum.reduceat(r, starts, axis=0)
-            row, f = np.nonzero(r == np.repeat(top, lens, axis=0))
-            text = np.repeat(np.arange(len(starts)), lens)[row]
+            r = r[inside]
+            top = np.maximum.reduceat(r, np.cumsum(sizes) - sizes, axis=0)
+            row, f = np.nonzero(r == top[text_of])
             at = np.empty(top.shape, np.int64)
-            at[text[::-1], f[::-1]] = row[::-1]  # the first of equal ones
+            at[text_of[row[::-1]], f[::-1]] = inside[row[::-1]]  # the first of equal ones
             values.append(top)
             where.append(at)
         return np.maximum(np.concatenate(values, 1), 0), (rows[used], code, e, np.concatenate(where, 1))
@@ -52,7 +54,6 @@ class ConvNet:
         g = {"out": hidden.T @ dout, "bias": dout.sum(0)}
         ge = np.zeros_like(e)
         dh = (dout @ self.p["out"].T) * (hidden > 0)
-        code = np.concatenate([code, np.zeros(self.pad, code.dtype)])  # number -1 sorts first
         for i, w in enumerate(self.widths):
             cols = slice(i * self.filters, (i + 1) * self.filters)
             d, at = dh[:, cols], where[:, cols]
@@ -62,7 +63,7 @@ class ConvNet:
                 c = code[at + j]
                 g[f"w{w}"][j] = np.einsum("nf,nfe->ef", d, e[c])
                 np.add.at(ge, c.ravel(), (d[:, :, None] * self.p[f"w{w}"][j].T[None]).reshape(-1, e.shape[1]))
-        touched = np.flatnonzero(ge[1:].any(1)) + 1
+        touched = np.flatnonzero(ge[1:].any(1)) + 1  # number -1, the padding, sorts first
         on, back = np.unique(rows[touched], return_inverse=True)
         g["embed"] = np.zeros((len(on), e.shape[1]), np.float32)
         for c in back.reshape(len(touched), -1).T:

@@ -28,7 +28,7 @@ from .common import crc_bucket, large, slices
 from .convnet import ConvNet, softmax
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-SAMPLE, CROP, EPOCHS = 1500, 600, 6
+SAMPLE, CROP, STEPS = 1500, 600, 900
 RESULT = "doc_id long, lang_pred string, score double"
 
 
@@ -64,7 +64,7 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> tuple[list[str], dict
         p[np.arange(len(rows)), truth[rows]] -= 1
         return p / len(rows)
 
-    net.fit(texts, np.arange(256)[:, None], gradient, EPOCHS, seed=seed, vary=vary)
+    net.fit(texts, np.arange(256)[:, None], gradient, -(-STEPS * 64 // len(texts)), seed=seed, vary=vary)
     return langs, net.p
 
 
@@ -82,6 +82,7 @@ class Windows:
         self.first = np.ascontiguousarray(np.concatenate(first, -1).reshape(65536, -1))
         self.second = np.ascontiguousarray(np.concatenate(second[1:], -1).reshape(65536, -1))
         self.out, self.bias = p["out"], p["bias"]
+        self.padding = np.concatenate([p[f"b{w}"] for w in WIDTHS])  # every filter's response to padding
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """``windows``: uint8, a window a row, followed by two zero bytes in three more columns."""
@@ -91,7 +92,7 @@ class Windows:
             pair = (x[:, :-1] << 8) | x[:, 1:]
             r = self.first[pair[:, :WINDOW]]
             r[:, :, FILTERS:] += self.second[pair[:, 2 : WINDOW + 2]]
-            o = np.maximum(r.max(1), 0) @ self.out + self.bias
+            o = np.maximum(np.maximum(r.max(1), self.padding), 0) @ self.out + self.bias
             out[a : a + 64] = o - o.max(1, keepdims=True)
         return out - np.log(np.exp(out).sum(1, keepdims=True))
 
