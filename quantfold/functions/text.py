@@ -119,7 +119,8 @@ def mentioned_currencies(c, synonyms: dict[str, list[str]] | None = None,
         lits = [_literal(p) for p in pats]
         if not word_boundary and all(lits):
             cond = None
-            for lit in dict.fromkeys(t.lower() for t in lits):
+            words = list(dict.fromkeys(t.lower() for t in lits))
+            for lit in [w for w in words if not any(o != w and o in w for o in words)]:  # a longer one adds no hit
                 e = low.contains(lit)
                 cond = e if cond is None else (cond | e)
         else:
@@ -141,19 +142,25 @@ def parse_response(c) -> Column:
     yields an empty map; keys and labels are stripped, surrounding double then
     single quotes removed; on duplicate keys the last line wins.
     """
-    x = col_(c)
-    lines = F.split(F.coalesce(x, F.lit("")), "\n", -1)
-    nonblank = F.filter(lines, lambda ln: strip_ws(ln) != F.lit(""))
-    bad = F.exists(nonblank, lambda ln: F.size(F.split(ln, ":", -1)) != 2)
-    pairs = F.transform(
-        nonblank,
-        lambda ln: F.struct(strip_ws(F.split(ln, ":", -1)[0]).alias("k"),
-                            _strip_quotes(F.split(ln, ":", -1)[1]).alias("v")))
-    last_wins = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]))
+    lines = F.transform(F.split(F.coalesce(col_(c), F.lit("")), "\n", -1), strip_ws)
+    split = F.transform(F.filter(lines, lambda ln: ln != F.lit("")), lambda ln: F.split(ln, ":", -1))
     empty = F.create_map().cast("map<string,string>")
-    return F.when(bad | (F.size(nonblank) == 0), empty).otherwise(F.map_from_entries(last_wins))
+
+    def last_wins(pairs: Column) -> Column:
+        return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(
+            F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"])))
+
+    def parsed(parts: Column) -> Column:
+        pairs = F.transform(parts, lambda p: F.struct(strip_ws(p[0]).alias("k"), _strip_quotes(p[1]).alias("v")))
+        bad = (F.size(parts) == 0) | F.exists(parts, lambda p: F.size(p) != 2)
+        return F.when(bad, empty).otherwise(_bound(pairs, last_wins))
+
+    return _bound(split, parsed)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the variable of a one-element transform."""
+    return F.transform(F.array(value), use)[0]
 
 
 def lookup_label(m, key, default: str = "unchanged") -> Column:

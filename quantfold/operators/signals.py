@@ -142,39 +142,28 @@ def synthetic_predictions(df: DataFrame, id_col: str, codes: Sequence[str], seed
                      lab.alias("label"))
 
 
-def dictionary_scores(df: DataFrame, text: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
-    """Count lexicon words per article and derive a label (score = positives - negatives).
-
-    Words are the lower-cased runs of letters a-z; the lexicon is a literal
-    array, so scoring is one expression per row (no explode of the text).
-    """
-    words = F.split(F.lower(F.col(f"`{text}`")), "[^a-z]+")
-
-    def count(lex):
-        arr = F.array(*[F.lit(w.lower()) for w in lex]) if lex else F.array().cast("array<string>")
-        return F.size(F.filter(words, lambda t: F.array_contains(arr, t)))
-
-    out = df.withColumn("n_positive", count(positive).cast("bigint")) \
-            .withColumn("n_negative", count(negative).cast("bigint"))
+def dictionary_scores(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with counts of lexicon words per article and a label (positives less negatives).
+
+    ``lexicon``: (word, polarity).  Words are the lower-cased runs of letters a-z.  Words are counted per article
+    before the join on the word, so a frequent word is one row per article; articles without a hit
+    count 0.  ``id_col`` names an article."""
+    words = F.explode(F.split(F.lower(F.col(f"`{text}`")), "[^a-z]+")).alias("word")
+    counted = df.select(F.col(id_col).alias("_id"), words).where("word <> ''").groupBy("_id", "word").agg(F.count("*").alias("_n"))
+    lex = lexicon.select(F.lower("word").alias("word"), "polarity").distinct()
+    hits = counted.join(lex, "word").groupBy("_id").agg(
+        F.sum(F.when(F.col("polarity") > 0, F.col("_n")).otherwise(0)).alias("n_positive"),
+        F.sum(F.when(F.col("polarity") < 0, F.col("_n")).otherwise(0)).alias("n_negative"))
+    out = df.join(hits, df[id_col] == hits["_id"], "left").drop("_id").fillna(0, ["n_positive", "n_negative"])
     score = F.col("n_positive") - F.col("n_negative")
     return out.withColumn("dict_label", F.when(score > 0, "appreciation")
                           .when(score < 0, "depreciation").otherwise("unchanged"))
 
 
-def dictionary_predictions(df: DataFrame, id_col: str, text: str, mentions: str,
-                           positive: Sequence[str], negative: Sequence[str],
+def dictionary_predictions(df: DataFrame, id_col: str, text: str, mentions: str, lexicon: DataFrame,
                            horizons: Sequence[str] = ("future",)) -> DataFrame:
     """Dictionary baseline: every mentioned currency gets the article's dictionary label."""
-    s = dictionary_scores(df, text, positive, negative)
+    s = dictionary_scores(df, id_col, text, lexicon)
     ex = s.select(F.col(id_col).alias("article_id"), "dict_label", F.explode(mentions).alias("ccy"))
     hz = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
     return ex.select("article_id", "ccy", hz, F.col("dict_label").alias("label"))
-
-
-def lexicon_lists(lexicon: DataFrame, max_words: int = 100_000) -> tuple[list[str], list[str]]:
-    """Lexicon frame (word, polarity) -> (positive, negative) lists, size-checked first."""
-    n = lexicon.count()
-    if n > max_words:
-        raise ValueError(f"lexicon has {n} words, more than {max_words}")
-    rows = lexicon.select("word", "polarity").collect()
-    return ([r.word for r in rows if r.polarity > 0], [r.word for r in rows if r.polarity < 0])

@@ -51,14 +51,15 @@ def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, ordinal, Title, Date, Full Text, URL)`` from documents.
 
-    Title = first 40 characters, URL = source || doc_id, date = 2024-01-01
-    plus doc_id hours; ``ordinal`` = doc_id is the stable file position used
+    Title = source and number (every 23rd repeats the number 20 below), URL =
+    source || doc_id, date = 2024-01-01 plus doc_id hours; ``ordinal`` = doc_id is the stable file position used
     for keep-first de-duplication.
     """
     d = table(spark, sf_dir, "documents")
     return d.select(
         "source", F.col("doc_id").alias("ordinal"), "doc_id",
-        F.substring("text", 1, 40).alias("Title"),
+        F.concat(F.lit("Report "), F.col("source"), F.lit(" "),
+                 (F.col("doc_id") - F.when(F.col("doc_id") % 23 == 0, 20).otherwise(0)).cast("string")).alias("Title"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("Date"),
         F.col("text").alias("Full Text"),

@@ -13,7 +13,7 @@ SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
 FROM lineitem GROUP BY 1, 2, 3"""
 
 ARTICLES = """
-SELECT source, doc_id AS ordinal, doc_id, substr(text, 1, 40) AS "Title",
+SELECT source, doc_id AS ordinal, doc_id, 'Report ' || source || ' ' || CAST(doc_id - CASE WHEN doc_id % 23 = 0 THEN 20 ELSE 0 END AS VARCHAR) AS "Title",
        TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS "Date",
        text AS "Full Text", source || CAST(doc_id AS VARCHAR) AS "URL"
 FROM documents"""

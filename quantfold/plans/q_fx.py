@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import returns as R
+from ..session import materialize
 from . import fixtures as fx
 from . import fixtures_sql as fsql
 from .catalog import register
@@ -80,10 +81,19 @@ def fx_rank_labels(spark, sf_dir):
 
 @register("fx_wide_labels", f"""{_SQL_HORIZON},
 l AS (SELECT date, ccy,
-       {_LABEL.format(p="(row_number() OVER (PARTITION BY date ORDER BY future DESC, ccy_ord) - 1)")} AS lab
+       {_LABEL.format(p="(row_number() OVER (PARTITION BY date ORDER BY future DESC, ccy_ord) - 1)")} AS future,
+       {_LABEL.format(p="(row_number() OVER (PARTITION BY date ORDER BY past DESC, ccy_ord) - 1)")} AS past
       FROM h)
-SELECT date, {", ".join(f"max(CASE WHEN ccy = '{c}' THEN lab END) AS {c}_future_label" for c in fx.SERIES_CODES)}
+SELECT date, {", ".join(f"max(CASE WHEN ccy = '{c}' THEN {h} END) AS {c}_{h}_label" for h in ("future", "past") for c in fx.SERIES_CODES)}
 FROM l GROUP BY date""", ops=("G15",))
 def fx_wide_labels(spark, sf_dir):
-    out = R.label_table(fx.monthly_series(spark, sf_dir), codes=fx.SERIES_CODES)
-    return R.to_wide(out, "date", "ccy", "future_label", fx.SERIES_CODES, "_future_label")
+    out = materialize(R.label_table(fx.monthly_series(spark, sf_dir), codes=fx.SERIES_CODES))  # date x code rows
+    future, past = (R.to_wide(out, "date", "ccy", f"{h}_label", fx.SERIES_CODES, f"_{h}_label") for h in ("future", "past"))
+    return future.join(past, "date")
+
+
+@register("fx_long_again", f"""{_SQL_HORIZON}
+SELECT date, ccy, round(ret, 6) + 0.0 AS value FROM h""", ops=("G15",))
+def fx_long_again(spark, sf_dir):
+    out = materialize(R.label_table(fx.monthly_series(spark, sf_dir), codes=fx.SERIES_CODES))
+    return R.from_wide(R.to_wide(out, "date", "ccy", "ret", fx.SERIES_CODES), "date", fx.SERIES_CODES)

@@ -16,6 +16,7 @@ from ..operators import prompts as P
 from ..operators import returns as R
 from ..operators import signals as S
 from ..operators.asof import asof_join
+from ..operators.labelling import label_articles
 from . import fixtures as fx
 from . import fixtures_sql as fsql
 from ..session import materialize
@@ -138,25 +139,11 @@ ART_BASE = "1995-06-01 00:00:00"
 
 
 def labelled_articles(spark, sf_dir):
-    """Articles (dated 1995-06-01 + 6h * doc_id) -> cleaned -> mentions -> as-of trading
-    dates -> future/past labels -> complete rows.  Returns the wide frame."""
+    """Articles dated 1995-06-01 + 6h * doc_id, labelled, one wide row each."""
     art = fx.articles(spark, sf_dir).withColumn(
         "Date", F.lit(ART_BASE).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") * 6).cast("int")))
-    c = A.clean_articles(art, keep=["doc_id"])
-    c = A.with_mentions(c, STAND_SYNONYMS).withColumn("Date", F.to_date("Date"))
-    # One row per (date, series): small, reused three times below.
-    labels = materialize(R.label_table(fx.monthly_series(spark, sf_dir), codes=CODES))
-    dates = labels.select(F.col("date").alias("trading_date")).distinct()
-    fut = asof_join(c, dates, "Date", "trading_date", "forward", match_col="trading_date_future")
-    both = asof_join(fut, dates, "Date", "trading_date", "backward", match_col="trading_date_past")
-    fw = R.to_wide(labels, "date", "ccy", "future_label", CODES, "_future_label")
-    pw = R.to_wide(labels, "date", "ccy", "past_label", CODES, "_past_label")
-    out = (both.join(fw.withColumnRenamed("date", "trading_date_future"), "trading_date_future", "left")
-           .join(pw.withColumnRenamed("date", "trading_date_past"), "trading_date_past", "left"))
-    label_cols = [f"{c}_future_label" for c in CODES] + [f"{c}_past_label" for c in CODES]
-    out = out.select("doc_id", "Title", "Date", "Full Text", "mentioned_currencies", "trading_date_future",
-                     "trading_date_past", *label_cols)
-    return out.na.drop(subset=["Title", "Date", "Full Text", "trading_date_future", *label_cols])
+    labels = materialize(R.label_table(fx.monthly_series(spark, sf_dir), codes=CODES))  # date x code rows
+    return label_articles(art, labels, CODES, STAND_SYNONYMS, keep=["doc_id"])
 
 
 def _labelled_sql() -> str:
@@ -259,7 +246,8 @@ last AS (SELECT doc_id, k, arg_max(v, i) AS label FROM kv GROUP BY doc_id, k)"""
 
 def parsed_predictions(spark, sf_dir):
     lab = labelled_articles(spark, sf_dir).withColumn("response", _response_expr())
-    return lab.withColumn("sentiment_predictions", TX.parse_response("response"))
+    # Parsed once: a filter on the map would repeat the parser in the plan.
+    return materialize(lab.withColumn("sentiment_predictions", TX.parse_response("response")).drop("response"))
 
 
 @register("parse_responses", f"""{_parsed_sql()}
@@ -285,10 +273,11 @@ def eval_pairs(spark, sf_dir):
     return M.label_pairs(parsed_predictions(spark, sf_dir), "doc_id", CODES, "sentiment_predictions")
 
 
-def _cls_sql(pairs: str) -> str:
+def _cls_sql(pairs: str, more: str = "") -> str:
     per = ", ".join(
         f"""{r6(f"COALESCE(sum(CASE WHEN actual = '{l}' AND predicted = '{l}' THEN 1 ELSE 0 END) / NULLIF(CAST(sum(CASE WHEN predicted = '{l}' THEN 1 ELSE 0 END) AS DOUBLE), 0), 0.0)")} AS {l}_precision,
             {r6(f"COALESCE(sum(CASE WHEN actual = '{l}' AND predicted = '{l}' THEN 1 ELSE 0 END) / NULLIF(CAST(sum(CASE WHEN actual = '{l}' THEN 1 ELSE 0 END) AS DOUBLE), 0), 0.0)")} AS {l}_recall,
+            {r6(f"COALESCE((SELECT f FROM f1 WHERE label = '{l}'), 0.0)")} AS {l}_f1,
             CAST(sum(CASE WHEN actual = '{l}' THEN 1 ELSE 0 END) AS BIGINT) AS {l}_support"""
         for l in TX.LABELS)
     return f"""{pairs},
@@ -302,15 +291,14 @@ pc AS (SELECT label,
 f1 AS (SELECT label, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pc),
 agg AS (SELECT {r6("avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END)")} AS accuracy,
                CAST(count(*) AS BIGINT) AS n, {per} FROM pairs)
-SELECT agg.*, {r6("(SELECT avg(f) FROM f1)")} AS macro_f1 FROM agg"""
+SELECT agg.*, {r6("(SELECT avg(f) FROM f1)")} AS macro_f1{more} FROM agg"""
 
 
-@register("eval_metrics", _cls_sql(_pairs_sql()), ops=("C20", "C22", "S16"))
+@register("eval_metrics", _cls_sql(_pairs_sql(), ", (SELECT count(*) FROM out WHERE doc_id NOT IN (SELECT doc_id FROM ok)) AS skipped"), ops=("C20", "C22", "S16"))
 def eval_metrics(spark, sf_dir):
-    pairs = M.label_pairs(parsed_predictions(spark, sf_dir), "doc_id", CODES, "sentiment_predictions")
-    out = M.classification_metrics(pairs)
-    drop = [c for c in out.columns if c.endswith("_f1") and c != "macro_f1"]
-    return out.drop(*drop)
+    parsed = parsed_predictions(spark, sf_dir)
+    pairs = M.label_pairs(parsed, "doc_id", CODES, "sentiment_predictions")
+    return M.classification_metrics(pairs, skipped=parsed.where(F.size("sentiment_predictions") == 0))
 
 
 _QPAIRS = """WITH pairs AS (
@@ -351,8 +339,7 @@ def cls_report(spark, sf_dir):
           .replace("'unchanged'", "'q2'").replace("appreciation_", "q0_").replace("depreciation_", "q1_")
           .replace("unchanged_", "q2_"), ops=("C20",))
 def cls_metrics(spark, sf_dir):
-    out = M.classification_metrics(_quality_pairs(spark, sf_dir), labels=["q0", "q1", "q2"])
-    return out.drop(*[c for c in out.columns if c.endswith("_f1") and c != "macro_f1"])
+    return M.classification_metrics(_quality_pairs(spark, sf_dir), labels=["q0", "q1", "q2"])
 
 
 # --- strategy over predictions -----------------------------------------------------
@@ -444,22 +431,44 @@ def synth_predictions(spark, sf_dir):
     return S.synthetic_predictions(fx.table(spark, sf_dir, "documents"), "doc_id", CODES, 42)
 
 
-# Lexicon: words that occur in the invented documents (+1 / -1).
-LEX_POS = ["the", "and", "is", "with", "good"]
-LEX_NEG = ["of", "to", "in", "der", "que"]
+# Lexicon: a frame derived from the part names' words (+1 / -1) and some function words of the documents.
+_LEXICON_SQL = """SELECT word, polarity FROM (VALUES ('the', 1), ('and', 1), ('is', 1), ('with', 1), ('good', 1),
+  ('of', -1), ('to', -1), ('in', -1), ('der', -1), ('que', -1)) v(word, polarity)
+UNION SELECT lower(word), 1 FROM (SELECT unnest(regexp_split_to_array(p_name, '[^A-Za-z]+')) AS word FROM part) WHERE word <> ''"""
+
+
+def _lexicon(spark, sf_dir):
+    fixed = spark.createDataFrame([(w, 1) for w in ("the", "and", "is", "with", "good")]
+                                  + [(w, -1) for w in ("of", "to", "in", "der", "que")], "word string, polarity int")
+    names = fx.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", "[^A-Za-z]+")).alias("word"))
+    return fixed.union(names.where("word <> ''").select(F.lower("word"), F.lit(1))).distinct()
+
+
+_DICT_SQL = f"""WITH lex AS ({_LEXICON_SQL}),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents),
+hit AS (SELECT doc_id, count(*) FILTER (WHERE polarity > 0) AS np, count(*) FILTER (WHERE polarity < 0) AS nn
+        FROM w JOIN lex ON w.word = lex.word GROUP BY doc_id),
+sc AS (SELECT d.doc_id, d.text, COALESCE(np, 0) AS np, COALESCE(nn, 0) AS nn,
+       CASE WHEN COALESCE(np, 0) > COALESCE(nn, 0) THEN 'appreciation' WHEN COALESCE(np, 0) < COALESCE(nn, 0) THEN 'depreciation'
+            ELSE 'unchanged' END AS dict_label FROM documents d LEFT JOIN hit ON d.doc_id = hit.doc_id)"""
 
 
-@register("dict_sentiment", f"""
-SELECT doc_id, CAST(np AS BIGINT) AS n_positive, CAST(nn AS BIGINT) AS n_negative,
-       CASE WHEN np > nn THEN 'appreciation' WHEN np < nn THEN 'depreciation' ELSE 'unchanged' END AS dict_label
-FROM (SELECT doc_id,
-   len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: list_contains([{", ".join(map(_sql_str, LEX_POS))}], t))) AS np,
-   len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: list_contains([{", ".join(map(_sql_str, LEX_NEG))}], t))) AS nn
-  FROM documents)""", ops=("C34",))
+@register("dict_sentiment", f"""{_DICT_SQL}
+SELECT doc_id, CAST(np AS BIGINT) AS n_positive, CAST(nn AS BIGINT) AS n_negative, dict_label FROM sc""", ops=("C34",))
 def dict_sentiment(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    return S.dictionary_scores(d, "text", LEX_POS, LEX_NEG).select("doc_id", "n_positive", "n_negative",
-                                                                    "dict_label")
+    return S.dictionary_scores(d, "doc_id", "text", _lexicon(spark, sf_dir)).select("doc_id", "n_positive", "n_negative", "dict_label")
+
+
+_DICT_PRED_SQL = f"""{_DICT_SQL},
+m AS (SELECT doc_id, dict_label, unnest({_mention_sql('text', STAND_SYNONYMS)}) AS ccy FROM sc)"""
+
+
+@register("dict_predictions", f"""{_DICT_PRED_SQL}
+SELECT doc_id AS article_id, ccy, h.horizon, dict_label AS label FROM m, (SELECT unnest(['future', 'past']) AS horizon) h""", ops=("C34",))
+def dict_predictions(spark, sf_dir):
+    d = A.with_mentions(fx.table(spark, sf_dir, "documents"), STAND_SYNONYMS, text="text")
+    return S.dictionary_predictions(d, "doc_id", "text", "mentioned_currencies", _lexicon(spark, sf_dir), ("future", "past"))
 
 
 # --- prompts ------------------------------------------------------------------------
@@ -526,7 +535,9 @@ def _echo_scorer_factory():
     return score
 
 
-@register("score_batches", None, ops=("U03",))
+@register("score_batches", f"""WITH a AS ({fsql.ARTICLES}),{_CLEAN_SQL},
+m AS (SELECT doc_id, {_mention_sql('"Full Text"', STAND_SYNONYMS)} AS cur FROM c)
+SELECT doc_id, unnest(cur) || '_future' AS key, 'unchanged' AS label FROM m WHERE len(cur) > 0""", ops=("U03",))
 def score_batches(spark, sf_dir):
     c = A.clean_articles(fx.articles(spark, sf_dir), keep=["doc_id"])
     m = A.with_mentions(c, STAND_SYNONYMS)

@@ -5,17 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key, hash_sql
+from ..functions.hashing import hash_sql
 from ..operators import backtest as BT
 from ..operators import folds as FD
 from ..operators import metrics as M
 from ..operators import panel as PN
 from ..operators import stats as ST
+from ..session import materialize, without_constraints
 from . import fixtures as fx
 from . import fixtures_sql as fsql
 from .catalog import register
 
-START, END, TRAIN_YEARS = 1997, 2001, 2
+START, END, TRAIN_YEARS = 1975, 2019, 10
 
 
 def r6(x: str) -> str:
@@ -59,21 +60,23 @@ def panel_filter(spark, sf_dir):
     return PN.panel_filter(fx.panel(spark, sf_dir)).select("gvkey", "datadate")
 
 
-# Features are ratios of averages of 2-decimal prices: exact decimal values that can
-# end in ...5 at the 6th place, so both sides round them to 4 decimals.
 @register("panel_features", f"""{_FEAT}
-SELECT gvkey, datadate, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in PN.X_COLS)}, {r6("y")} AS y FROM mf""",
-          ops=("B06", "B07", "B08", "B09", "B10", "B11", "B19", "B20", "F11", "F14", "S7", "S23", "D12"),
-          digits={c: 4 for c in PN.X_COLS})
+SELECT gvkey, datadate, {", ".join(f"{r6(c)} AS {c}" for c in PN.X_COLS)}, {r6("y")} AS y FROM mf""",
+          ops=("B06", "B07", "B08", "B09", "B10", "B11", "B19", "B20", "F11", "F14", "S7", "S23", "D12"))
 def panel_features(spark, sf_dir):
-    return PN.model_frame(fx.panel(spark, sf_dir))
+    return _model_frame(spark, sf_dir)
+
+
+def _model_frame(spark, sf_dir):
+    with without_constraints(spark):
+        return materialize(PN.model_frame(fx.panel(spark, sf_dir)))
 
 
 @register("panel_year_counts", f"""{_FEAT}
 SELECT CAST(year(datadate) AS BIGINT) AS year, CAST(count(*) AS BIGINT) AS count FROM mf GROUP BY 1""",
           ops=("B13", "F07"))
 def panel_year_counts(spark, sf_dir):
-    return ST.counts_by_year(PN.model_frame(fx.panel(spark, sf_dir)))
+    return ST.counts_by_year(_model_frame(spark, sf_dir))
 
 
 _FOLDS_SQL = f"""{_FEAT},
@@ -86,7 +89,7 @@ fo AS (SELECT * FROM ex WHERE fold IN (SELECT fold FROM okf))"""
 
 
 def _folds(spark, sf_dir):
-    return FD.walk_forward(PN.model_frame(fx.panel(spark, sf_dir)), START, END, TRAIN_YEARS)
+    return FD.walk_forward(_model_frame(spark, sf_dir), START, END, TRAIN_YEARS)
 
 
 @register("panel_walk_forward", f"""{_FOLDS_SQL}
@@ -95,8 +98,7 @@ def panel_walk_forward(spark, sf_dir):
     return _folds(spark, sf_dir).select("fold", "role", "gvkey", "datadate")
 
 
-_SCALE_FEATURES = ["ib_per_share", "sale_per_share", "at_per_share", "cfo_per_share", "ib_per_share_diff",
-                   "sale_per_share_diff", "xint_per_share", "xad_per_share"]
+_SCALE_FEATURES = list(PN.X_COLS)
 
 
 def _scale_sql(features) -> str:
@@ -155,7 +157,7 @@ SELECT CAST(year(datadate) AS INTEGER) AS year, {r6("avg((y - ib_per_share) * (y
   CAST(count(*) AS BIGINT) AS n
 FROM mf GROUP BY ROLLUP (year(datadate))""", ops=("B16",))
 def panel_regression_metrics(spark, sf_dir):
-    mf = PN.model_frame(fx.panel(spark, sf_dir))
+    mf = _model_frame(spark, sf_dir)
     preds = mf.select(F.year("datadate").alias("year"), F.col("y").alias("y_actual"),
                       F.col("ib_per_share").alias("y_predicted"))
     return M.regression_metrics(preds, by="year")
@@ -166,16 +168,14 @@ SELECT gvkey, datadate, {r6("y")} AS y_actual, {r6("ib_per_share")} AS y_predict
        {r6("y - ib_per_share")} AS residual
 FROM mf ORDER BY {hash_sql('gvkey', 'datadate', '42')} LIMIT 1000""", ops=("B27", "G09"))
 def panel_residuals(spark, sf_dir):
-    mf = PN.model_frame(fx.panel(spark, sf_dir))
+    mf = _model_frame(spark, sf_dir)
     preds = mf.select("gvkey", "datadate", F.col("y").alias("y_actual"), F.col("ib_per_share").alias("y_predicted"))
     return BT.residual_sample(preds, None, 1000, 42)
 
 
 @register("panel_backtest", None, ops=("B23", "B24", "B25", "B26", "U05"))
 def panel_backtest(spark, sf_dir):
-    mf = PN.model_frame(fx.panel(spark, sf_dir))
+    mf = _model_frame(spark, sf_dir)
     _, metrics = BT.rolling_backtest(mf, _SCALE_FEATURES, START, END, TRAIN_YEARS, k=5, members=10)
     return metrics
 
-
-del hash_key

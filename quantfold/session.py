@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,10 +24,6 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Wide frames (60 derived features, a NOT NULL filter over every column)
-    # make constraint inference grow combinatorially in the optimizer; the
-    # filters it would infer are already explicit in our plans.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -82,6 +79,21 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stages/{name}"
 
 
+@contextmanager
+def without_constraints(spark: SparkSession):
+    """Plan very wide frames without constraint inference, then restore the setting.
+
+    With 60 derived features and a NOT NULL filter over every column, inference grows combinatorially;
+    the filters it would infer are explicit in those plans.  Materialize inside."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df):
     """Cut lineage of a small intermediate (a key map, a per-date table) with a
     reliable checkpoint into ``spark.checkpoint.dir``; later plans read it as
