@@ -36,7 +36,8 @@ def asof_map(left_keys: DataFrame, right_keys: DataFrame, key: str = "k",
     r_first = direction == "backward"
     lk = lk.withColumn("_ord", num(lk) * 2 + (1 if r_first else 0)).withColumn("_rk", F.lit(None).cast(rk.schema["_k"].dataType))
     rk = rk.withColumn("_ord", num(rk) * 2 + (0 if r_first else 1)).withColumn("_rk", F.col("_k"))
-    u = lk.withColumn("_left", F.lit(True)).unionByName(rk.withColumn("_left", F.lit(False)))
+    # Distinct keys only; written once, so the left side's plan runs once here.
+    u = materialize(lk.withColumn("_left", F.lit(True)).unionByName(rk.withColumn("_left", F.lit(False))))
     carried = ordered.carry(u, "_ord", "_rk", by, "forward" if r_first else "backward",
                             buckets=buckets, out_value="_match", out_order="_match_ord")
     # One row per distinct left key: materialised once, then joined back.
@@ -48,7 +49,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
               match_col: str | None = None, buckets: int | None = None) -> DataFrame:
     """merge_asof semantics: every left row, plus the matched right row's columns.
 
-    ``right`` should be unique on (by, right_on); ``match_col`` names the
+    Of right rows with equal (by, right_on) the one with the largest other columns, compared
+    in their order, is taken, so left rows never multiply; ``match_col`` names the
     matched right key (default: ``right_on``).  ``tolerance`` is a number (same
     unit as the key) or a ``datetime.timedelta`` for timestamp keys.
     """
@@ -71,7 +73,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     rest = [c for c in right.columns if c not in by and c != right_on]
     if not rest:
         return out.withColumnRenamed("_match", mcol)
-    r = right.select(*[F.col(b).alias(f"_rb_{b}") for b in by], F.col(right_on).alias("_rmatch"), *rest)
+    r = right.groupBy(*[F.col(b).alias(f"_rb_{b}") for b in by], F.col(right_on).alias("_rmatch")).agg(
+        F.max(F.struct(*rest)).alias("_row")).select(*[f"_rb_{b}" for b in by], "_rmatch", "_row.*")
     cond = [F.col(f"_rb_{b}") == out[b] for b in by] + [F.col("_rmatch") == F.col("_match")]
     return (out.join(r, on=cond, how="left").drop(*[f"_rb_{b}" for b in by], "_rmatch")
             .withColumnRenamed("_match", mcol))

@@ -17,7 +17,7 @@ FILL_METHODS = ("mean", "median", "backfill", "forwardfill", "linear_interpolati
 
 
 def fill_null(df: DataFrame, cols: Sequence[str], method: str = "mean", time: str = "time",
-              by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+              by: Sequence[str] = (), buckets: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs in ``cols``.
 
     ``mean`` / ``median``: numeric columns only, other columns untouched.
@@ -27,7 +27,8 @@ def fill_null(df: DataFrame, cols: Sequence[str], method: str = "mean", time: st
     ``nearest_interpolation``: nearest neighbour in time (ties to the earlier
     point), NULL at both ends.  Unknown columns are ignored; if none is valid
     a ValueError is raised.  Ordered methods run per ``by`` group without a
-    single-partition window (see :mod:`ordered`).
+    single-partition window (see :mod:`ordered`); ``tie`` columns give the
+    order of rows with equal times (their file order, say).
     """
     todo = [c for c in cols if c in df.columns]
     if not todo:
@@ -56,12 +57,12 @@ def fill_null(df: DataFrame, cols: Sequence[str], method: str = "mean", time: st
     for c in todo:
         if method in ("forwardfill", "linear_interpolation", "time_interpolation", "nearest_interpolation"):
             b = ordered.carry(b, time, c, by, "forward", out_value=f"_pv_{c}", out_order=f"_pt_{c}",
-                              position=need_pos)
+                              position=need_pos, tie=tie)
             if need_pos:
                 b = b.withColumnRenamed("_forward_p", f"_pp_{c}")
         if method in ("backfill", "linear_interpolation", "time_interpolation", "nearest_interpolation"):
             b = ordered.carry(b, time, c, by, "backward", out_value=f"_nv_{c}", out_order=f"_nt_{c}",
-                              position=need_pos)
+                              position=need_pos, tie=tie)
             if need_pos:
                 b = b.withColumnRenamed("_backward_p", f"_np_{c}")
         x = F.col(c)

@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
 
 def order_number(df: DataFrame, order: str) -> Column:
     """The order column as a number (microseconds for timestamps, days for dates)."""
@@ -32,55 +30,60 @@ def order_number(df: DataFrame, order: str) -> Column:
     return F.col(order)
 
 
-def bucketize(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None,
-              fine_per_bucket: int = 64) -> DataFrame:
-    """Add ``_bk``: contiguous, roughly equal-count buckets of the order column.
+def order_bounds(df: DataFrame, number: Column, n: int) -> list[float]:
+    """At most ``n`` - 1 ascending numbers that cut the rows into parts of about equal count.
 
-    Deterministic (a sampled range partitioner is not: its bounds change
-    between evaluations).  The order range is cut into ``buckets *
-    fine_per_bucket`` equal-width cells, cells are counted exactly (a table
-    of at most that many rows), and consecutive cells are assigned to
-    buckets by cumulative count; the cell -> bucket map is broadcast back.
-    Only a single cell holding more than a bucket's share stays hot.
-    """
+    One mergeable sketch aggregate; only the bounds reach the driver, and they are computed once, so later
+    plans agree on them.  Outliers don't matter: the cuts follow counts, not the range."""
+    if n < 2:
+        return []
+    probs = [i / n for i in range(1, n)]
+    got = df.agg(F.percentile_approx(number.cast("double"), probs, max(10_000, 20 * n)).alias("b")).first()[0]
+    return sorted(set(got or ()))
+
+
+def assign_bucket(df: DataFrame, number: Column, bounds: Sequence[float], out: str = "_bk") -> DataFrame:
+    """Add the number of bounds at or below ``number`` (a binary search per row); NULL goes last."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *bounds, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
+    return cut.transform(df.withColumn("_number", number.cast("double"))).withColumn(out, F.col("_cut").cast("int")).drop("_number", "_cut")
+
+
+def bucketize(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Add ``_bk``: contiguous buckets of the order column with about equal counts.
+
+    Rows with equal order values share a bucket."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = n * fine_per_bucket
-    t = order_number(df, order).cast("double")
-    rng = materialize(df.agg(F.min(t).alias("_mn"), F.max(t).alias("_mx")))
-    with_cell = df.crossJoin(F.broadcast(rng)).withColumn(
-        "_cell", F.least(F.floor((t - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + 1.0) * cells),
-                         F.lit(cells - 1)).cast("int")).drop("_mn", "_mx")
-    counts = with_cell.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_cell")
-    cmap = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)))
-            .withColumn("_total", F.sum("_c").over(Window.partitionBy()))
-            .select("_cell", F.floor(F.col("_before") * n / F.col("_total")).cast("int").alias("_bk")))
-    cmap = materialize(cmap)  # at most buckets * fine_per_bucket rows
-    return with_cell.join(F.broadcast(cmap), "_cell").drop("_cell")
+    t = order_number(df, order)
+    return assign_bucket(df, t, order_bounds(df, t, n))
 
 
 def carry(df: DataFrame, order: str, value: str, by: Sequence[str] = (), direction: str = "forward",
           buckets: int | None = None, out_value: str | None = None, out_order: str | None = None,
-          position: bool = False) -> DataFrame:
+          position: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """For each row, the nearest non-NULL ``value`` at or before (forward) or at or
     after (backward) it within ``by``, together with that row's ``order`` value.
 
     Adds ``out_value`` / ``out_order`` (defaults ``_<direction>_v`` / ``_<direction>_t``).
     With ``position=True`` also numbers rows 0.. within ``by`` (``_pos``) and
     returns the position of the carried row (``_<direction>_p``), which row-position
-    interpolation needs.
+    interpolation needs.  ``tie`` columns order rows of equal ``order``; without
+    them ``order`` should be unique within ``by``.
     """
-    by = list(by)
+    by, seq = list(by), [order, *tie]
     fwd = direction == "forward"
     ov = out_value or f"_{direction}_v"
     ot = out_order or f"_{direction}_t"
     op = f"_{direction}_p"
     b = df if "_bk" in df.columns else bucketize(df, order, by, buckets)
-    inner = Window.partitionBy("_bk", *by).orderBy(order)
+    inner = Window.partitionBy("_bk", *by).orderBy(*seq)
     # Backward = forward over descending order: a running frame is linear,
     # an UNBOUNDED FOLLOWING frame is re-aggregated for every row.
-    frame = (inner if fwd else Window.partitionBy("_bk", *by).orderBy(F.col(order).desc())) \
+    frame = (inner if fwd else Window.partitionBy("_bk", *by).orderBy(*[F.col(c).desc() for c in seq])) \
         .rowsBetween(Window.unboundedPreceding, 0)
     pick = F.last
     marker = F.struct(F.col(order).alias("t"), F.col(value).alias("v"),
@@ -91,8 +94,8 @@ def carry(df: DataFrame, order: str, value: str, by: Sequence[str] = (), directi
         b = b.withColumn("_lpos", F.row_number().over(inner) - 1)
 
     # Per-bucket summary: last (first) non-NULL row, and row count for positions.
-    summ_aggs = [(F.max_by(marked, F.when(F.col(value).isNotNull(), F.col(order))) if fwd
-                  else F.min_by(marked, F.when(F.col(value).isNotNull(), F.col(order)))).alias("_edge")]
+    at = F.when(F.col(value).isNotNull(), F.struct(*seq))
+    summ_aggs = [(F.max_by(marked, at) if fwd else F.min_by(marked, at)).alias("_edge")]
     if position:
         summ_aggs.append(F.count(F.lit(1)).alias("_cnt"))
     summ = b.groupBy("_bk", *by).agg(*summ_aggs)
@@ -123,11 +126,11 @@ def carry(df: DataFrame, order: str, value: str, by: Sequence[str] = (), directi
 
 
 def with_position(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None,
-                  out: str = "_pos") -> DataFrame:
+                  out: str = "_pos", tie: Sequence[str] = ()) -> DataFrame:
     """Row number (0-based) within ``by`` in ``order`` without a global window."""
     by = list(by)
     b = df if "_bk" in df.columns else bucketize(df, order, by, buckets)
-    inner = Window.partitionBy("_bk", *by).orderBy(order)
+    inner = Window.partitionBy("_bk", *by).orderBy(order, *tie)
     b = b.withColumn("_lpos", F.row_number().over(inner) - 1)
     cnt = b.groupBy("_bk", *by).agg(F.count(F.lit(1)).alias("_cnt"))
     sw = Window.partitionBy(*by).orderBy("_bk")

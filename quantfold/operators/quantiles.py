@@ -7,11 +7,12 @@ Two physical strategies, same answer:
     right when every group is bounded (a fold x feature, a window frame).
 
 ``method="sorted"``  (default) a distributed order statistic that never
-    holds a group in one task: range-partition and sort by (group, value),
-    number the rows by partition offset + position, find each group's start
-    rank and size with two small aggregates, then pick the two neighbouring
-    ranks of every requested probability with an equi-join.  A group holding
-    a third of all rows is spread over many range partitions.
+    holds a group in one task: count the distinct values, range-partition and
+    sort them by (group, value), number the rows by partition offset and running
+    count, find each group's start rank and size with two small aggregates, then
+    pick the two neighbouring ranks of every requested probability.  A group holding
+    a third of all rows is spread over many range partitions, and a value that
+    many rows share is one row.
 
 Output is long: ``(*by, column, p, value)``.
 """
@@ -23,6 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: (group, probability, rank) rows up to which the last join broadcasts them (under 100 bytes each).
+BROADCAST_PICKS = 500_000
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row position
 
 
@@ -63,33 +68,37 @@ def quantiles_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], m
 
     spark = long.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Distinct values with their counts: a value that most rows share is one row after the map side.
     # The range partitioner samples its bounds afresh on every evaluation, so
     # the sorted, numbered frame is checkpointed once (reliable checkpoint in
     # spark.checkpoint.dir) and every later branch reads the same numbering.
     from ..session import ensure_checkpoint_dir
+
     ensure_checkpoint_dir(spark)
-    ranked = (long.repartitionByRange(n_parts, *keys, "x").sortWithinPartitions(*keys, "x")
-              .withColumn("_id", F.monotonically_increasing_id())
-              .checkpoint(eager=True)
-              .withColumn("_pid", F.shiftrightunsigned("_id", _POS_BITS))
-              .withColumn("_pos", F.col("_id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+    counted = (long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_c"))
+               .repartitionByRange(n_parts, *keys, "x").sortWithinPartitions(*keys, "x")
+               .withColumn("_id", F.monotonically_increasing_id())
+               .checkpoint(eager=True)
+               .withColumn("_pid", F.shiftrightunsigned("_id", _POS_BITS)))
     # One row per partition: exclusive prefix sums give each partition's first rank.
-    part = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    part = part.withColumn(
-        "_off", F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = (ranked.join(F.broadcast(part.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))),
-                          "_pid")
-              .withColumn("_g", F.col("_off") + F.col("_pos")))
-    groups = ranked.groupBy(*keys).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    part = counted.groupBy("_pid").agg(F.sum("_c").alias("_cnt"))
+    off = F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.sum("_c").over(Window.partitionBy("_pid").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = (counted.withColumn("_run", run).join(F.broadcast(part.select("_pid", off.alias("_off"))), "_pid")
+              .select(*keys, "x", (F.col("_off") + F.col("_run") - F.col("_c")).alias("_g"), "_c"))
+    groups = ranked.groupBy(*keys).agg(F.min("_g").alias("_start"), F.sum("_c").alias("_n"))
     pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
     need = (groups.select(*keys, "_start", "_n", pr)
             .withColumn("_h", F.col("p") * (F.col("_n") - 1))
             .withColumn("_lo", F.floor("_h").cast("bigint"))
             .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)))
-    picks = need.select(*keys, "p", "_h", "_lo", "_hi",
-                        F.explode(F.array(F.col("_start") + F.col("_lo"),
-                                          F.col("_start") + F.col("_hi"))).alias("_g")).distinct()
-    vals = picks.join(ranked.select("_g", "x"), "_g")
+    picks = need.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "p", "_h", "_lo",
+                        F.explode(F.array_distinct(F.array(F.col("_start") + F.col("_lo"), F.col("_start") + F.col("_hi")))).alias("_at"))
+    picks = materialize(picks)
+    # Two rows per group and probability: broadcast behind a check of their number.
+    picks = F.broadcast(picks) if picks.count() <= BROADCAST_PICKS else picks
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    vals = ranked.join(picks, [*same, F.col("_at") >= F.col("_g"), F.col("_at") < F.col("_g") + F.col("_c")]).drop(*[f"_k_{k}" for k in keys])
     out = (vals.groupBy(*keys, "p", "_h", "_lo")
            .agg(F.min("x").alias("_vlo"), F.max("x").alias("_vhi")))
     value = F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))

@@ -1,27 +1,28 @@
 """Duration-window rolling statistics.
 
 Semantics: the window ending at row t covers ``(t - w, t]`` (left edge
-excluded), NULLs are skipped, one observation is enough.  Rows sharing a
-timestamp are peers and see each other (a RANGE frame); pandas would exclude
-later peers, so inputs should have unique (group, time).
-
-Physical plan: a global time-ordered window would run in one task.  Instead
-time is cut into buckets of width ``W = k * w``; each row belongs to its
-bucket and is copied into the next bucket only if it lies within ``w`` of
-that bucket's start.  Every bucket then holds everything its own rows'
-windows need, windows run per (group, bucket) in parallel, and the copies are
-dropped.  Extra data is at most ``1/k`` of the input.
+excluded), NULLs are skipped, one observation is enough.  Of rows that share a
+timestamp a later one sees the earlier ones (``tie`` gives their order).
+
+Physical plan: a global time-ordered window would run in one task.  Time is cut
+into buckets of about equal row counts, each at least ``w`` long; a row is copied into
+the next bucket only if it lies within ``w`` of that bucket's start.  Every bucket then
+holds all that its own rows' windows need, and its windows slide once over its
+rows (running moments, and an ordered list for the quartiles), so the work is
+linear in the rows whatever the density.  The copies are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import parse_duration_us
-from ..functions.mathx import skew_kurt_exprs
+from .ordered import assign_bucket, order_bounds
 from .quality import numeric_columns
 
 ROLLING_STATS = ("mean", "median", "std", "var", "min", "max", "range", "q1", "q3", "iqr",
@@ -39,7 +40,7 @@ def validate_stats(stats: Sequence[str], allowed: Sequence[str] = PLOTTABLE_STAT
 
 def rolling_stats(df: DataFrame, window: str, time: str = "time", cols: Sequence[str] | None = None,
                   by: Sequence[str] = (), stats: Sequence[str] = ROLLING_STATS, start=None, end=None,
-                  bucket_factor: int = 8, check_rows: bool = False) -> DataFrame:
+                  buckets: int | None = None, check_rows: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """Add ``<col>_<stat>`` rolling columns for every numeric column."""
     stats = validate_stats(stats, ROLLING_STATS)
     by = list(by)
@@ -50,55 +51,57 @@ def rolling_stats(df: DataFrame, window: str, time: str = "time", cols: Sequence
         raise ValueError("Need at least 2 rows in the selected date range for rolling statistics")
     cols = [c for c in numeric_columns(src, cols) if c not in by]
     w_us = parse_duration_us(window)
-    width = w_us * max(1, bucket_factor)
-
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    bk = F.floor(t / F.lit(width)).cast("bigint")
-    near_next = t >= (bk + 1) * F.lit(width) - F.lit(w_us) + 1
-    copies = F.when(near_next, F.array(F.struct(bk.alias("b"), F.lit(True).alias("own")),
-                                       F.struct((bk + 1).alias("b"), F.lit(False).alias("own"))))\
-        .otherwise(F.array(F.struct(bk.alias("b"), F.lit(True).alias("own"))))
-    exp = (src.withColumn("_t", t).withColumn("_c", F.explode(copies))
-           .withColumn("_bk", F.col("_c.b")).withColumn("_own", F.col("_c.own")).drop("_c"))
-
-    win = Window.partitionBy(*by, "_bk").orderBy("_t").rangeBetween(-(w_us - 1), 0)
-    out = exp
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds: list[float] = []
+    for x in order_bounds(src, t, n):
+        if not bounds or x - bounds[-1] >= w_us:
+            bounds.append(x)
+    # A copy at t + w - 1 µs falls into the next bucket exactly if that bucket's first windows reach t.
+    own = assign_bucket(assign_bucket(src.withColumn("_t", t), F.col("_t"), bounds, "_own"), F.col("_t") + F.lit(w_us - 1), bounds, "_last")
+    exp = own.withColumn("_bk", F.explode(F.when(F.col("_t").isNull(), F.array("_own")).otherwise(F.sequence("_own", "_last"))))
+    kept = [f for f in src.schema.fields]
+    added = [T.StructField(f"{c}_{k}", T.LongType() if k == "count" else T.DoubleType()) for c in cols for k in ROLLING_STATS if k in stats]
+    run = partial(_slide, names=[f.name for f in kept], cols=cols, stats=stats, w_us=w_us, tie=list(tie))
+    return exp.drop("_last").groupBy(*by, "_bk").applyInPandas(lambda pdf: run(pdf), T.StructType([*kept, *added]))
+
+
+def _slide(pdf, names: list[str], cols: list[str], stats: list[str], w_us: int, tie: list[str]):
+    """One bucket of one group: windows slide over rows sorted by time, then copies are dropped."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values(["_t", *tie], kind="stable", ignore_index=True)
+    at = pd.to_datetime(pdf["_t"], unit="us")
+    keep = (pdf["_own"] == pdf["_bk"]).to_numpy()
+    out = pdf.loc[keep, names].copy()
+    dated = at.notna().to_numpy()
     for c in cols:
-        x = F.col(c)
-        exprs = {}
-        if "mean" in stats:
-            exprs["mean"] = F.avg(x).over(win)
-        # One percentile aggregate per window for all three quartiles.
-        qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(win)
-        if "median" in stats:
-            exprs["median"] = qs[1]
-        if "std" in stats:
-            exprs["std"] = F.stddev_samp(x).over(win)
-        if "var" in stats:
-            exprs["var"] = F.var_samp(x).over(win)
-        mn, mx = F.min(x).over(win), F.max(x).over(win)
-        if "min" in stats:
-            exprs["min"] = mn
-        if "max" in stats:
-            exprs["max"] = mx
-        if "range" in stats:
-            exprs["range"] = mx - mn
-        q1, q3 = qs[0], qs[2]
-        if "q1" in stats:
-            exprs["q1"] = q1
-        if "q3" in stats:
-            exprs["q3"] = q3
-        if "iqr" in stats:
-            exprs["iqr"] = q3 - q1
-        if "skew" in stats or "kurt" in stats:
-            sk, ku = skew_kurt_exprs(x, over=win, rolling=True)
-            if "skew" in stats:
-                exprs["skew"] = sk
-            if "kurt" in stats:
-                exprs["kurt"] = ku
-        if "sum" in stats:
-            exprs["sum"] = F.sum(x).over(win)
-        if "count" in stats:
-            exprs["count"] = F.count(x).over(win).cast("bigint")
-        out = out.select("*", *[e.alias(f"{c}_{k}") for k, e in exprs.items() if k in stats])
-    return out.where(F.col("_own")).drop("_t", "_bk", "_own")
+        x = pd.Series(pdf[c].astype("float64").to_numpy()[dated], index=pd.DatetimeIndex(at[dated]))
+        centre = np.nanmean(x) if x.notna().any() else 0.0
+        y = x - centre  # moments of centred values lose no digits
+        r, rx = y.rolling(f"{w_us}us", min_periods=1), x.rolling(f"{w_us}us", min_periods=1)
+        count = rx.count()
+        low, high = rx.min(), rx.max()
+        get = {
+            "mean": lambda: r.mean() + centre, "median": rx.median, "std": r.std, "var": r.var, "min": lambda: low, "max": lambda: high,
+            "range": lambda: high - low, "q1": lambda: rx.quantile(0.25), "q3": lambda: rx.quantile(0.75),
+            "iqr": lambda: rx.quantile(0.75) - rx.quantile(0.25),
+            "skew": lambda: r.skew().mask((low == high) & (count >= 3), 0.0), "kurt": lambda: r.kurt().mask((low == high) & (count >= 4), -3.0),
+            "sum": lambda: (r.sum() + centre * count).where(count > 0), "count": lambda: count,
+        }
+        for k in ROLLING_STATS:
+            if k in stats:
+                values = np.full(len(pdf), 0.0 if k == "count" else np.nan)
+                values[dated] = get[k]().to_numpy()
+                if k in ("std", "var"):
+                    values[dated] = np.where((low == high).to_numpy() & (count >= 2).to_numpy(), 0.0, values[dated])
+                values = values[keep]
+                out[f"{c}_{k}"] = values.astype("int64") if k == "count" else pd.Series(values, index=out.index).astype(object).where(~np.isnan(values), None)
+    return out
+
+
+def rolling_selection(df: DataFrame, window: str, stats: Sequence[str], time: str = "time", cols: Sequence[str] | None = None,
+                      by: Sequence[str] = (), **how) -> DataFrame:
+    """Rolling statistics chosen among the names that can be plotted (sum and count are not)."""
+    return rolling_stats(df, window, time, cols, by, validate_stats(stats), **how)

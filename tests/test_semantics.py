@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantfold.functions.text import parse_response
-from quantfold.operators import articles, asof, clean, metrics, panel, quality, rolling, signals, stats
+from quantfold.operators import articles, asof, clean, metrics, ordered, panel, quality, quantiles, rolling, signals, stats
 from quantfold.operators.quantiles import quantile_wide
 
 
@@ -153,7 +153,7 @@ def test_rolling_matches_pandas(spark):
     n = 400
     t = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.choice(10**6, n, replace=False)), unit="s")
     pdf = pd.DataFrame({"time": t, "v": rng.normal(size=n).round(3)})
-    out = rolling.rolling_stats(spark.createDataFrame(pdf), "6h", "time", ["v"], bucket_factor=2)
+    out = rolling.rolling_stats(spark.createDataFrame(pdf), "6h", "time", ["v"], buckets=40)
     got = pd.DataFrame([r.asDict() for r in out.orderBy("time").collect()])
     r = pdf.set_index("time")["v"].rolling("6h", min_periods=1)
     for stat, ref in [("mean", r.mean()), ("var", r.var()), ("median", r.median()), ("q1", r.quantile(0.25)),
@@ -161,6 +161,62 @@ def test_rolling_matches_pandas(spark):
         assert np.allclose(got[f"v_{stat}"].astype(float), ref.to_numpy(), equal_nan=True, atol=1e-6), stat
 
 
+def test_fills_on_equal_times_match_pandas(spark):
+    """The order of equal times is the tie column's, in both directions."""
+    d = [dt.datetime(2024, 1, k) for k in (1, 1, 2, 2, 3)]
+    pdf = pd.DataFrame({"id": range(1, 6), "time": d, "v": [None, 5.0, 7.0, None, 9.0]})
+    df = spark.createDataFrame([(int(i), t.to_pydatetime(), None if pd.isna(v) else float(v)) for i, t, v in pdf.itertuples(index=False)], "id int, time timestamp, v double")
+    want = {"forwardfill": pdf["v"].ffill(), "backfill": pdf["v"].bfill(), "linear_interpolation": pdf["v"].interpolate()}
+    for method, ref in want.items():
+        for buckets in (1, 3):
+            got = {r["id"]: r["v"] for r in clean.fill_null(df, ["v"], method, buckets=buckets, tie=["id"]).collect()}
+            assert [got[i] for i in range(1, 6)] == [None if pd.isna(x) else x for x in ref], (method, buckets)
+
+
+def test_outlier_time_leaves_even_buckets(spark):
+    base = spark.range(20_000).selectExpr("timestamp_micros(1704067200000000 + id * 1000000) AS time")
+    df = base.union(spark.sql("SELECT timestamp_micros(0L) AS time"))
+    sizes = [r["count"] for r in ordered.bucketize(df, "time", buckets=8).groupBy("_bk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 20_001 / 8
+
+
+def test_asof_with_repeated_right_keys_keeps_left_rows(spark):
+    left = spark.createDataFrame([(1, 5), (2, 9)], "id int, k int")
+    right = spark.createDataFrame([(4, "a", 1), (4, "b", 0), (8, None, 3)], "rk int, x string, y int")
+    got = sorted((r["id"], r["rk"], r["x"], r["y"]) for r in asof.asof_join(left, right, "k", "rk").collect())
+    assert got == [(1, 4, "b", 0), (2, 8, None, 3)]
+
+
+def test_quantiles_of_a_hot_value(spark):
+    df = spark.range(10_000).selectExpr("CASE WHEN id % 10 < 7 THEN 0.0D ELSE id / 7 END AS v", "id % 3 AS g", "CASE WHEN id % 2 = 0 THEN 'x' END AS h")
+    pdf = df.toPandas()
+    got = {(r["g"], r["h"], r["p"]): r["value"] for r in quantiles.quantiles(df, ["v"], [0.0, 0.25, 0.7, 0.705, 0.99, 1.0], by=["g", "h"]).collect()}
+    for (g, h), x in pdf.groupby(["g", "h"], dropna=False)["v"]:
+        for p in (0.0, 0.25, 0.7, 0.705, 0.99, 1.0):
+            assert got[(g, h if isinstance(h, str) else None, p)] == pytest.approx(x.quantile(p), abs=1e-9)
+
+
+def test_rolling_of_dense_data_and_ties_matches_pandas(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    t = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 40_000, 3000)), unit="s")
+    pdf = pd.DataFrame({"time": t, "n": range(3000), "v": np.where(rng.random(3000) < 0.1, np.nan, rng.normal(1000, 1, 3000))})
+    df = spark.createDataFrame([(a.to_pydatetime(), int(n), None if np.isnan(v) else float(v)) for a, n, v in pdf.itertuples(index=False)], "time timestamp, n int, v double")
+    got = rolling.rolling_stats(df, "2h", "time", ["v"], buckets=16, tie=["n"]).toPandas().sort_values("n")
+    r = pdf.set_index("time")["v"].rolling("2h", min_periods=1)
+    for stat, ref in [("mean", r.mean()), ("std", r.std()), ("min", r.min()), ("max", r.max()), ("q3", r.quantile(0.75)), ("skew", r.skew()), ("sum", r.sum()), ("count", r.count())]:
+        assert np.allclose(got[f"v_{stat}"].astype(float), ref.to_numpy(), equal_nan=True, atol=1e-5), stat
+
+
+def test_rolling_selection_names(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0)], "time timestamp, v double")
+    assert rolling.rolling_selection(df, "1h", ["mean", "iqr"], cols=["v"]).columns == ["time", "v", "v_mean", "v_iqr"]
+    for bad in ("sum", "count", "nonsense"):
+        with pytest.raises(ValueError):
+            rolling.rolling_selection(df, "1h", [bad], cols=["v"])
+
+
 def test_weights_sum_per_side(spark):
     preds = spark.createDataFrame(
         [(i, 1, c, "future", lab) for i, (c, lab) in enumerate(
