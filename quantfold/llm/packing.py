@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(tokenizer, end_id)
         code, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for t in merged(batches, "text", 5 << 20):
+        for t in merged(batches, "text", 8 << 20):
             offsets, ids = code.encode(large(t["text"]))
             ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))

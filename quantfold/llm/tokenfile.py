@@ -29,7 +29,7 @@ from .common import large, merged, scratch, small_batches
 from .tokens import encoder
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
-ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 5 << 20
+ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 8 << 20
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
