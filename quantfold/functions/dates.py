@@ -25,14 +25,6 @@ def parse_us_datetime(c, strict: bool = True) -> Column:
     return F.date_trunc("day", ts)
 
 
-def to_midnight(c) -> Column:
-    return F.date_trunc("day", col_(c))
-
-
-def unix_us(c) -> Column:
-    return F.unix_micros(col_(c).cast("timestamp"))
-
-
 def parse_duration_us(window: str) -> int:
     """Fixed-length duration -> microseconds ('365D', '12h', '30min', '1 day', ...).
 

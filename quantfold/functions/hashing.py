@@ -25,7 +25,3 @@ def hash_sql(*parts: str) -> str:
     joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"CAST('0x' || substr(md5(concat_ws('|', {joined})), 1, 15) AS BIGINT)"
 
-
-def hash_unit(*parts) -> Column:
-    """Hash mapped to [0, 1)."""
-    return hash_key(*parts) / F.lit(float(1 << 60))

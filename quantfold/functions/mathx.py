@@ -20,11 +20,6 @@ def finite_or_null(c) -> Column:
     return F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(c)
 
 
-def nan_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def safe_ln(c) -> Column:
     """Natural log defined as NULL for x <= 0 (NumPy gives -inf / NaN)."""
     c = col_(c)

@@ -17,19 +17,8 @@ from .mathx import col_
 # Currency codes in ranking order (ties in return ranking are broken by this
 # order): USD, EUR, JPY, GBP, CAD, AUD, CHF, SEK, NOK, NZD.
 #
-# Currency synonyms, searched case-insensitively as unanchored patterns, in
-# this code order (it is also the order of the detected-currency list):
-#   EUR: EUR, Euro
-#   USD: USD, Dollar, Dollars, US Dollar, US-Dollar, U\.S\. Dollar, US Dollars,
-#        US-Dollars, U\.S\. Dollars, Greenback
-#   JPY: JPY, Yen, Japanese Yen
-#   GBP: GBP, Pound, Pounds, Sterling, British Pound, British Pounds
-#   AUD: AUD, Australian Dollar, Australian Dollars, Aussie
-#   CAD: CAD, Canadian Dollar, Canadian Dollars
-#   CHF: CHF, Swiss Franc, Swiss Francs, Swissie
-#   NZD: NZD, New Zealand Dollar, New Zealand Dollars, Kiwi
-#   NOK: NOK, Norwegian Krone, Norwegian Kroner
-#   SEK: SEK, Swedish Krona, Swedish Kronor
+# Currency synonyms are searched case-insensitively as unanchored patterns, in
+# the order below (it is also the order of the detected-currency list).
 #
 # Evaluation code order: EUR, USD, GBP, JPY, AUD, CAD, CHF, NZD, NOK, SEK.
 # Label domain: appreciation, depreciation, unchanged.
@@ -53,17 +42,19 @@ CURRENCY_SYNONYMS: dict[str, list[str]] = {
 EVAL_CODES = ["EUR", "USD", "GBP", "JPY", "AUD", "CAD", "CHF", "NZD", "NOK", "SEK"]
 LABELS = ["appreciation", "depreciation", "unchanged"]
 
-_WS = r"(?U)\s"
+#: White space as Python's str methods see it: Unicode's and the separators U+001C-U+001F.
+WS = r"[\s\x{1c}-\x{1f}]"
+NOT_WS = r"[^\s\x{1c}-\x{1f}]"
 
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing (Unicode) whitespace."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col_(c), rf"(?U)^{WS}+|{WS}+$", "")
 
 
 def word_count(c) -> Column:
     """Number of whitespace-separated words (``len(str.split())``); NULL stays NULL."""
-    parts = F.split(col_(c), r"(?U)\s+")
+    parts = F.split(col_(c), rf"(?U){WS}+")
     return F.size(F.filter(parts, lambda w: w != F.lit(""))).cast("bigint")
 
 
@@ -72,7 +63,7 @@ def has_min_words(c, n: int) -> Column:
     that stops after the n-th word.  NULL text gives NULL (filtered out)."""
     if n <= 0:
         return col_(c).isNotNull()
-    return col_(c).rlike(rf"(?U)^\s*(?:\S+\s+){{{n - 1}}}\S")
+    return col_(c).rlike(rf"(?U)^{WS}*(?:{NOT_WS}+{WS}+){{{n - 1}}}{NOT_WS}")
 
 
 def truncate_chars(c, n: int) -> Column:

@@ -71,27 +71,36 @@ def with_mentions(df: DataFrame, synonyms: dict[str, list[str]] | None = None,
     return res.where(F.size(out) > 0) if drop_empty else res
 
 
-def read_articles(spark, sources: dict[str, str], date_styles: dict[str, str] | None = None) -> DataFrame:
-    """Read one CSV per source (multi-line quoted fields), clean each source, union.
+def land_articles(spark, sources: dict[str, str]) -> DataFrame:
+    """CSV files of each source (quoted fields may span lines) -> the article columns, ``source`` and ``ordinal``.
 
-    ``ordinal`` is the row position inside its file (via the input file block
-    and position), used for keep-first de-duplication.
-    """
+    ``ordinal`` is (file, position in it).  A file is read by one task in its order; ids that grow with the rows of a
+    task become positions by taking off the file's first.  The rows are written to the shared folder
+    once, before the ids are used, so all later plans see the same numbers; read that instead of CSV again."""
     frames = []
-    for i, (src, path) in enumerate(sources.items()):
+    for src, path in sources.items():
         raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-               .csv(path))
-        raw = raw.withColumn("source", F.lit(src)).withColumn("ordinal", F.monotonically_increasing_id())
-        for c in ARTICLE_COLUMNS:
-            if c not in raw.columns:
-                raw = raw.withColumn(c, F.lit(None).cast("string"))
-        cleaned = clean_articles(raw)
-        style = (date_styles or {}).get(src, "iso")
-        frames.append(normalise_dates(cleaned, style))
-    out = frames[0]
+               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        cols = [F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in ARTICLE_COLUMNS]
+        frames.append(raw.select(F.lit(src).alias("source"), *cols, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")))
+    landed = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        landed = landed.unionByName(f)
+    landed = materialize(landed)
+    first = landed.groupBy("_file").agg(F.min("_row").alias("_first"))  # one row per file
+    position = F.struct(F.col("_file").alias("file"), (F.col("_row") - F.col("_first")).alias("position"))
+    return landed.join(first, "_file").withColumn("ordinal", position).drop("_file", "_row", "_first")
+
+
+def read_articles(spark, sources: dict[str, str], date_styles: dict[str, str] | None = None) -> DataFrame:
+    """Land, clean and union the sources; each source's dates by its style (``iso`` unless named)."""
+    styles = {s: (date_styles or {}).get(s, "iso") for s in sources}
+    if bad := set(styles.values()) - {"iso", "us"}:
+        raise ValueError(f"unknown date style {sorted(bad)!r}")
+    out = clean_articles(land_articles(spark, sources))
+    us = [s for s, style in styles.items() if style == "us"]
+    iso = iso_to_local_midnight(F.when(~F.col("source").isin(us), F.col("Date")))
+    return out.withColumn("Date", F.coalesce(iso, parse_us_datetime(F.when(F.col("source").isin(us), F.col("Date")))))
 
 
 def date_window(df: DataFrame, lo, hi, col: str = "Date") -> DataFrame:

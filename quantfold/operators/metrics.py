@@ -121,11 +121,3 @@ def regression_metrics(df: DataFrame, y: str = "y_actual", yhat: str = "y_predic
     cols = ([by] if by else []) + [F.col("mse"), r2.alias("r2"), "mae", F.sqrt("mse").alias("rmse"),
                                    F.col("n").cast("bigint").alias("n")]
     return g.select(*cols)
-
-
-def stage_counts(df: DataFrame, name: str):
-    """Row count of a pipeline stage collected as a side metric (no extra job)."""
-    from pyspark.sql import Observation
-
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

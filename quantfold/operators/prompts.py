@@ -23,8 +23,6 @@ from ..functions.text import token_count
 # ---------------------------------------------------------------------------
 QUESTION = "appreciation, depreciation, or unchanged"
 
-PROMPT_HEAD = "Title: {title}\nText: {text}\n\n"
-
 PROMPT_INSTRUCTIONS = (
     "Instructions:\n"
     "Objective: For each mentioned currency, answer the following questions:\n"
@@ -129,12 +127,34 @@ def prompt_overhead(currencies, budget: int = MAX_SEQ_LENGTH, with_target: bool
     return n, F.lit(budget) - n
 
 
+_SCORERS: dict = {}
+
+
+def worker_scorer(factory: Callable):
+    """The Python worker's scorer of an importable factory, loaded at its first use."""
+    import sys
+
+    own = getattr(sys.modules.get(getattr(factory, "__module__", "")), getattr(factory, "__qualname__", ""), None)
+    if own is not factory:
+        return factory()
+    if factory not in _SCORERS:
+        _SCORERS[factory] = factory()
+    return _SCORERS[factory]
+
+
+def overhead_table(spark, codes: Sequence[str], counts: Sequence[int] = (1, 2, 3, 5, 10), budget: int = MAX_SEQ_LENGTH) -> DataFrame:
+    """``n_currencies, overhead_tokens, remaining_tokens`` of prompts that ask for the first n codes."""
+    n, left = prompt_overhead(F.col("cur"), budget)
+    rows = spark.createDataFrame([(list(codes[:k]),) for k in counts], "cur array<string>")
+    return rows.select(F.size("cur").alias("n_currencies"), n.alias("overhead_tokens"), left.alias("remaining_tokens"))
+
+
 def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
                   input_col: str, output_col: str = "response", batch_size: int = 16) -> DataFrame:
     """Run a model over one text column in Arrow batches.
 
-    ``scorer_factory`` is called once per Python worker task (load the model
-    there); the scorer maps a list of inputs to a list of outputs of equal
+    ``scorer_factory`` loads the model; one that can be imported by its name is called
+    once per Python worker, any other once per task.  The scorer maps a list of inputs to a list of outputs of equal
     length.  Batches are cut to ``batch_size`` rows.
     """
     import pandas as pd
@@ -144,7 +164,7 @@ def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str
     out_schema = StructType([*df.schema.fields, StructField(output_col, StringType(), True)])
 
     def run(batches: Iterable[pd.DataFrame]):
-        scorer = scorer_factory()
+        scorer = worker_scorer(scorer_factory)
         for pdf in batches:
             outs = []
             texts = pdf[input_col].fillna("").tolist()

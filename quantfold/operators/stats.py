@@ -126,11 +126,3 @@ def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
 def counts_by_year(df: DataFrame, date: str = "datadate") -> DataFrame:
     return (df.groupBy(F.year(date).alias("year")).agg(F.count(F.lit(1)).alias("count"))
             .orderBy("year"))
-
-
-def running(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Cumulative sum, running maximum and drawdown of a short series (one row per date)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("cum", F.sum(value).over(w))
-            .withColumn("running_max", F.max("cum").over(w))
-            .withColumn("drawdown", F.col("running_max") - F.col("cum")))

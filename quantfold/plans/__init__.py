@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_fx", "q_ts", "q_news", "q_panel")
+_MODULES = ("q_fx", "q_ts", "q_news", "q_panel", "q_sources")
 
 
 def all_queries():

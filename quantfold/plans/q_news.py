@@ -14,6 +14,7 @@ from ..operators import articles as A
 from ..operators import metrics as M
 from ..operators import prompts as P
 from ..operators import returns as R
+from ..operators import sampling as SM
 from ..operators import signals as S
 from ..operators.asof import asof_join
 from ..operators.labelling import label_articles
@@ -198,6 +199,50 @@ def news_date_window(spark, sf_dir):
         "doc_id", F.col("Date").alias("date"))
 
 
+@register("news_sample", f"""
+SELECT doc_id FROM documents ORDER BY {hash_sql('doc_id', '7')}, doc_id LIMIT 150""", ops=("G07",))
+def news_sample(spark, sf_dir):
+    return SM.sample_exact(fx.table(spark, sf_dir, "documents").select("doc_id"), 150, ["doc_id"], 7)
+
+
+@register("news_split", f"""WITH r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY {hash_sql('doc_id', '42')}, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents
+  WHERE TIMESTAMP '2019-12-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) < TIMESTAMP '2020-01-01 00:00:00')
+SELECT doc_id, CASE WHEN k < 200 THEN 'eval' WHEN k < 200 + floor((n - 200) * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""",
+          ops=("G08",))
+def news_split(spark, sf_dir):
+    """200 articles for evaluation and an 80/20 split of the rest, of the articles before 2020-01-01."""
+    date = F.lit("2019-12-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    art = fx.table(spark, sf_dir, "documents").select("doc_id", date.alias("Date"))
+    old = art.where(F.col("Date") < F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    return SM.split_exact(old, 200, 0.8, ["doc_id"]).select("doc_id", "split")
+
+
+@register("prompt_targets", f"""{_labelled_sql()},
+lb AS (SELECT doc_id, mentioned, MAP {{{", ".join(f"'{c}_{h}': {c}_{h}_label" for c in CODES for h in ("past", "future"))}}} AS labels FROM out)
+SELECT doc_id, array_to_string(list_transform(mentioned, lambda x: x || '_past: "' || labels[x || '_past'] || '"' || chr(10)
+       || x || '_future: "' || labels[x || '_future'] || '"' || chr(10)), '') AS target FROM lb""", ops=("F16",))
+def prompt_targets(spark, sf_dir):
+    """Training targets of labelled articles."""
+    out = labelled_articles(spark, sf_dir)
+    return out.select("doc_id", P.target_text("mentioned_currencies", P.label_map(CODES)).alias("target"))
+
+
+@register("news_stage_counts", f"""{_labelled_sql()}
+SELECT 'read' AS stage, count(*) AS n FROM a UNION ALL SELECT 'long enough', count(*) FROM f
+UNION ALL SELECT 'without repeats', count(*) FROM c UNION ALL SELECT 'mentioning', count(*) FROM m2
+UNION ALL SELECT 'labelled', count(*) FROM out""", ops=("C25", "C06"))
+def news_stage_counts(spark, sf_dir):
+    art = fx.articles(spark, sf_dir)
+    stages = {"read": art, "long enough": art.where(TX.has_min_words("`Full Text`", 20)), "without repeats": A.clean_articles(art),
+              "mentioning": A.with_mentions(A.clean_articles(art), STAND_SYNONYMS), "labelled": labelled_articles(spark, sf_dir)}
+    counts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, df in stages.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
 # --- responses, parsing and evaluation ---------------------------------------------
 def _response_expr():
     """Deterministic stand-in model answer per article: a label per mentioned code and

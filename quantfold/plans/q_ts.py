@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import series
 from ..operators import clean, quality, rolling, stats
 from ..operators.returns import to_wide
 from . import fixtures as fx
@@ -304,7 +305,7 @@ WHERE a.event_type = 'click' AND b.event_type = 'view'""", ops=("A23", "G11"))
 def ts_align_series(spark, sf_dir):
     a = fx.hourly_series(spark, sf_dir, "click", "click")
     b = fx.hourly_series(spark, sf_dir, "view", "view")
-    return a.join(b, "time", "inner")
+    return series.align_series(a, b)
 
 
 @register("ts_combine_series", f"""WITH {_HOURLY}
@@ -321,9 +322,7 @@ SELECT event_id, time, 'value' AS series, {r6("value")} AS y FROM e UNION ALL
 SELECT event_id, time, 'user_id', {r6("CAST(user_id AS DOUBLE)")} FROM e""", ops=("G13",))
 def ts_plot_frame(spark, sf_dir):
     ev = _ev(spark, sf_dir)
-    keep = [c for c in ["value", "user_id", "not_a_column"] if c in ev.columns]
-    sel = ev.select("event_id", "time", *[F.col(c).cast("double").alias(c) for c in keep])
-    return sel.unpivot(["event_id", "time"], keep, "series", "y")
+    return series.series_frame(ev, ["value", "user_id", "not_a_column"], ["event_id", "time"])
 
 
 _W_US = 6 * 3600 * 1_000_000
@@ -363,3 +362,16 @@ def ts_rolling_stats(spark, sf_dir):
 def ts_rolling_selection(spark, sf_dir):
     out = rolling.rolling_selection(_sevenths(spark, sf_dir), "6h", ["median", "iqr", "kurt"], "time", ["value"], by=["event_type"], tie=["event_id"])
     return out.drop("event_type", "time", "value")
+
+
+# Repeated times: the hour of each event, ordered by event_id within it.
+@register("ts_ffill_repeated_times", E + """,
+h AS (SELECT event_id, date_trunc('hour', time) AS time, value FROM e)
+SELECT event_id, time, round(COALESCE(value, last_value(value IGNORE NULLS) OVER (ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS ffill,
+       round(COALESCE(value, first_value(value IGNORE NULLS) OVER (ORDER BY time, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS bfill
+FROM h""", ops=("A14",))
+def ts_ffill_repeated_times(spark, sf_dir):
+    h = _ev(spark, sf_dir).select("event_id", F.date_trunc("hour", "time").alias("time"), "value")
+    both = h.select("*", F.col("value").alias("ffill"), F.col("value").alias("bfill")).drop("value")
+    filled = clean.fill_null(both, ["ffill"], "forwardfill", tie=["event_id"])
+    return clean.fill_null(filled, ["bfill"], "backfill", tie=["event_id"])
