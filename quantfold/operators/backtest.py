@@ -5,14 +5,13 @@ data flow is kept (walk-forward folds, K-fold grid search, bootstrap
 bagging, ensemble mean, per-fold and overall metrics) and the estimator is
 ridge regression solved from sufficient statistics:
 
-1. one ``mapInPandas`` pass turns rows into partial Gram matrices (X'X, X'y,
-   y'y, n) per (fold, group) for each Arrow batch - a map-side combine;
-2. a ``groupBy`` sums the partials (p^2 numbers per group; no row reaches
-   the driver, no group of rows is held in one task);
-3. ``applyInPandas`` per fold solves the small systems: CV error of every
+1. rows are dealt by (fold, group, part) and sorted; one ``mapInPandas`` pass
+   streams over them and sums Gram matrices (X'X, X'y, y'y, n), one array per
+   (fold, group, part);
+2. ``applyInPandas`` per fold adds its few arrays and solves the small systems: CV error of every
    alpha from the held-out group's statistics, the best alpha, then one
    coefficient vector per bootstrap member;
-4. predictions are an equi-join of coefficients with the long test rows.
+3. predictions are an equi-join of coefficients with the long test rows.
 
 Linear members make the ensemble mean equal the mean coefficient vector.
 """
@@ -33,36 +32,43 @@ from .metrics import regression_metrics
 ALPHAS = (1e-5, 1e-2, 1.0)
 
 
-def _partial_grams(features: Sequence[str]):
-    p = len(features)
+#: Parts that a (fold, group) is cut into for its sums, so that no fold's rows meet in one task.
+SALTS = 8
+
+
+def _grams(features: Sequence[str]):
+    """Sums X'X, X'y, y'y, n of consecutive rows of a (fold, group, part), one array each."""
+    names = list(features)
 
     def run(batches):
+        now, total = None, None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[list(features)].to_numpy(dtype=float, na_value=0.0)
-            x = np.hstack([np.ones((len(pdf), 1)), x])
-            y = pdf["y"].to_numpy(dtype=float)
-            w = pdf["weight"].to_numpy(dtype=float)
-            rows = []
-            for (fold, grp), idx in pdf.groupby(["fold", "grp"]).indices.items():
-                xs, ys, ws = x[idx], y[idx], w[idx]
-                xtx = (xs * ws[:, None]).T @ xs
-                xty = (xs * ws[:, None]).T @ ys
-                vec = np.concatenate([xtx.ravel(), xty, [float(ws @ (ys * ys)), float(ws.sum())]])
-                rows.append(pd.DataFrame({"fold": fold, "grp": grp, "idx": np.arange(vec.size), "v": vec}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
-    return run, (p + 1) * (p + 1) + (p + 1) + 2
+            x = np.hstack([np.ones((len(pdf), 1)), pdf[names].to_numpy(dtype=float, na_value=0.0)])
+            y, w = pdf["y"].to_numpy(dtype=float), pdf["weight"].to_numpy(dtype=float)
+            new = (pdf[["fold", "grp", "part"]] != pdf[["fold", "grp", "part"]].shift()).any(axis=1).to_numpy()
+            at = np.append(np.flatnonzero(new), len(pdf))
+            for i, j in zip(at[:-1], at[1:]):
+                key = tuple(pdf[["fold", "grp", "part"]].iloc[i])
+                xs, ys, ws = x[i:j], y[i:j], w[i:j]
+                xw = xs * ws[:, None]
+                vec = np.concatenate([(xw.T @ xs).ravel(), xw.T @ ys, [float(ws @ (ys * ys)), float(ws.sum())]])
+                if key == now:
+                    total += vec
+                    continue
+                if now is not None:
+                    yield pd.DataFrame({"fold": [now[0]], "grp": [now[1]], "v": [total]})
+                now, total = key, vec
+        if now is not None:
+            yield pd.DataFrame({"fold": [now[0]], "grp": [now[1]], "v": [total]})
+
+    return run
 
 
 def _solver(features: Sequence[str], alphas: Sequence[float], k: int):
     p1 = len(features) + 1
 
     def unpack(v):
-        xtx = v[:p1 * p1].reshape(p1, p1)
-        xty = v[p1 * p1:p1 * p1 + p1]
-        return xtx, xty, v[-2], v[-1]
+        return v[:p1 * p1].reshape(p1, p1), v[p1 * p1:p1 * p1 + p1], v[-2], v[-1]
 
     def ridge(xtx, xty, alpha):
         pen = np.eye(p1) * alpha
@@ -71,17 +77,15 @@ def _solver(features: Sequence[str], alphas: Sequence[float], k: int):
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         fold = int(pdf["fold"].iloc[0])
-        stats = {g: unpack(d.sort_values("idx")["v"].to_numpy()) for g, d in pdf.groupby("grp")}
+        stats = {g: unpack(np.sum(np.stack(d["v"].to_list()), axis=0)) for g, d in pdf.groupby("grp")}
         cv = [stats[f"cv{i}"] for i in range(k) if f"cv{i}" in stats]
         best_alpha, best = None, np.inf
         for a in alphas:
             errs = []
             for i, (xtx_k, xty_k, yy_k, n_k) in enumerate(cv):
-                xtx = sum(s[0] for j, s in enumerate(cv) if j != i)
-                xty = sum(s[1] for j, s in enumerate(cv) if j != i)
-                if n_k == 0 or isinstance(xtx, int):
+                if n_k == 0 or len(cv) < 2:
                     continue
-                w = ridge(xtx, xty, a)
+                w = ridge(sum(s[0] for j, s in enumerate(cv) if j != i), sum(s[1] for j, s in enumerate(cv) if j != i), a)
                 errs.append((yy_k - 2 * w @ xty_k + w @ xtx_k @ w) / n_k)
             score = float(np.mean(errs)) if errs else np.inf
             if score < best:
@@ -102,8 +106,9 @@ def rolling_backtest(frame: DataFrame, features: Sequence[str], start: int, end:
                      date: str = "datadate", target: str = "y") -> tuple[DataFrame, DataFrame]:
     """Walk-forward ridge backtest -> (predictions, metrics per fold + overall).
 
-    predictions: ``(fold, key, date, y_actual, y_predicted)``; metrics:
-    ``(fold, mse, r2, mae, rmse, n)`` with a NULL-fold overall row.
+    predictions: ``(fold, key, date, y_actual, y_predicted)``; metrics: ``(fold, mse, r2,
+    mae, rmse, n)`` with a NULL-fold overall row, and the fold's record: ``best_alpha``,
+    ``best_cv_mse``, ``n_train``, ``n_test``.
     """
     # The fold-expanded frame and the scaled model matrix feed K-fold, bootstrap,
     # Gram statistics and prediction: each is written once to the checkpoint
@@ -122,12 +127,13 @@ def rolling_backtest(frame: DataFrame, features: Sequence[str], start: int, end:
     b_rows = (boot.join(train, ["fold", key, date])
               .select("fold", F.concat(F.lit("m"), F.col("member").cast("string")).alias("grp"),
                       *feats, "y", F.col("weight").cast("double").alias("weight")))
-    run, _ = _partial_grams(feats)
-    partial = cv_rows.unionByName(b_rows).mapInPandas(run, "fold int, grp string, idx int, v double")
-    sums = partial.groupBy("fold", "grp", "idx").agg(F.sum("v").alias("v"))
-    coefs = sums.groupBy("fold").applyInPandas(
+    rows = cv_rows.unionByName(b_rows).withColumn("part", F.pmod(F.xxhash64("y", *feats[:1]), F.lit(SALTS)).cast("int"))
+    sums = (rows.repartition("fold", "grp", "part").sortWithinPartitions("fold", "grp", "part")
+            .mapInPandas(_grams(feats), "fold int, grp string, v array<double>"))
+    # At most (k + members) * SALTS arrays a fold reach its solver.
+    coefs = materialize(sums.groupBy("fold").applyInPandas(
         _solver(feats, alphas, k),
-        "fold int, feature string, coef double, best_alpha double, best_cv_mse double")
+        "fold int, feature string, coef double, best_alpha double, best_cv_mse double"))
     test = scaled.where(F.col("role") == "test")
     pred = (test.join(F.broadcast(coefs.where(F.col("feature") != "_intercept")), ["fold", "feature"])
             .groupBy("fold", key, date).agg(F.sum(F.col("x") * F.col("coef")).alias("_lin")))
@@ -136,7 +142,9 @@ def rolling_backtest(frame: DataFrame, features: Sequence[str], start: int, end:
     preds = (actual.join(pred, ["fold", key, date], "left").join(F.broadcast(icpt), "fold")
              .select("fold", key, date, "y_actual",
                      (F.col("_b0") + F.coalesce("_lin", F.lit(0.0))).alias("y_predicted")))
-    metrics = regression_metrics(preds, "y_actual", "y_predicted", by="fold")
+    sizes = folds.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+    record = coefs.where(F.col("feature") == "_intercept").select("fold", "best_alpha", "best_cv_mse").join(sizes, "fold")
+    metrics = regression_metrics(preds, "y_actual", "y_predicted", by="fold").join(F.broadcast(record), "fold", "left")  # a row a fold
     return preds, metrics
 
 

@@ -179,3 +179,41 @@ def panel_backtest(spark, sf_dir):
     _, metrics = BT.rolling_backtest(mf, _SCALE_FEATURES, START, END, TRAIN_YEARS, k=5, members=10)
     return metrics
 
+
+
+def _one_sql() -> str:
+    """Ridge with a free intercept on one feature, from sums: slope = Sxy / (Sxx + alpha) around the means."""
+    sums = "sum({w}) AS n, sum({w} * x) AS sx, sum({w} * x * x) AS sxx, sum({w} * y) AS sy, sum({w} * x * y) AS sxy, sum({w} * y * y) AS syy"
+    slope = "(sxy - sx * sy / n) / (sxx - sx * sx / n + {a})"
+    return f"""{_scale_sql(["ib_per_share"])},
+o AS (SELECT out.fold, out.role, out.gvkey, out.datadate, out.x, fo.y FROM out JOIN fo
+      ON out.fold = fo.fold AND out.role = fo.role AND out.gvkey = fo.gvkey AND out.datadate = fo.datadate),
+tr AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('gvkey', 'datadate', '42')}) - 1 AS pos FROM o WHERE role = 'train'),
+al AS (SELECT unnest([1e-5, 1e-2, 1.0]) AS alpha),
+g AS (SELECT fold, pos % 5 AS cv, {sums.format(w="1.0")} FROM tr GROUP BY 1, 2),
+tot AS (SELECT fold, sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy, sum(syy) AS syy FROM g GROUP BY 1),
+rest AS (SELECT g.fold, g.cv, t.n - g.n AS n, t.sx - g.sx AS sx, t.sxx - g.sxx AS sxx, t.sy - g.sy AS sy, t.sxy - g.sxy AS sxy FROM g JOIN tot t ON g.fold = t.fold),
+w AS (SELECT fold, cv, alpha, {slope.format(a="alpha")} AS b1, (sy - {slope.format(a="alpha")} * sx) / n AS b0 FROM rest, al WHERE n > 0),
+err AS (SELECT w.fold, alpha, avg((syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n) AS mse
+        FROM w JOIN g ON w.fold = g.fold AND w.cv = g.cv GROUP BY 1, 2),
+best AS (SELECT fold, arg_min(alpha, mse) AS best_alpha, min(mse) AS best_cv_mse FROM err GROUP BY 1),
+n AS (SELECT fold, count(*) AS n FROM tr GROUP BY fold),
+dr AS (SELECT n.fold, m.member, {hash_sql('n.fold', 'm.member', 'd.d', '42')} % n.n AS pos
+       FROM n, range(0, 10) m(member), LATERAL (SELECT unnest(range(1, greatest(CAST(floor(n.n * 0.6) AS BIGINT), 1) + 1)) AS d) d),
+mb AS (SELECT dr.fold, dr.member, {sums.format(w="1.0")} FROM dr JOIN tr ON dr.fold = tr.fold AND dr.pos = tr.pos GROUP BY 1, 2),
+cf AS (SELECT mb.fold, avg({slope.format(a="best_alpha")}) AS b1, avg((sy - {slope.format(a="best_alpha")} * sx) / n) AS b0 FROM mb JOIN best ON mb.fold = best.fold GROUP BY 1),
+pr AS (SELECT fo.fold, fo.y, cf.b0 + COALESCE(cf.b1 * out.x, 0) AS p FROM fo JOIN cf ON fo.fold = cf.fold
+       LEFT JOIN out ON out.fold = fo.fold AND out.role = 'test' AND out.gvkey = fo.gvkey AND out.datadate = fo.datadate WHERE fo.role = 'test'),
+sz AS (SELECT fold, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test FROM fo GROUP BY fold),
+me AS (SELECT fold, avg((y - p) * (y - p)) AS mse, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2,
+              avg(abs(y - p)) AS mae, count(*) AS n FROM pr GROUP BY ROLLUP (fold))
+SELECT me.fold, {r6("mse")} AS mse, {r6("r2")} AS r2, {r6("mae")} AS mae, {r6("sqrt(mse)")} AS rmse, me.n,
+       {r6("best_alpha")} AS best_alpha, {r6("best_cv_mse")} AS best_cv_mse, n_train, n_test
+FROM me LEFT JOIN best ON me.fold = best.fold LEFT JOIN sz ON sz.fold = best.fold"""
+
+
+@register("panel_backtest_one", _one_sql(), ops=("B23", "B24", "B25", "B26", "U05"))
+def panel_backtest_one(spark, sf_dir):
+    """The whole backtest on one feature, whose solution SQL can write out."""
+    _, metrics = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10)
+    return metrics
