@@ -1,9 +1,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from quantfold.sources import read_rates, read_stage, read_timeseries, write_stage
+from quantfold.operators import articles, prompts, quality, sampling, series, signals
+from quantfold.sources import read_articles, read_rates, read_stage, read_timeseries, write_stage
 
 
 def test_read_timeseries_and_stage_roundtrip(spark):
@@ -22,4 +24,101 @@ def test_read_rates_coerces_bad_values(spark):
         .coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(d, "usd"))
     r = read_rates(spark, {"USD": os.path.join(d, "usd")}).orderBy("date").collect()
     assert [x.value for x in r] == [1.5, None] and r[0].ccy == "USD"
-    assert F is not None
+
+
+def test_article_ordinals_are_file_positions(spark, tmp_path):
+    rows = [(f"t{i}", "2024-01-01T00:00:00Z", f"text {i}\nsecond line, \"quoted\"", f"u{i}") for i in range(60)]
+    for name, some in (("a", rows[:40]), ("b", rows[40:])):
+        df = spark.createDataFrame(some, "Title string, Date string, `Full Text` string, URL string").coalesce(1)
+        df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{tmp_path}/feed/{name}", mode="append")
+    landed = articles.land_articles(spark, {"x": f"{tmp_path}/feed/a", "y": f"{tmp_path}/feed/b"}).collect()
+    got = {r["source"]: [q["Title"] for q in sorted((q for q in landed if q["source"] == r["source"]), key=lambda q: q["ordinal"])] for r in landed}
+    assert got == {"x": [f"t{i}" for i in range(40)], "y": [f"t{i}" for i in range(40, 60)]}
+    assert sorted(r["ordinal"]["position"] for r in landed if r["source"] == "x") == list(range(40))
+    with pytest.raises(ValueError):
+        read_articles(spark, {"x": f"{tmp_path}/feed/a"}, {"x": "other"})
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quantfold.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_required_columns_and_overlap(spark):
+    df = spark.createDataFrame([(1, "a", None)], "n int, s string, x double")
+    with pytest.raises(ValueError):
+        quality.require_columns(df, ["absent"])
+    with pytest.raises(TypeError):
+        quality.require_columns(df, ["s"], numeric=True)
+    with pytest.raises(ValueError):
+        quality.assert_no_nulls(df, ["x"])
+    with pytest.raises(ValueError):
+        series.align_series(df.select(F.lit(1).alias("time")), df.select(F.lit(2).alias("time")))
+    with pytest.raises(ValueError):
+        series.series_frame(df, ["absent"], ["n"])
+
+
+def test_samples_and_splits_are_exact(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert sampling.sample_exact(df, 137, ["k"]).distinct().count() == 137
+    assert sampling.sample_exact(df, 5000, ["k"]).count() == 1000
+    sizes = {r["split"]: r["count"] for r in sampling.split_exact(df, 200, 0.8, ["k"]).groupBy("split").count().collect()}
+    assert sizes == {"eval": 200, "train": 640, "test": 160}
+
+
+def test_prompt_helpers(spark):
+    table = {r["n_currencies"]: r["overhead_tokens"] for r in prompts.overhead_table(spark, [f"C{i}" for i in range(10)]).collect()}
+    assert sorted(table) == [1, 2, 3, 5, 10] and len({table[2] - table[1], table[3] - table[2]}) == 1
+    row = spark.range(1).select(prompts.messages(F.lit("q"), F.lit("a")).alias("m"), prompts.inst_wrap(F.lit("q")).alias("w")).first()
+    assert [(x["role"], x["content"]) for x in row["m"]] == [("user", "q"), ("assistant", "a")] and row["w"] == "<s>[INST] q [/INST]"
+
+
+def test_predictions_from_map(spark):
+    df = spark.createDataFrame([(1, "2024-01-01", {"A_future": "appreciation"})], "id int, d string, m map<string,string>")
+    got = {(r["ccy"], r["horizon"]): r["label"] for r in signals.predictions_from_map(df, "id", "d", "m", ["A", "B"]).collect()}
+    assert got == {("A", "future"): "appreciation", ("A", "past"): "unchanged", ("B", "future"): "unchanged", ("B", "past"): "unchanged"}
+
+
+def test_separators_are_white_space(spark):
+    from quantfold.functions.text import has_min_words, strip_ws, word_count
+
+    df = spark.createDataFrame([("a\x1cb",), ("\x1f a \u2003b c\x1d",)], "t string")
+    rows = df.select(word_count("t").alias("n"), has_min_words("t", 2).alias("two"), strip_ws("t").alias("s")).collect()
+    assert [(r["n"], r["two"]) for r in rows] == [(len("a\x1cb".split()), True), (3, True)] and rows[1]["s"] == "a \u2003b c"
+
+
+def test_backtest_solver_is_numpy_on_sixty_features(spark):
+    import numpy as np
+
+    from quantfold.operators import backtest
+
+    rng = np.random.default_rng(5)
+    names = [f"f{i}" for i in range(60)]
+    x = rng.normal(size=(900, 60))
+    y = x @ rng.normal(size=60) + rng.normal(size=900) + 3
+    grp = np.array([f"cv{i % 5}" for i in range(600)] + ["m0"] * 150 + ["m1"] * 150)
+    rows = [(1, str(g), int(i % 3), float(b), 1.0, *map(float, a)) for i, (g, a, b) in enumerate(zip(grp, x, y))]
+    df = spark.createDataFrame(rows, "fold int, grp string, part int, y double, weight double, " + ", ".join(f"{c} double" for c in names))
+    sums = df.repartition(2, "fold", "grp", "part").sortWithinPartitions("fold", "grp", "part").mapInPandas(backtest._grams(names), "fold int, grp string, v array<double>")
+    got = sums.groupBy("fold").applyInPandas(backtest._solver(names, (1e-2, 50.0), 5), "fold int, feature string, coef double, best_alpha double, best_cv_mse double").toPandas()
+
+    def ridge(on, alpha):
+        a = np.hstack([np.ones((on.sum(), 1)), x[on]])
+        pen = np.eye(61) * alpha
+        pen[0, 0] = 0
+        return np.linalg.solve(a.T @ a + pen, a.T @ y[on])
+
+    def error(on, w):
+        return ((y[on] - w[0] - x[on] @ w[1:]) ** 2).mean()
+
+    cv = np.char.startswith(grp, "cv")
+    scores = {a: np.mean([error(grp == f"cv{i}", ridge(cv & (grp != f"cv{i}"), a)) for i in range(5)]) for a in (1e-2, 50.0)}
+    best = min(scores, key=scores.get)
+    want = np.mean([ridge(grp == m, best) for m in ("m0", "m1")], axis=0)
+    assert got["best_alpha"].iloc[0] == best and abs(got["best_cv_mse"].iloc[0] - scores[best]) < 1e-8
+    assert np.allclose(got.set_index("feature").loc[["_intercept", *names], "coef"], want, atol=1e-8)
