@@ -35,11 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def large(a: pa.Array) -> pa.Array:
-    """One string (or binary) array with 64-bit offsets, starting at offset 0, without nulls."""
+    """One string (or binary) array with 64-bit offsets that start at 0, without nulls.
+
+    A cast slice keeps its place in the parent's data, and some Arrow kernels (``ascii_lower``) read
+    such offsets wrongly, so they are taken back to 0 here; the data isn't copied."""
     if isinstance(a, pa.ChunkedArray):
         a = a.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type) else pa.large_string()
-    return pc.fill_null(a.cast(kind), b"" if kind == pa.large_binary() else "")
+    binary = pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type)
+    kind = pa.large_binary() if binary else pa.large_string()
+    a = pc.fill_null(a.cast(kind), b"" if binary else "")
+    if not len(a):
+        return pa.array([], kind)
+    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    data = a.buffers()[2] or pa.py_buffer(b"")
+    low, high = int(offsets[0]), int(offsets[-1])
+    return pa.Array.from_buffers(kind, len(a), [None, pa.py_buffer(offsets - low), data.slice(low, high - low)])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -63,6 +63,14 @@ def test_hot_keys_are_cut(frame):
     assert found(simhash.near_duplicates(frame(rows), chunk=4)) == by_force(rows)
 
 
+def test_every_text_of_a_table_larger_than_a_slice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sum(len(t.encode()) for t in texts.values()) > 2 << 20
+    got = {r["doc_id"]: r["fp"] % 2**64 for r in simhash.fingerprints(docs).collect()}
+    assert got == {d: fingerprint(t) for d, t in texts.items()}
+
+
 def test_no_id_and_empty(frame):
     assert found(simhash.near_duplicates(frame([]))) == []
     assert {x[2] for x in found(simhash.near_duplicates(frame([(None, "a"), (None, "a")])))} == {"None"}
