@@ -119,3 +119,20 @@ def ragged_take(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.nd
 def crc_bucket(col, modulus: int):
     """crc32 of a doc_id written as text, modulo ``modulus`` (null id: null)."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(modulus))
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """Add ``text_hash``: with the doc_id it names a row, or equal rows, without the text."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text hash) is not in ``keys`` (doc_id, text_hash; null ids are equal).
+
+    Texts don't leave the JVM.  The keys (16 bytes) are broadcast up to ``broadcast_rows``, else shuffled."""
+    gone = stored(keys.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "removed-rows")
+    if gone.isEmpty():
+        return docs
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti")

@@ -24,12 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, large, slices
+from .common import crc_bucket, large, slices, with_text_hash, without_rows
 from .convnet import ConvNet, softmax
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
 SAMPLE, CROP, STEPS = 1500, 600, 900
-RESULT = "doc_id long, lang_pred string, score double"
 
 
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
@@ -97,8 +96,9 @@ class Windows:
         return out - np.log(np.exp(out).sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict] | None) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs`` (doc_id, text)."""
+def predict(docs: DataFrame, model: tuple[list[str], dict] | None, *keep: str) -> DataFrame:
+    """``doc_id, *keep, lang_pred, score`` of every row of ``docs`` (doc_id, text); ``keep``: more long columns."""
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Windows(model[1]) if model else None
@@ -109,26 +109,16 @@ def predict(docs: DataFrame, model: tuple[list[str], dict] | None) -> DataFrame:
             if known.any():
                 score[known], which = score_texts(net, texts.filter(pa.array(known)))
                 lang[known] = np.array(model[0], object)[which]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in names), "text")
+    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "lang_pred string, score double"]))
 
 
 def accepted(docs: DataFrame, model: tuple[list[str], dict] | None, least: float) -> DataFrame:
-    """Rows of ``docs`` that have a language with at least that score; decided row by row."""
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Windows(model[1]) if model else None
-        for b in slices(batches, "text", 4 << 20):
-            texts = large(b.column("text"))
-            known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & (net is not None)
-            keep = np.zeros(b.num_rows, bool)
-            if known.any():
-                keep[known] = score_texts(net, texts.filter(pa.array(known)))[0] >= least
-            yield b.select(names).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    """Rows of ``docs`` that have a language with at least that score."""
+    rows = with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return without_rows(docs, predict(rows, model, "text_hash").where((F.col("lang_pred") == "und") | (F.col("score") < least)))
 
 
 def score_texts(net: Windows, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

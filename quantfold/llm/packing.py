@@ -40,14 +40,18 @@ BROADCAST_ROWS = 1_000_000
 
 
 def id_type(tokenizer: str, end_id: int) -> str:
-    return "<u2" if max(encoder(tokenizer).full.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    """Decided on the driver, so that tasks that only move ids don't load the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
     """Pieces of at most ``size`` ids; ``nth``: position among the task's pieces of that length."""
 
+    kind = id_type(tokenizer, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(tokenizer, end_id)
         code, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for t in merged(batches, "text", 8 << 20):
             offsets, ids = code.encode(large(t["text"]))
@@ -191,8 +195,9 @@ def id_digests(packed: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Replace ``ids`` by ``ids_crc32``, the crc32 of the ids as little-endian 32-bit numbers."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    kind = id_type(tokenizer, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(tokenizer, end_id)
         for b in batches:
             crc = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4")) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if c == "ids_crc32" else b.column(c) for c in names], names=names)

@@ -25,9 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import large, slices, stored
+from .common import slices, stored, with_text_hash
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_ROWS = 5, 0.9, 3, 500_000
@@ -120,25 +119,19 @@ def found(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            hashes, texts, bases, seen = _hashes(b.column("text")), b.column("text"), [[]] * b.num_rows, [[]] * b.num_rows
+            texts, bases, seen = b.column("text"), [[]] * b.num_rows, [[]] * b.num_rows
             some = pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
             for i in some:
                 text = texts[i].as_py()
                 base = base_spans(text)
                 bases[i] = [dict(zip(("kind", "start", "end"), x)) for x in base]
                 seen[i] = seen_tokens(text, base)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(bases, base_type), pa.array(seen, seen_type)], names=["doc_id", "text_hash", "base", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(bases, base_type), pa.array(seen, seen_type)], names=["doc_id", "text_hash", "base", "seen"])
 
     span = [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
     base_type = pa.list_(pa.struct(span))
     seen_type = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), *span]))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
-
-
-def _hashes(texts: pa.Array) -> list[int]:
-    from xxhash import xxh64_intdigest
-
-    return [x - (1 << 64) if x >> 63 else x for x in (xxh64_intdigest(t.as_buffer() or b"", 5) for t in large(texts))]
+    return with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FOUND)
 
 
 def confident_patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -186,32 +179,27 @@ def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE
 
 
 def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with every span of a text replaced by its kind in brackets, and ``n_chars`` of the new text."""
-    rows = stored(found(docs), "personal-data")
-    more = added(rows)
-    keyed = T.StructType([*docs.schema.fields, T.StructField("text_hash", T.LongType())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_hashes(b.column("text")), pa.int64())], names=[*b.schema.names, "text_hash"])
-
-    more = stored(more, "added-spans")
-    if more.isEmpty():
-        both = docs.withColumn("more", F.lit(None).cast(SPANS))
-    else:
-        both = _with_added(docs.mapInArrow(hashed, keyed), more, broadcast_rows).drop("text_hash")
+    """``docs`` with every span of a text replaced by its kind in brackets, and ``n_chars`` of the new text.
+
+    Only texts with a digit or an @ can hold a span; the others don't leave the JVM."""
+    rows = stored(found(docs), "personal-data").where("size(base) > 0 or size(seen) > 0")
+    both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows), broadcast_rows)
+    spans = F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))),
+                     F.coalesce(F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:int,start:int,end:int>>")))
+    marked = stored(both.select("doc_id", "text_hash", spans.alias("spans")).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "marked-rows")
+    of = marked.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans")
+    of = F.broadcast(of) if marked.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0] <= broadcast_rows else of
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
+    names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            for i, more in enumerate(b.column("more").to_pylist()):
-                if texts[i] and (more or re.search("[0-9@]", texts[i])):
-                    texts[i] = masked(texts[i], base_spans(texts[i]) + [(m["kind"], m["start"], m["end"]) for m in more or ()])
-            done = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([done.get(c, b.column(c)) for c in names], names=names)
-
-    names = docs.columns
-    return both.mapInArrow(run, docs.schema)
+            texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+
+    new = docs.join(of, same).select(*names, "spans").mapInArrow(run, schema)
+    out = docs.join(of.select("of_id", "of_hash"), same, "left_anti").unionByName(new)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large, slices, stored, words
+from .common import large, slices, stored, with_text_hash, without_rows, words
 from .graph import components
 
 SHINGLE, DISTANCE, SEED, CHUNK = 3, 3, 42, 1024
@@ -61,21 +61,16 @@ def majority(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with the 64 bits as a last column ``fp`` (long)."""
-    names = [c for c in docs.columns if c != "fp"]
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs`` but text, and the 64 bits as ``fp`` (long)."""
+    names = [c for c in docs.columns if c not in ("text", "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             fp = majority(*shingle_hashes(large(b.column("text")), size, seed))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
-
-    return docs.select(*names).mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` of every row."""
-    return with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, seed).select("doc_id", "fp")
+    return docs.select(*names, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
 def block_keys(distance: int) -> list:
@@ -129,15 +124,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, fp, root, component_id`` for every row of ``docs`` (doc_id, text); root: a fingerprint that names the component."""
-    prints = stored(fingerprints(docs, size, seed), "fingerprints")
+    """``doc_id, text_hash, fp, root, component_id`` for every row of ``docs`` (doc_id, text); root: a fingerprint that names the component."""
+    rows = with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    prints = stored(fingerprints(rows, size, seed), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct, distance, chunk))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("smallest"))
     of = distinct.join(linked.join(smallest, "root").select("fp", "root", "smallest"), "fp", "left")
     component = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("smallest"))
-    return prints.join(of.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")), "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(of.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -147,24 +143,20 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def first_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> DataFrame:
     """One row of ``docs`` of each component: of its smallest doc_id (null if it has no other) and, where rows
-    repeat that id, of the smallest fingerprint and text.
-
-    The keys (16 bytes) of the rows that go are broadcast up to ``broadcast_rows``, else shuffled."""
+    with other texts repeat that id, of the smallest fingerprint and text hash."""
     rows = stored(grouped(docs, **how), "grouped")
-    keys = rows.groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
-    first = keys.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "n")).alias("first"))
-    of = keys.join(first, "root", "left")
-    stays = F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first.fp")), F.lit(False))
-    named = stored(of.select(F.col("doc_id").alias("of_id"), F.col("fp").alias("of_fp"), stays.alias("stays"), "n"), "row-keys")
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.col("fp") == F.col("of_fp"))
-    kept = with_fingerprints(docs, *(how[k] for k in ("size", "seed") if k in how)).join(small(named.where("not stays")), same, "left_anti")
-    repeated = named.where("stays and n > 1")
+    keys = rows.groupBy("doc_id", "text_hash", "fp", "root", "component_id").agg(F.count("*").alias("n"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = keys.where(own).groupBy("root").agg(F.min(F.struct("fp", "text_hash")).alias("first"))
+    is_first = own & (F.struct("fp", "text_hash") == F.col("first"))
+    named = stored(keys.join(first, "root").select("doc_id", "text_hash", "n", is_first.alias("stays")), "row-keys")
+    kept = without_rows(docs, named.where("not stays"), broadcast_rows)
+    repeated = named.where("stays and n > 1").select("doc_id", "text_hash")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    one = Window.partitionBy("doc_id", "fp").orderBy("text")
-    several = kept.join(small(repeated), same, "left_semi").withColumn("nth_of_key", F.row_number().over(one)).where("nth_of_key = 1")
-    return kept.join(small(repeated), same, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+        return kept
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    again = repeated.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
+    several = kept.join(again, same, "left_semi").withColumn("nth_of_key", F.row_number().over(one)).where("nth_of_key = 1")
+    return without_rows(kept, repeated, broadcast_rows).unionByName(several.select(*docs.columns))

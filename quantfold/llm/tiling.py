@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large, slices, stored, words
+from .common import large, slices, stored, with_text_hash, without_rows, words
 from .substrings import rolled
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 1_000_000
@@ -128,27 +128,34 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Ite
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, with ``coverage`` (the largest) and ``items`` (ids of the items that contaminate)."""
-    own = [c for c in docs.columns if c not in VERDICT]
-    df = docs.select(*own, F.lit(0.0).alias("coverage"), F.array().cast("array<long>").alias("items"))
-    for k, items in enumerate(blocks(benchmark, block_words)):
-        df = _pass(stored(df, "judged") if k else df, docs.sparkSession.sparkContext.broadcast(items), least)
+    """All rows of ``docs`` with its columns but text, ``coverage`` (the largest) and ``items`` (ids of the items that contaminate)."""
+    own = [c for c in docs.columns if c not in (*VERDICT, "text")]
+    df = docs.select(*own, "text", F.lit(0.0).alias("coverage"), F.array().cast("array<long>").alias("items"))
+    now, last = next(parts := blocks(benchmark, block_words)), False
+    while not last:
+        after = next(parts, None)
+        last = after is None
+        df = _pass(df, docs.sparkSession.sparkContext.broadcast(now), least, keep_text=not last)
+        now, df = after, df if last else stored(df, "judged")
     return df
 
 
-def _pass(df: DataFrame, sent, least: float) -> DataFrame:
-    schema = T.StructType([*df.schema.fields[:-2], T.StructField("coverage", T.DoubleType()), T.StructField("items", T.ArrayType(T.LongType()))])
+def _pass(df: DataFrame, sent, least: float, keep_text: bool) -> DataFrame:
+    names = [c for c in df.columns if keep_text or c != "text"]
+    schema = T.StructType([df.schema[c] for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found = sent.value.judge(large(b.column("text")))
             coverage = [max([x, *(c for _, c in f)]) for x, f in zip(b.column("coverage").to_pylist(), found)]
             items = [sorted([*x, *(i for i, c in f if c >= least)]) for x, f in zip(b.column("items").to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(coverage, pa.float64()), pa.array(items, pa.list_(pa.int64()))], names=b.schema.names)
+            done = {"coverage": pa.array(coverage, pa.float64()), "items": pa.array(items, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([done[c] if c in done else b.column(c) for c in names], names=names)
 
     return df.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` that no item contaminates."""
-    return judged(docs, benchmark, least).where(F.size("items") == 0).select(*docs.columns)
+    found = judged(with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), benchmark, least)
+    return without_rows(docs, found.where(F.size("items") > 0).select("doc_id", "text_hash"))
