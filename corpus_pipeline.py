@@ -47,8 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 2048 tokens."""
-    path = tokenizer_path()
-    return packing.id_digests(packing.pack(docs, path), path)
+    return packing.pack(docs, tokenizer_path(), digests=True)
 
 
 STAGES = [("language_id", language), ("simhash_near_dedup", near_duplicates), ("benchmark_decontamination", decontamination), ("pii", personal_data), ("packing", packed)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +55,22 @@ def large(a: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(kind, len(a), [None, pa.py_buffer(offsets - low), data.slice(low, high - low)])
 
 
+def tidy(run):
+    """A ``mapInArrow`` function that hands its memory back when a task ends: workers live on and
+    serve other operators, and what the allocators keep would add up."""
+
+    @wraps(run)
+    def done(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return done
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose ``column`` holds at most ``limit`` bytes (one row at least)."""
     for b in batches:

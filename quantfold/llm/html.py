@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, tidy
 
 THRESHOLD, SUPPORT, DEPTH, GAMMA, BROADCAST_ROWS = 0.75, 30, 12, 0.9, 200_000
 # Element names by their role in HTML.
@@ -170,7 +170,7 @@ def counted(pages: DataFrame) -> DataFrame:
 
     names = ["host", "path", "parent", "noise", "kind", "value"]
     schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("noise", pa.bool_()), ("kind", pa.string()), ("value", pa.int64())])
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, parent string, noise boolean, kind string, value long")
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, parent string, noise boolean, kind string, value long")
     return seen.groupBy(*names).agg(F.count("*").alias("c"))
 
 
@@ -241,7 +241,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int
                 texts.append(main_text(page or "", {x["path"] for x in said or () if x["low"] == "branch"}, {x["path"] for x in said or () if x["low"] == "texts"}))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return both.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "low").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def main_text(page: str, branches: set[str], texts: set[str]) -> str:

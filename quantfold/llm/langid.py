@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, large, slices, with_text_hash, without_rows
+from .common import crc_bucket, large, slices, tidy, with_text_hash, without_rows
 from .convnet import ConvNet, softmax
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict] | None, *keep: str) -
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     rows = docs.select(*(F.col(c).cast("long").alias(c) for c in names), "text")
-    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "lang_pred string, score double"]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"{c} long" for c in names), "lang_pred string, score double"]))
 
 
 def accepted(docs: DataFrame, model: tuple[list[str], dict] | None, least: float) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large, merged, small_batches, stored
+from .common import large, merged, stored, tidy
 from .tokens import encoder
 
 SIZE = 2048
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for t in merged(batches, "text", 8 << 20):
+        for t in merged(batches, "text", 5 << 20):
             offsets, ids = code.encode(large(t["text"]))
             ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -
                     pa.array(np.full(y - x, task, np.int32)), pa.array(nth[x:y]), data.slice(x, y - x).cast(pa.binary())], names=[c.split()[0] for c in PIECES.split(", ")])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, PIECES)
+    return narrow.mapInArrow(tidy(run), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -164,17 +164,19 @@ class Plan:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, slack: int | None = None,
-         broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``PACKED`` rows, one per piece; ``ids`` as in ``PIECES``."""
-    with small_batches(docs.sparkSession):
-        cut = stored(pieces(docs, tokenizer, end_id, size), "pieces")
+         broadcast_rows: int = BROADCAST_ROWS, digests: bool = False) -> DataFrame:
+    """``PACKED`` rows, one per piece; ``ids`` as in ``PIECES``.  With ``digests`` they are replaced by ``ids_crc32``,
+    the crc32 of the ids as little-endian 32-bit numbers."""
+    cut = stored(pieces(docs, tokenizer, end_id, size), "pieces")
     counts = stored(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     plan = Plan(histogram, size, size // 64 if slack is None else slack)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")  # a row per task
     first = counts.select("length", "task", before.alias("first"))
     ranked = cut.join(F.broadcast(first) if counts.count() <= broadcast_rows else first, ["length", "task"])
-    width = np.dtype(id_type(tokenizer, end_id)).itemsize
+    kind = id_type(tokenizer, end_id)
+    width = np.dtype(kind).itemsize
+    schema = PACKED.replace("ids binary", "ids_crc32 long") if digests else PACKED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,21 +187,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, sla
             ids = b.column("ids")
             data = [ids[r].as_buffer().slice(x * width, k * width).to_pybytes() for r, x, k in zip(row.tolist(), begin.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").take(pa.array(row)), pa.array(col["start"][row] + begin), pa.array(n), pa.array(data, pa.binary()),
-                pa.array(col["doc_tokens"][row]), pa.array(sequence), pa.array(offset)], names=[c.split()[0] for c in PACKED.split(", ")])
-
-    return ranked.select("doc_id", "start", "length", "doc_tokens", "nth", "first", "ids").mapInArrow(run, PACKED)
-
-
-def id_digests(packed: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Replace ``ids`` by ``ids_crc32``, the crc32 of the ids as little-endian 32-bit numbers."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                b.column("doc_id").take(pa.array(row)), pa.array(col["start"][row] + begin), pa.array(n),
+                pa.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in data], pa.int64()) if digests else pa.array(data, pa.binary()),
+                pa.array(col["doc_tokens"][row]), pa.array(sequence), pa.array(offset)], names=[c.split()[0] for c in schema.split(", ")])
 
-    kind = id_type(tokenizer, end_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4")) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if c == "ids_crc32" else b.column(c) for c in names], names=names)
+    return ranked.select("doc_id", "start", "length", "doc_tokens", "nth", "first", "ids").mapInArrow(tidy(run), schema)
 
-    return packed.mapInArrow(run, ", ".join(f"{c} long" for c in names))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, with_text_hash
+from .common import slices, stored, tidy, with_text_hash
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_ROWS = 5, 0.9, 3, 500_000
@@ -131,7 +131,7 @@ def found(docs: DataFrame) -> DataFrame:
     span = [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
     base_type = pa.list_(pa.struct(span))
     seen_type = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), *span]))
-    return with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FOUND)
+    return with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(run), FOUND)
 
 
 def confident_patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -197,7 +197,7 @@ def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
             texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    new = docs.join(of, same).select(*names, "spans").mapInArrow(run, schema)
+    new = docs.join(of, same).select(*names, "spans").mapInArrow(tidy(run), schema)
     out = docs.join(of.select("of_id", "of_hash"), same, "left_anti").unionByName(new)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 

@@ -32,8 +32,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of ``documents`` with its place in a sequence of at most 2048 tokens."""
-    path = tokenizer_path()
-    return packing.id_digests(packing.pack(read(spark, sf_dir, "documents"), path), path)
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
 @query

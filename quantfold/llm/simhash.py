@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large, slices, stored, with_text_hash, without_rows, words
+from .common import large, slices, stored, tidy, with_text_hash, without_rows, words
 from .graph import components
 
 SHINGLE, DISTANCE, SEED, CHUNK = 3, 3, 42, 1024
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
             fp = majority(*shingle_hashes(large(b.column("text")), size, seed))
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(*names, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
+    return docs.select(*names, "text").mapInArrow(tidy(run), T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
 def block_keys(distance: int) -> list:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, merged, slices, stored, words
+from .common import large, merged, slices, stored, tidy, words
 
 SIZE, BATCH, RANGE_BYTES, BROADCAST_BYTES = 13, 8 << 20, 8 << 20, 32 << 20
 BASE = 0x9E3779B97F4A7C15  # any odd number
@@ -203,9 +203,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_B
             lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pairs)
             yield pa.RecordBatch.from_arrays([pa.array(doc[head]), lists], names=["doc_id", "spans"])
 
-    packed = docs.mapInArrow(hashed, PACKED)
-    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, PACKED)
-    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined, SPANS)
+    packed = docs.mapInArrow(tidy(hashed), PACKED)
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(counted), PACKED)
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(joined), SPANS)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -228,4 +228,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_B
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), flat.filter(pa.array(keep)).cast(pa.string())), " ")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), texts], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return both.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, text string")

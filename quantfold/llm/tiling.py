@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large, slices, stored, with_text_hash, without_rows, words
+from .common import large, slices, stored, tidy, with_text_hash, without_rows, words
 from .substrings import rolled
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 1_000_000
@@ -152,7 +152,7 @@ def _pass(df: DataFrame, sent, least: float, keep_text: bool) -> DataFrame:
             done = {"coverage": pa.array(coverage, pa.float64()), "items": pa.array(items, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([done[c] if c in done else b.column(c) for c in names], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large, merged, scratch, small_batches
+from .common import large, merged, scratch, small_batches, tidy
 from .tokens import encoder
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
-ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 8 << 20
+ROW_GROUP_BYTES, PAGE_BYTES, SLICE = 32 << 20, 128 << 10, 5 << 20
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
@@ -52,7 +52,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFram
                     pa.array(first + offsets[at:to]), pa.array(n[at:to]), lists], names=["doc_id", "part", "first", "n_tokens", "ids"])
             first += int(offsets[-1])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1) -> None:
@@ -99,7 +99,7 @@ def id_digests(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(v[a:z]) for a, z in zip(o[:-1], o[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(np.diff(o).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_query(docs: DataFrame, tokenizer: str) -> DataFrame:

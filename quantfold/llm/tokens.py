@@ -26,7 +26,7 @@ PLAIN = r"^[!-~À-ÖØ-öø-ÿ]*$"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Pre-tokens whose ids a Python worker remembers between slices.
-MEMORY = 250_000
+MEMORY = 150_000
 
 _LOADED: dict[str, Encoder] = {}
 

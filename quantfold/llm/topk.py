@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, tidy
 
 BLOCK, ROUND, STEPS = 2048, 4096, 3
 FOUND = "query_id long, vec_id long, score long"
@@ -123,7 +123,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, per_round: int
             if sum(size):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shard.ids, size)), pa.array(np.concatenate([x for _, x in shard.best])), pa.array(np.concatenate([s for s, _ in shard.best]))], names=["query_id", "vec_id", "score"])
 
-        candidates.mapInArrow(run, FOUND).write.mode("append").parquet(path)
+        candidates.mapInArrow(tidy(run), FOUND).write.mode("append").parquet(path)
         sent.unpersist()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return spark.read.schema(FOUND).parquet(path).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
