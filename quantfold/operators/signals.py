@@ -83,7 +83,9 @@ def execute_strategy(weights: DataFrame, returns: DataFrame, date: str = "tradin
     """Daily P&L: weights at date t times returns at the next news date.
 
     Returns are first restricted to news dates; the last news date has no
-    next date and yields no row (n-1 rows).
+    next date and yields no row (n-1 rows).  A currency without a return on the
+    next date adds nothing to that day (returns of ``log_returns`` are complete
+    per date, so none is missing there).
     """
     nd = next_dates(weights, date)
     r = returns.select(F.col(ret_date).alias("next_date"), "ccy", F.col(ret).alias("_r"))

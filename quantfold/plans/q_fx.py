@@ -33,7 +33,7 @@ WITH s AS ({fsql.MONTHLY_SERIES}),
 cc AS (SELECT date FROM s WHERE value IS NOT NULL GROUP BY date
        HAVING count(DISTINCT ccy) = (SELECT count(DISTINCT ccy) FROM s))
 SELECT s.date, ccy, round(value, 6) + 0.0 AS value FROM s JOIN cc ON s.date = cc.date""",
-          ops=("C07", "C09", "C10"))
+          ops=("C07", "C10"))
 def fx_complete_cases(spark, sf_dir):
     return R.complete_cases(fx.monthly_series(spark, sf_dir)).select("date", "ccy", "value")
 

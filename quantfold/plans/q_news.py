@@ -62,7 +62,7 @@ c AS (SELECT source, ordinal, doc_id, "Title", "Date", substr("Full Text", 1, 32
 @register("news_clean", f"""WITH a AS ({fsql.ARTICLES}),{_CLEAN_SQL}
 SELECT source, doc_id, "Title" AS title, "Date" AS date, "URL" AS url,
        CAST(length("Full Text") AS BIGINT) AS text_len, md5("Full Text") AS text_md5 FROM c""",
-          ops=("C02", "G06", "F01", "F02", "C01", "G04", "S11"))
+          ops=("C02", "G06", "F01", "F02", "S11"))
 def news_clean(spark, sf_dir):
     c = A.clean_articles(fx.articles(spark, sf_dir), keep=["doc_id"])
     return c.select("source", "doc_id", F.col("Title").alias("title"), F.col("Date").alias("date"),

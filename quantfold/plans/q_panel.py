@@ -55,7 +55,7 @@ _FEAT = _features_sql()
 
 
 @register("panel_filter", f"""WITH {_FILTER_SQL}
-SELECT gvkey, datadate FROM f""", ops=("B01", "B02", "B03", "B04", "B05", "S5", "S6"))
+SELECT gvkey, datadate FROM f""", ops=("B02", "B03", "B04", "B05", "S5", "S6"))
 def panel_filter(spark, sf_dir):
     return PN.panel_filter(fx.panel(spark, sf_dir)).select("gvkey", "datadate")
 

@@ -31,7 +31,7 @@ SELECT col_name, CAST(null_count AS BIGINT) AS null_count FROM (
   SELECT 'time', count(*) FILTER (WHERE time IS NULL) FROM e UNION ALL
   SELECT 'event_type', count(*) FILTER (WHERE event_type IS NULL) FROM e UNION ALL
   SELECT 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM e UNION ALL
-  SELECT 'value', count(*) FILTER (WHERE value IS NULL) FROM e)""", ops=("A06", "A04", "A21"))
+  SELECT 'value', count(*) FILTER (WHERE value IS NULL) FROM e)""", ops=("A06", "A21"))
 def ts_count_null(spark, sf_dir):
     return quality.count_null(_ev(spark, sf_dir)).withColumnRenamed("column", "col_name")
 
@@ -310,7 +310,7 @@ def ts_align_series(spark, sf_dir):
 
 @register("ts_combine_series", f"""WITH {_HOURLY}
 SELECT time, {", ".join(f"{r6(f'max(CASE WHEN event_type = {chr(39)}{t}{chr(39)} THEN v END)')} AS {t}" for t in TYPES)}
-FROM h GROUP BY time""", ops=("A05", "C10"))
+FROM h GROUP BY time""", ops=("C10",))
 def ts_combine_series(spark, sf_dir):
     ev = fx.table(spark, sf_dir, "events")
     long = ev.groupBy(F.date_trunc("hour", "ts").alias("time"), "event_type").agg(F.avg("value").alias("v"))

@@ -51,6 +51,7 @@ def test_no_machine_local_folder_on_a_cluster():
 
 def test_required_columns_and_overlap(spark):
     df = spark.createDataFrame([(1, "a", None)], "n int, s string, x double")
+    assert quality.columns(df) == ["n", "s", "x"]
     with pytest.raises(ValueError):
         quality.require_columns(df, ["absent"])
     with pytest.raises(TypeError):
