@@ -12,9 +12,15 @@ sequences of children it has, and which texts stand directly in it.
 
 A node's importance is its content importance at a leaf, else presentation and the mean importance
 of its children in shares that follow its number of layouts.  A branch is worth as much as the most
-important node in it.  Names that say what a branch is (``NOISE``) halve that.  Nodes seen fewer than ``SUPPORT`` times on their host take the importance of the same path in
-the tree of all hosts.  Each page loses its branches of importance below ``THRESHOLD``; a page that
-would lose everything keeps the branches without such a name.
+important node in it.  Nodes seen fewer than ``SUPPORT`` times on their host take the importance of the same path in
+the tree of all hosts.  Each page loses its branches of importance below ``THRESHOLD``.
+
+Names that say what a branch is (``NOISE``) weigh in: importance is multiplied by 1 - w/2, where w is
+1 - (the share of the page's text that stands in such branches), mean over the node's occurrences.  So a named branch
+of importance 1 stays from half of the text on, and a lesser one needs more.  Words behind a modifier (``has-sidebar``) are no names, nor are those
+of an element that holds an article or main element.  Elements that HTML itself sets apart
+(``APART``) have w = 1 where even all hosts show fewer than ``SUPPORT`` of them.  A page that would lose
+everything keeps the branches without a name, or if there are none, all that isn't in ``APART``.
 
 Elements deeper than ``DEPTH`` count as part of their ancestor at that depth.
 
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +55,8 @@ NOISE = set("""ad ads advert advertisement adverts advertising alert aside banne
 contentinfo cookie cookies dialog disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification pager pagination
 popup promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar widget""".split())
+APART = set("dialog footer menu nav".split())
+MODIFIER = re.compile(r"(?<![a-z])(?:has|have|hide|is|no|non|not|with|without)[-_]+[a-z]+")
 HEADERS = {"header", "masthead"}  # the same outside of the article
 WHOLE = {"html", "body", "main", "article"}
 
@@ -56,11 +65,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""
 
 
 class Node:
-    __slots__ = ("name", "path", "parent", "children", "noise", "inside", "depth")
+    __slots__ = ("name", "path", "parent", "children", "named", "whole", "noise", "inside", "depth", "chars")
 
-    def __init__(self, name, path, parent, noise, inside, depth):
-        self.name, self.path, self.parent, self.noise, self.inside, self.depth = name, path, parent, noise, inside, depth
+    def __init__(self, name, path, parent, named, whole, inside, depth):
+        self.name, self.path, self.parent, self.named, self.whole, self.inside, self.depth = name, path, parent, named, whole, inside, depth
         self.children: list[str] = []
+        self.noise, self.chars = False, 0
 
 
 def _styled(name: str, attributes: str) -> tuple[str, set[str]]:
@@ -71,12 +81,12 @@ def _styled(name: str, attributes: str) -> tuple[str, set[str]]:
         label += "." + ".".join(sorted(re.sub(r"\d+", "0", said["class"]).split()))
     if said.get("id"):
         label += "#" + re.sub(r"\d+", "0", said["id"]).strip()
-    return label, {name, *re.findall(r"[a-z]+", " ".join(said.values()))}
+    return label, {name, *re.findall(r"[a-z]+", MODIFIER.sub(" ", " ".join(said.values())))}
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """``(nodes, blocks)``: all nodes, and in page order each block's node and text."""
-    root = Node("body", "body", None, False, False, 0)
+    root = Node("body", "body", None, False, False, False, 0)
     stack, nodes, blocks, now = [root], [root], [], []
     unseen, at, raw_end = 0, 0, None  # unseen: how many open elements are not text
 
@@ -136,9 +146,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         up = stack[-1]
         label, said = _styled(name, m[3])
         inside = up.inside or name in ("article", "main")
-        noise = up.noise or name not in WHOLE and bool(said & NOISE or not inside and said & HEADERS)
+        noise = bool(said & NOISE or not inside and said & HEADERS)
         up.children.append(label)
-        node = Node(name, f"{up.path}>{label}" if up.depth < DEPTH else up.path, up, noise, inside, up.depth + 1)
+        node = Node(name, f"{up.path}>{label}" if up.depth < DEPTH else up.path, up, noise and name not in WHOLE, not noise and name in ("article", "main"), inside, up.depth + 1)
         if not m[3].rstrip().endswith("/>") or name not in UNSEEN:
             stack.append(node)
             unseen += name in UNSEEN
@@ -147,16 +157,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             nodes.append(node)
     close(1)
     flush()
+    for n, text in blocks:
+        n.chars += len(text)
+    for n in reversed(nodes):  # children come after their parents
+        if n.whole:
+            n.named = False
+        if n.parent:
+            n.parent.chars += n.chars
+            n.parent.whole |= n.whole
+    for n in nodes:
+        n.noise = n.named or n.parent is not None and n.parent.noise
     return nodes, blocks
 
 
+def _names(nodes: list[Node]) -> list[tuple[Node, str, int]]:
+    """``(node, kind, weight)`` of named nodes; the weight in thousandths, kind S for elements of ``APART``, else N."""
+    chars = Counter()
+    for n in nodes:
+        if n.named:
+            chars[n.path] += n.chars
+    total = max(1, nodes[0].chars)
+    return [(n, "S" if n.name in APART else "N", 1000 - 1000 * chars[n.path] // total) for n in nodes if n.named]
+
+
 def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
 def counted(pages: DataFrame) -> DataFrame:
-    """``host, path, parent, noise, kind, n, l, s``: of a style node's child sequences (kind P) or texts
-    (kind C) the occurrences, the number of distinct ones, and the sum over these of c ln c (P) or ln c (C)."""
+    """``host, path, parent, kind, value, c``: how often a style node has a child sequence (kind P), a text
+    (kind C; both as hashes) or a weight of its name (kinds N, S)."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +194,14 @@ def counted(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 nodes, blocks = parse(page or "")
-                rows += [(host, n.path, n.parent.path if n.parent else None, n.noise, "P", _signed(xxh64_intdigest("\0".join(n.children)))) for n in nodes]
-                rows += [(host, n.path, n.parent.path if n.parent else None, n.noise, "C", _signed(xxh64_intdigest(t))) for n, t in blocks]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
-
-    names = ["host", "path", "parent", "noise", "kind", "value"]
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("noise", pa.bool_()), ("kind", pa.string()), ("value", pa.int64())])
-    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, parent string, noise boolean, kind string, value long")
+                seen = [(n, "P", _signed(xxh64_intdigest("\0".join(n.children)))) for n in nodes]
+                seen += [(n, "C", _signed(xxh64_intdigest(t))) for n, t in blocks]
+                rows += [(host, n.path, n.parent.path if n.parent else None, kind, value) for n, kind, value in seen + _names(nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
+    names = ["host", "path", "parent", "kind", "value"]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, parent string, kind string, value long")
     return seen.groupBy(*names).agg(F.count("*").alias("c"))
 
 
@@ -179,15 +210,16 @@ def _signed(x: int) -> int:
 
 
 def _summed(counts: DataFrame, *by: str) -> DataFrame:
-    weight = F.when(F.col("kind") == "P", F.col("c") * F.ln("c")).otherwise(F.ln("c"))
-    sums = counts.groupBy(*by, "path", "kind").agg(F.first("parent").alias("parent"), F.min("noise").alias("noise"), F.sum("c").alias("n"), F.count("*").alias("l"), F.sum(weight).alias("s"))
+    """Style nodes: ``n`` occurrences, ``layouts`` (distinct), ``layout`` and ``content`` importance, ``weight`` of the name, ``apart``."""
     p, c = F.col("kind") == "P", F.col("kind") == "C"
-    pick = lambda k, x: F.max(F.when(k, F.col(x)))
-    wide = sums.groupBy(*by, "path").agg(F.max("parent").alias("parent"), F.min("noise").alias("noise"), F.coalesce(pick(p, "n"), F.lit(0)).alias("n"),
-                                         pick(p, "l").alias("lp"), pick(p, "s").alias("sp"), pick(c, "n").alias("nc"), pick(c, "l").alias("lc"), pick(c, "s").alias("sc"))
+    wide = counts.groupBy(*by, "path").agg(
+        F.max("parent").alias("parent"), F.max(F.col("kind") == "S").alias("apart"), F.sum(F.when(F.col("kind").isin("N", "S"), F.col("c") * F.col("value"))).alias("w"),
+        F.sum(F.when(p, F.col("c"))).alias("n"), F.count(F.when(p, 1)).alias("lp"), F.sum(F.when(p, F.col("c") * F.ln("c"))).alias("sp"),
+        F.sum(F.when(c, F.col("c"))).alias("nc"), F.count(F.when(c, 1)).alias("lc"), F.sum(F.when(c, F.ln("c"))).alias("sc"))
     layout = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), 1 - F.col("sp") / (F.col("n") * F.ln("n")))).otherwise(1.0)
     content = F.when(F.col("nc") > 1, 1 - F.col("sc") / (F.col("lc") * F.ln("nc"))).when(F.col("nc") == 1, 1.0)
-    return wide.select(*by, "path", "parent", "noise", "n", F.coalesce("lp", F.lit(1)).alias("layouts"), layout.alias("layout"), content.alias("content"), F.size(F.split("path", ">")).alias("depth"))
+    weight = F.coalesce(F.col("w") / (1000 * F.col("n")), F.lit(0.0))
+    return wide.select(*by, "path", "parent", "apart", weight.alias("weight"), "n", F.col("lp").alias("layouts"), layout.alias("layout"), content.alias("content"), F.size(F.split("path", ">")).alias("depth"))
 
 
 def importance(nodes: DataFrame, *by: str) -> DataFrame:
@@ -205,9 +237,9 @@ def importance(nodes: DataFrame, *by: str) -> DataFrame:
         share = 1 - F.pow(F.lit(GAMMA), F.col("layouts"))
         inner = F.coalesce((F.col("of_children") + F.col("content")) / 2, F.col("of_children"))
         own = F.when(F.col("of_children").isNull(), F.coalesce("content", "layout")).otherwise(share * F.col("layout") + (1 - share) * inner)
-        below = stored(level.select(*by, "path", "parent", "noise", "n", "content", own.alias("importance"), F.greatest(own, "best").alias("branch")), "style-level")
+        below = stored(level.select(*by, "path", "parent", "apart", "weight", "n", "content", own.alias("importance"), F.greatest(own, "best").alias("branch")), "style-level")
         levels.append(below)
-    out = levels[0] if levels else nodes.select(*by, "path", "parent", "noise", "n", "content", F.lit(1.0).alias("importance"), F.lit(1.0).alias("branch"))
+    out = levels[0] if levels else nodes.select(*by, "path", "parent", "apart", "weight", "n", "content", F.lit(1.0).alias("importance"), F.lit(1.0).alias("branch"))
     for x in levels[1:]:
         out = out.union(x)
     return out
@@ -217,11 +249,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """``host, path, importance, content`` of every style node, importance as of a branch; ``pages``: host, html."""
     counts = stored(counted(pages), "style-counts")
     own = importance(_summed(counts, "host"), "host")
-    all_hosts = counts.groupBy("path", "parent", "noise", "kind", "value").agg(F.sum("c").alias("c"))
-    shared = importance(_summed(all_hosts), *()).select("path", F.col("branch").alias("shared"), F.col("content").alias("shared_content"))
-    pick = lambda a, b: F.when(F.col("n") >= SUPPORT, F.col(a)).otherwise(F.coalesce(F.col(b), F.col(a)))
-    halved = F.when(F.col("noise"), 0.5).otherwise(1.0)
-    return own.join(shared, "path", "left").select("host", "path", (pick("branch", "shared") * halved).alias("importance"), (pick("content", "shared_content") * halved).alias("content"))
+    all_hosts = counts.groupBy("path", "parent", "kind", "value").agg(F.sum("c").alias("c"))
+    names = {"branch": "shared", "content": "shared_content", "weight": "shared_weight", "n": "shared_n"}
+    shared = importance(_summed(all_hosts), *()).select("path", *[F.col(a).alias(b) for a, b in names.items()])
+    pick = lambda a: F.when(F.col("n") >= SUPPORT, F.col(a)).otherwise(F.coalesce(F.col(names[a]), F.col(a)))
+    weight = F.when(F.col("apart") & (F.coalesce(F.col("shared_n"), F.col("n")) < SUPPORT), 1.0).otherwise(pick("weight"))
+    named = 1 - weight / 2
+    return own.join(shared, "path", "left").select("host", "path", (pick("branch") * named).alias("importance"), (pick("content") * named).alias("content"))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -257,5 +291,10 @@ def main_text(page: str, branches: set[str], texts: set[str]) -> str:
             n = n.parent
         return False
 
+    def apart(n: Node | None) -> bool:
+        while n is not None and not (n.named and n.name in APART):
+            n = n.parent
+        return n is not None
+
     kept = [t for n, t in blocks if not low(n)]
-    return " ".join(kept or [t for n, t in blocks if not n.noise])
+    return " ".join(kept or [t for n, t in blocks if not n.noise] or [t for n, t in blocks if not apart(n)])

@@ -58,3 +58,13 @@ def test_odd_pages(sites):
 
 def test_empty_table(sites):
     assert html.extract(sites([])).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "no-sidebar", "post social", "search-result"])
+def test_names_only_weigh(sites, wrapper):
+    want = [" ".join(sentence(30) for _ in range(3)) for _ in range(40)]
+    inner = "<article><p>{}</p></article>" if "has-" in wrapper else "<p>{}</p>"
+    rows = [(i, f"http://w/{i}", f"<div class='{wrapper}'>{inner.format(t)}</div><div class=comments>{sentence(4)}</div><nav>home about</nav>") for i, t in enumerate(want)]
+    rows.append((40, "http://alone/1", "<div class='post social widget'><p>alone</p></div>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
+    assert [got[i] for i in range(40)] == want and got[40] == "alone"
