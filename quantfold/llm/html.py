@@ -2,7 +2,7 @@
 
 Every page becomes a tree of elements; inline markup belongs to the text around it.  The trees of a host
 are merged: nodes with the same style path (names, classes and ids from the body down, digits
-as one) are one node of the host's tree.  Two things are counted, in Spark, for each style node: which
+as one) are one node of the host's tree, known by a 64-bit hash of its path; the depth is not limited.  Two things are counted, in Spark, for each style node: which
 sequences of children it has, and which texts stand directly in it.
 
 * Presentation: the entropy of its child sequences, to the base of its occurrences: 0 if all pages
@@ -22,8 +22,6 @@ of an element that holds an article or main element.  Elements that HTML itself
 (``APART``) have w = 1 where even all hosts show fewer than ``SUPPORT`` of them.  A page that would lose
 everything keeps the branches without a name, or if there are none, all that isn't in ``APART``.
 
-Elements deeper than ``DEPTH`` count as part of their ancestor at that depth.
-
 Defined cases: null and empty html give an empty text; a null url is a host of its own; equal rows
 are extracted one by one; an empty table gives no rows; other columns are ignored.
 """
@@ -41,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, tidy
 
-THRESHOLD, SUPPORT, DEPTH, GAMMA, BROADCAST_ROWS = 0.75, 30, 12, 0.9, 200_000
+THRESHOLD, SUPPORT, GAMMA, BROADCAST_ROWS = 0.75, 30, 0.9, 200_000
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -86,7 +84,9 @@ def _styled(name: str, attributes: str) -> tuple[str, set[str]]:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """``(nodes, blocks)``: all nodes, and in page order each block's node and text."""
-    root = Node("body", "body", None, False, False, False, 0)
+    from xxhash import xxh64_intdigest
+
+    root = Node("body", 0, None, False, False, False, 0)
     stack, nodes, blocks, now = [root], [root], [], []
     unseen, at, raw_end = 0, 0, None  # unseen: how many open elements are not text
 
@@ -148,7 +148,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         inside = up.inside or name in ("article", "main")
         noise = bool(said & NOISE or not inside and said & HEADERS)
         up.children.append(label)
-        node = Node(name, f"{up.path}>{label}" if up.depth < DEPTH else up.path, up, noise and name not in WHOLE, not noise and name in ("article", "main"), inside, up.depth + 1)
+        node = Node(name, xxh64_intdigest(label, up.path), up, noise and name not in WHOLE, not noise and name in ("article", "main"), inside, up.depth + 1)
         if not m[3].rstrip().endswith("/>") or name not in UNSEEN:
             stack.append(node)
             unseen += name in UNSEEN
@@ -185,7 +185,7 @@ def _host():
 
 
 def counted(pages: DataFrame) -> DataFrame:
-    """``host, path, parent, kind, value, c``: how often a style node has a child sequence (kind P), a text
+    """``host, path, parent, depth, kind, value, c``: how often a style node has a child sequence (kind P), a text
     (kind C; both as hashes) or a weight of its name (kinds N, S)."""
     from xxhash import xxh64_intdigest
 
@@ -196,12 +196,12 @@ def counted(pages: DataFrame) -> DataFrame:
                 nodes, blocks = parse(page or "")
                 seen = [(n, "P", _signed(xxh64_intdigest("\0".join(n.children)))) for n in nodes]
                 seen += [(n, "C", _signed(xxh64_intdigest(t))) for n, t in blocks]
-                rows += [(host, n.path, n.parent.path if n.parent else None, kind, value) for n, kind, value in seen + _names(nodes)]
+                rows += [(host, _signed(n.path), _signed(n.parent.path) if n.parent else None, n.depth, kind, value) for n, kind, value in seen + _names(nodes)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-    names = ["host", "path", "parent", "kind", "value"]
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, parent string, kind string, value long")
+    names = ["host", "path", "parent", "depth", "kind", "value"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path long, parent long, depth int, kind string, value long")
     return seen.groupBy(*names).agg(F.count("*").alias("c"))
 
 
@@ -213,49 +213,59 @@ def _summed(counts: DataFrame, *by: str) -> DataFrame:
     """Style nodes: ``n`` occurrences, ``layouts`` (distinct), ``layout`` and ``content`` importance, ``weight`` of the name, ``apart``."""
     p, c = F.col("kind") == "P", F.col("kind") == "C"
     wide = counts.groupBy(*by, "path").agg(
-        F.max("parent").alias("parent"), F.max(F.col("kind") == "S").alias("apart"), F.sum(F.when(F.col("kind").isin("N", "S"), F.col("c") * F.col("value"))).alias("w"),
+        F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.max(F.col("kind") == "S").alias("apart"), F.sum(F.when(F.col("kind").isin("N", "S"), F.col("c") * F.col("value"))).alias("w"),
         F.sum(F.when(p, F.col("c"))).alias("n"), F.count(F.when(p, 1)).alias("lp"), F.sum(F.when(p, F.col("c") * F.ln("c"))).alias("sp"),
         F.sum(F.when(c, F.col("c"))).alias("nc"), F.count(F.when(c, 1)).alias("lc"), F.sum(F.when(c, F.ln("c"))).alias("sc"))
     layout = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), 1 - F.col("sp") / (F.col("n") * F.ln("n")))).otherwise(1.0)
     content = F.when(F.col("nc") > 1, 1 - F.col("sc") / (F.col("lc") * F.ln("nc"))).when(F.col("nc") == 1, 1.0)
     weight = F.coalesce(F.col("w") / (1000 * F.col("n")), F.lit(0.0))
-    return wide.select(*by, "path", "parent", "apart", weight.alias("weight"), "n", F.col("lp").alias("layouts"), layout.alias("layout"), content.alias("content"), F.size(F.split("path", ">")).alias("depth"))
+    return wide.select(*by, "path", "parent", "depth", "apart", weight.alias("weight"), "n", F.col("lp").alias("layouts"), layout.alias("layout"), content.alias("content"))
 
 
 def importance(nodes: DataFrame, *by: str) -> DataFrame:
-    """Add ``importance`` and ``branch`` to style nodes, from the deepest level up (at most ``DEPTH`` + 1 levels)."""
+    """Add ``importance`` and ``branch`` to style nodes.
+
+    A node's importance is linear in its children's, so both come from pointer doubling: after round k a node
+    has the sum (then the maximum) over what lies less than 2^k below it, and each node knows its ancestor 2^k above
+    with the product of the factors on the way.  The rounds are the logarithm of the depth."""
     nodes = stored(nodes, "style-nodes")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    below, levels = None, []
-    for d in range(deepest, 0, -1):
-        level = nodes.where(F.col("depth") == d)
-        if below is None:
-            level = level.withColumns({"of_children": F.lit(None).cast("double"), "best": F.lit(None).cast("double")})
-        else:
-            means = below.groupBy(*by, F.col("parent").alias("path")).agg((F.sum(F.col("importance") * F.col("n")) / F.sum("n")).alias("of_children"), F.max("branch").alias("best"))
-            level = level.join(means, [*by, "path"], "left")
-        share = 1 - F.pow(F.lit(GAMMA), F.col("layouts"))
-        inner = F.coalesce((F.col("of_children") + F.col("content")) / 2, F.col("of_children"))
-        own = F.when(F.col("of_children").isNull(), F.coalesce("content", "layout")).otherwise(share * F.col("layout") + (1 - share) * inner)
-        below = stored(level.select(*by, "path", "parent", "apart", "weight", "n", "content", own.alias("importance"), F.greatest(own, "best").alias("branch")), "style-level")
-        levels.append(below)
-    out = levels[0] if levels else nodes.select(*by, "path", "parent", "apart", "weight", "n", "content", F.lit(1.0).alias("importance"), F.lit(1.0).alias("branch"))
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    rounds = (nodes.agg(F.max("depth")).first()[0] or 0).bit_length()
+    kids = nodes.where("parent is not null").groupBy(*by, F.col("parent").alias("path")).agg(F.sum("n").alias("of"))
+    share = 1 - F.pow(F.lit(GAMMA), F.col("layouts"))
+    leaf, bare = F.col("of").isNull(), F.col("content").isNull()
+    own = F.when(leaf, F.coalesce("content", "layout")).otherwise(share * F.col("layout") + (1 - share) * F.coalesce(F.col("content") / 2, F.lit(0.0)))
+    per = (1 - share) * F.when(bare, 1.0).otherwise(0.5) / F.col("of")
+    tree = stored(nodes.join(kids, [*by, "path"], "left").withColumns({"own": own, "per": per}), "style-shares")
+    up = tree.select(*by, F.col("path").alias("jump"), F.col("per").alias("factor"))
+    now = tree.withColumn("jump", F.col("parent")).join(up, [*by, "jump"], "left")
+    now = stored(now.select(*by, "path", "jump", (F.col("factor") * F.col("n")).alias("factor"), F.col("own").alias("sum")), "style-sums")
+    jumps = []
+    for _ in range(rounds):
+        jumps.append(now)
+        below = now.where("jump is not null").groupBy(*by, F.col("jump").alias("path")).agg(F.sum(F.col("factor") * F.col("sum")).alias("more"))
+        above = now.select(*by, F.col("path").alias("jump"), F.col("jump").alias("jump2"), F.col("factor").alias("factor2"))
+        both = now.join(below, [*by, "path"], "left").join(above, [*by, "jump"], "left")
+        now = stored(both.select(*by, "path", F.col("jump2").alias("jump"), (F.col("factor") * F.col("factor2")).alias("factor"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")), "style-sums")
+    sums = now.select(*by, "path", F.col("sum").alias("importance"))
+    best = sums.withColumn("branch", F.col("importance"))
+    for x in jumps:
+        at = x.where("jump is not null").select(*by, "path", "jump").join(best.select(*by, "path", "branch"), [*by, "path"])
+        most = at.groupBy(*by, F.col("jump").alias("path")).agg(F.max("branch").alias("most"))
+        best = stored(best.join(most, [*by, "path"], "left").select(*by, "path", "importance", F.greatest("branch", "most").alias("branch")), "style-branches")
+    return nodes.select(*by, "path", "parent", "depth", "apart", "weight", "n", "content").join(best, [*by, "path"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """``host, path, importance, content`` of every style node, importance as of a branch; ``pages``: host, html."""
     counts = stored(counted(pages), "style-counts")
     own = importance(_summed(counts, "host"), "host")
-    all_hosts = counts.groupBy("path", "parent", "kind", "value").agg(F.sum("c").alias("c"))
+    all_hosts = counts.groupBy("path", "parent", "depth", "kind", "value").agg(F.sum("c").alias("c"))
     names = {"branch": "shared", "content": "shared_content", "weight": "shared_weight", "n": "shared_n"}
     shared = importance(_summed(all_hosts), *()).select("path", *[F.col(a).alias(b) for a, b in names.items()])
     pick = lambda a: F.when(F.col("n") >= SUPPORT, F.col(a)).otherwise(F.coalesce(F.col(names[a]), F.col(a)))
     weight = F.when(F.col("apart") & (F.coalesce(F.col("shared_n"), F.col("n")) < SUPPORT), 1.0).otherwise(pick("weight"))
     named = 1 - weight / 2
-    return own.join(shared, "path", "left").select("host", "path", (pick("branch") * named).alias("importance"), (pick("content") * named).alias("content"))
+    return own.join(shared, "path", "left").select("host", "path", "parent", "depth", (pick("branch") * named).alias("importance"), (pick("content") * named).alias("content"))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -278,15 +288,15 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int
     return both.select("page_id", "url", "html", "low").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
-def main_text(page: str, branches: set[str], texts: set[str]) -> str:
+def main_text(page: str, branches: set[int], texts: set[int]) -> str:
     """Blocks of the page outside low ``branches`` and not directly in nodes of low ``texts``."""
     _, blocks = parse(page)
 
     def low(n: Node) -> bool:
-        if n.path in texts:
+        if _signed(n.path) in texts:
             return True
         while n.parent is not None:  # the body itself is no branch
-            if n.path in branches:
+            if _signed(n.path) in branches:
                 return True
             n = n.parent
         return False

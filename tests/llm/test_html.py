@@ -68,3 +68,33 @@ def test_names_only_weigh(sites, wrapper):
     rows.append((40, "http://alone/1", "<div class='post social widget'><p>alone</p></div>"))
     got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
     assert [got[i] for i in range(40)] == want and got[40] == "alone"
+
+
+def test_deep_articles(sites):
+    """An article 15 elements deep beside a deep comment branch, below classes that hold a >."""
+    want = [" ".join(sentence(30) for _ in range(3)) for _ in range(40)]
+    down, up = "<div class='[&>p]:mt-2'><div>" * 7 + "<div>", "</div>" * 15
+    rows = [(i, f"http://deep/{i}", f"{down}<div class=story><p>{t}</p></div><div class=comments><div><p>{sentence(4)}</p></div></div><div><p>Same words</p></div>{up}") for i, t in enumerate(want)]
+    got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
+    assert [got[i] for i in range(40)] == want
+
+
+def test_importance_is_that_of_the_recursion(spark):
+    n = random.Random(9)
+    rows = [(0, None, 0, 5, 2, 0.7, None)]
+    for i in range(1, 60):
+        parent = rows[n.randrange(max(0, i - 4), i)]
+        rows.append((i, parent[0], parent[2] + 1, n.randint(1, 9), n.randint(1, 6), n.random(), n.choice([None, n.random()])))
+    nodes = spark.createDataFrame([(*r, False, 0.0) for r in rows], "path long, parent long, depth int, n long, layouts long, layout double, content double, apart boolean, weight double")
+    want, best = {}, {}
+    for path, _, _, _, layouts, layout, content in reversed(rows):
+        kids = [r for r in rows if r[1] == path]
+        mean = sum(want[k[0]] * k[3] for k in kids) / sum(k[3] for k in kids) if kids else None
+        share = 1 - html.GAMMA**layouts
+        leaf = layout if content is None else content
+        want[path] = leaf if mean is None else share * layout + (1 - share) * (mean if content is None else (mean + content) / 2)
+        best[path] = max([want[path], *(best[k[0]] for k in kids)])
+    got = {r["path"]: r for r in html.importance(nodes).collect()}
+    assert len(got) == 60
+    for path in want:
+        assert abs(got[path]["importance"] - want[path]) < 1e-12 and abs(got[path]["branch"] - best[path]) < 1e-12
