@@ -3,7 +3,7 @@
 Every page becomes a tree of elements; inline markup belongs to the text around it.  The trees of a host
 are merged: nodes with the same style path (names, classes and ids from the body down, digits
 as one) are one node of the host's tree, known by a 64-bit hash of its path; the depth is not limited.  Two things are counted, in Spark, for each style node: which
-sequences of children it has, and which texts stand directly in it.
+sequences of children it has, and which texts stand directly in it.  Pages of a host with the same html count once.
 
 * Presentation: the entropy of its child sequences, to the base of its occurrences: 0 if all pages
   lay it out alike, 1 if all differ.
@@ -196,13 +196,16 @@ def counted(pages: DataFrame) -> DataFrame:
                 nodes, blocks = parse(page or "")
                 seen = [(n, "P", _signed(xxh64_intdigest("\0".join(n.children)))) for n in nodes]
                 seen += [(n, "C", _signed(xxh64_intdigest(t))) for n, t in blocks]
-                rows += [(host, _signed(n.path), _signed(n.parent.path) if n.parent else None, n.depth, kind, value) for n, kind, value in seen + _names(nodes)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+                copy = _signed(xxh64_intdigest(page or ""))
+                of = Counter((host, _signed(n.path), _signed(n.parent.path) if n.parent else None, n.depth, kind, value) for n, kind, value in seen + _names(nodes))
+                rows += [(*k, copy, c) for k, c in of.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[*names, "copy", "c"])
 
     names = ["host", "path", "parent", "depth", "kind", "value"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
-    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path long, parent long, depth int, kind string, value long")
-    return seen.groupBy(*names).agg(F.count("*").alias("c"))
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path long, parent long, depth int, kind string, value long, copy long, c long")
+    once = seen.groupBy(*names, "copy").agg(F.max("c").alias("c"))
+    return once.groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 def _signed(x: int) -> int:

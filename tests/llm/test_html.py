@@ -98,3 +98,11 @@ def test_importance_is_that_of_the_recursion(spark):
     assert len(got) == 60
     for path in want:
         assert abs(got[path]["importance"] - want[path]) < 1e-12 and abs(got[path]["branch"] - best[path]) < 1e-12
+
+
+def test_copies_count_once(sites):
+    want = [" ".join(sentence(30) for _ in range(3)) for _ in range(30)]
+    rows = [(30 * k + i, f"http://copies/{i}?{k}", f"<ul><li>Home page</ul><div class=story><p>{t}</p></div>") for i, t in enumerate(want) for k in range(12)]
+    rows += [(1000 + k, f"http://one/{k}", f"<div class=story><p>{want[0]}</p></div>") for k in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
+    assert len(got) == 400 and all(got[30 * k + i] == t for i, t in enumerate(want) for k in range(12)) and all(got[1000 + k] == want[0] for k in range(40))
