@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, tidy
 
-THRESHOLD, SUPPORT, GAMMA, BROADCAST_ROWS = 0.75, 30, 0.9, 200_000
+THRESHOLD, SUPPORT, GAMMA, BROADCAST_ROWS, SALTS, COPY_SALTS = 0.75, 30, 0.9, 200_000, 32, 8
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -184,6 +184,11 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _copy():
+    """The hash of a page, in Python ``xxh64`` with seed 42."""
+    return F.xxhash64(F.coalesce(F.col("html"), F.lit("")))
+
+
 def counted(pages: DataFrame) -> DataFrame:
     """``host, path, parent, depth, kind, value, c``: how often a style node has a child sequence (kind P), a text
     (kind C; both as hashes) or a weight of its name (kinds N, S)."""
@@ -196,7 +201,7 @@ def counted(pages: DataFrame) -> DataFrame:
                 nodes, blocks = parse(page or "")
                 seen = [(n, "P", _signed(xxh64_intdigest("\0".join(n.children)))) for n in nodes]
                 seen += [(n, "C", _signed(xxh64_intdigest(t))) for n, t in blocks]
-                copy = _signed(xxh64_intdigest(page or ""))
+                copy = _signed(xxh64_intdigest(page or "", 42))
                 of = Counter((host, _signed(n.path), _signed(n.parent.path) if n.parent else None, n.depth, kind, value) for n, kind, value in seen + _names(nodes))
                 rows += [(*k, copy, c) for k, c in of.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[*names, "copy", "c"])
@@ -271,35 +276,70 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return own.join(shared, "path", "left").select("host", "path", "parent", "depth", (pick("branch") * named).alias("importance"), (pick("content") * named).alias("content"))
 
 
+def low_nodes(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``host, path, low``: the topmost node of every low branch, and nodes whose own texts are low (the body is no branch)."""
+    kind = F.when((F.col("depth") > 0) & (F.col("importance") < threshold), F.lit("branch")).when(F.col("content") < threshold, F.lit("texts"))
+    low = stored(tree.withColumn("low", kind).where("low is not null").select("host", "path", "parent", "low"), "low-nodes")
+    above = low.where("low = 'branch'").select("host", F.col("path").alias("parent"))
+    return stored(low.join(above, ["host", "parent"], "left_anti").select("host", "path", "low"), "low-topmost")
+
+
+def low_of_pages(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``host, copy, low``: of each distinct html of a host the low nodes that it has.  A hot host's paths are
+    dealt to ``SALTS`` tasks by the html's hash."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            rows = []
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                copy = _signed(xxh64_intdigest(page or "", 42))
+                rows += [(host, path, copy) for path in {_signed(n.path) for n in parse(page or "")[0]}]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "copy"])
+
+    keys = pages.select("host", "html").mapInArrow(tidy(run), "host string, path long, copy long").withColumn("salt", F.pmod("copy", F.lit(SALTS)))
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return keys.join(salted, ["host", "path", "salt"]).groupBy("host", "copy").agg(F.collect_set(F.struct("path", "low")).alias("low"))
+
+
 def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
+    """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html).
+
+    Up to ``broadcast_rows`` low nodes go to the executors once; more are joined to the pages that have them."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
-    tree = style_tree(pages)
-    kind = F.when(F.col("importance") < threshold, F.lit("branch")).when(F.col("content") < threshold, F.lit("texts"))
-    low = stored(tree.withColumn("low", kind).where("low is not null").groupBy("host").agg(F.collect_list(F.struct("path", "low")).alias("low"), F.count("*").alias("n")), "low-nodes")
-    rows = low.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    low = low.select("host", "low")
-    both = pages.join(F.broadcast(low) if rows <= broadcast_rows else low, "host", "left")
+    low = low_nodes(style_tree(pages), threshold)
+    sent = None
+    if low.count() <= broadcast_rows:
+        of: dict[str, dict[int, str]] = {}
+        for r in low.collect():
+            of.setdefault(r["host"], {})[r["path"]] = r["low"]
+        sent = pages.sparkSession.sparkContext.broadcast(of)
+        both = pages
+    else:
+        has = stored(low_of_pages(pages, low), "low-of-pages")
+        salted = has.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))))
+        keyed = pages.withColumns({"copy": _copy(), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(COPY_SALTS))})
+        both = keyed.join(salted, ["host", "copy", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            texts = []
-            for page, said in zip(b.column("html").to_pylist(), b.column("low").to_pylist()):
-                texts.append(main_text(page or "", {x["path"] for x in said or () if x["low"] == "branch"}, {x["path"] for x in said or () if x["low"] == "texts"}))
+            last = b.column(3).to_pylist()
+            marked = (sent.value.get(h, {}) for h in last) if sent else ({x["path"]: x["low"] for x in said or ()} for said in last)
+            texts = [main_text(page or "", m) for page, m in zip(b.column("html").to_pylist(), marked)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return both.select("page_id", "url", "html", "low").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "host" if sent else "low").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
-def main_text(page: str, branches: set[int], texts: set[int]) -> str:
-    """Blocks of the page outside low ``branches`` and not directly in nodes of low ``texts``."""
+def main_text(page: str, marked: dict[int, str]) -> str:
+    """Blocks of the page outside branches ``marked`` low and not directly in nodes whose texts are."""
     _, blocks = parse(page)
 
     def low(n: Node) -> bool:
-        if _signed(n.path) in texts:
+        if marked.get(_signed(n.path)) == "texts":
             return True
         while n.parent is not None:  # the body itself is no branch
-            if _signed(n.path) in branches:
+            if marked.get(_signed(n.path)) == "branch":
                 return True
             n = n.parent
         return False

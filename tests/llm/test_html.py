@@ -106,3 +106,19 @@ def test_copies_count_once(sites):
     rows += [(1000 + k, f"http://one/{k}", f"<div class=story><p>{want[0]}</p></div>") for k in range(40)]
     got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
     assert len(got) == 400 and all(got[30 * k + i] == t for i, t in enumerate(want) for k in range(12)) and all(got[1000 + k] == want[0] for k in range(40))
+
+
+def test_low_nodes_are_joined_to_the_pages_that_have_them(sites):
+    """Comment ids with letters give each page paths of its own; a page's list holds only its own, the topmost."""
+    want = [" ".join(sentence(30) for _ in range(3)) for _ in range(40)]
+    page = "<div class=story><p>{}</p></div><div id=comment-{}><div><p>short {}</p></div></div>"
+    letters = [chr(97 + i // 10) * 3 + chr(97 + i % 10) for i in range(40)]
+    rows = [(i, f"http://hot/{i}", page.format(t, x, x)) for i, (t, x) in enumerate(zip(want, letters))] + [(40, "http://hot/40", page.format(want[0], letters[0], letters[0]))]
+    pages = sites(rows).withColumn("host", html._host())
+    low = html.low_nodes(html.style_tree(pages))
+    assert low.count() == 40
+    lists = html.low_of_pages(pages, low).collect()
+    assert len(lists) == 40 and all(len(r["low"]) == 1 for r in lists)
+    for limit in (10**6, -1):
+        got = {r["page_id"]: r["text"] for r in html.extract(sites(rows), broadcast_rows=limit).collect()}
+        assert [got[i] for i in range(41)] == [*want, want[0]]
