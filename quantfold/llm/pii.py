@@ -6,8 +6,9 @@ leftmost and non-overlapping within a kind.
 Bootstrapping: base matches are the seed entities.  Around each seed, and around each other token that could
 be an identifier (six digits or more among digits and separators, or an @), two lexical patterns
 are induced: the two words before, and the word before with the word after, each with the token's class.
-Patterns and instances form a bipartite graph in Spark.  Round by round a pattern's confidence is the mean score
-of its distinct instances; patterns with ``SUPPORT`` instances that are known and a confidence of ``CONFIDENCE``
+Patterns and instances form a bipartite graph in Spark.  Round by round a pattern's confidence is its distinct
+known instances against these and its distinct known wrong ones: plain words (without digit or @) that stand
+in its slot, counted in a pass over the texts for the patterns that have support.  Unknown instances don't count.  Patterns with ``SUPPORT`` instances that are known and a confidence of ``CONFIDENCE``
 raise the scores of the unknown instances they match (one minus the product of the doubts), which count in the next
 round.  In the end unknown tokens in confident patterns are spans of their pattern's
 commonest kind.  Base spans always stay; added spans don't overlap them.
@@ -134,17 +135,51 @@ def found(docs: DataFrame) -> DataFrame:
     return with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(run), FOUND)
 
 
-def confident_patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, kind`` from distinct ``pattern, instance, kind`` edges (kind -1: unknown)."""
+def wrong_words(docs: DataFrame, slots: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``slot, wrong``: how many distinct plain words stand in the slots (patterns without the token's class)."""
+    few = slots.count() <= broadcast_rows
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r["slot"] for r in slots.collect()) if few else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        ends = wanted and {x.split("|")[1 if x.endswith("_") else 0] for x in wanted}
+        for b in slices(batches, "text"):
+            out: set[tuple[str, str]] = set()
+            for text in b.column("text").to_pylist():
+                words = ["^", "^", *[re.sub(r"\d", "0", w.strip(EDGES).lower()) for w in (text or "").split()], "$"]
+                for i in range(2, len(words) - 1):
+                    if (ends is None or words[i - 1] in ends) and words[i].isalpha():
+                        for slot in (f"{words[i - 2]}|{words[i - 1]}|_", f"{words[i - 1]}|_|{words[i + 1]}"):
+                            if wanted is None or slot in wanted:
+                                out.add((slot, words[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["slot", "word"])
+
+    seen = docs.select("text").where("text is not null").mapInArrow(tidy(run), "slot string, word string")
+    seen = seen if few else seen.join(slots, "slot", "left_semi")
+    return seen.distinct().groupBy("slot").agg(F.count("*").alias("wrong"))
+
+
+def confident_patterns(edges: DataFrame, docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``pattern, kind`` from distinct ``pattern, instance, kind`` edges (kind -1: unknown) and the texts."""
     first = edges.groupBy("instance").agg(F.max("kind").alias("kind"))
     scores = first.select("instance", "kind", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0).alias("score"))
     links = stored(edges.select("pattern", "instance").distinct(), "pattern-edges")
-    good = None
+    good, judged = None, None
+    slot = F.regexp_replace("pattern", "^[@9][|]", "")
     for _ in range(rounds):
         scores = stored(scores, "instance-scores")
         known = F.when(F.col("kind") >= 0, F.col("kind"))
-        of = links.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum((F.col("score") >= confidence).cast("long")).alias("n"), F.mode(known, deterministic=True).alias("kind"))
-        good = stored(of.where((F.col("n") >= support) & (F.col("confidence") >= confidence) & F.col("kind").isNotNull()), "patterns")
+        of = links.join(scores, "instance").groupBy("pattern").agg(F.sum((F.col("score") >= confidence).cast("long")).alias("n"), F.mode(known, deterministic=True).alias("kind"))
+        of = stored(of.where((F.col("n") >= support) & F.col("kind").isNotNull()).withColumn("slot", slot), "supported-patterns")
+        slots = of.select("slot").distinct()
+        new_slots = stored(slots if judged is None else slots.join(judged, "slot", "left_anti"), "new-slots")
+        if not new_slots.isEmpty():
+            more = new_slots.join(wrong_words(docs, new_slots, broadcast_rows), "slot", "left").na.fill(0, ["wrong"])
+            judged = stored(more if judged is None else judged.union(more), "wrong-words")
+        of = of.withColumn("wrong", F.lit(0)) if judged is None else of.join(judged, "slot")
+        good = stored(of.withColumn("confidence", F.col("n") / (F.col("n") + F.col("wrong"))).where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"), "patterns")
+        if good.isEmpty():
+            break
         doubt = F.sum(F.ln(1 - F.least("confidence", F.lit(0.999))))
         new = links.join(good, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("raised"), F.mode("kind", deterministic=True).alias("as_kind"))
         now = scores.join(new, "instance", "left")
@@ -153,11 +188,11 @@ def confident_patterns(edges: DataFrame, support: int = SUPPORT, confidence: flo
     return good.select("pattern", "kind")
 
 
-def added(rows: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, text_hash, more``: spans that confident patterns add to documents; ``rows``: stored ``FOUND``."""
+def added(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id, text_hash, more``: spans that confident patterns add to documents; ``rows``: stored ``FOUND`` of ``docs``."""
     seen = rows.select("doc_id", "text_hash", F.explode("seen").alias("s")).select("doc_id", "text_hash", "s.*")
     spots = stored(seen.withColumn("pattern", F.explode("patterns")).drop("patterns"), "identifier-spots")
-    good = confident_patterns(spots.select("pattern", "instance", "kind").distinct(), support, confidence, rounds)
+    good = confident_patterns(spots.select("pattern", "instance", "kind").distinct(), docs, support, confidence, rounds, broadcast_rows)
     hits = spots.where("kind < 0").drop("kind").join(good, "pattern")
     each = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.min("kind").cast("int").alias("kind"))
     return each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
@@ -173,7 +208,7 @@ def _with_added(rows: DataFrame, more: DataFrame, broadcast_rows: int) -> DataFr
 def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, spans`` of every row; spans as of ``SPANS``, by kind, then start; kind: its number in ``KINDS``."""
     rows = stored(found(docs), "personal-data")
-    both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows, support, confidence, rounds), broadcast_rows)
+    both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows, docs, support, confidence, rounds, broadcast_rows), broadcast_rows)
     own = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("base")))
     return both.select("doc_id", F.array_sort(F.concat(own, F.coalesce(F.col("more"), F.array().cast(SPANS)))).alias("spans"))
 
@@ -183,7 +218,7 @@ def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Only texts with a digit or an @ can hold a span; the others don't leave the JVM."""
     rows = stored(found(docs), "personal-data").where("size(base) > 0 or size(seen) > 0")
-    both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows), broadcast_rows)
+    both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows, docs, broadcast_rows=broadcast_rows), broadcast_rows)
     spans = F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))),
                      F.coalesce(F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:int,start:int,end:int>>")))
     marked = stored(both.select("doc_id", "text_hash", spans.alias("spans")).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "marked-rows")

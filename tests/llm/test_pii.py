@@ -85,3 +85,10 @@ def test_query_digests(spark, tmp_path):
     got = {r["doc_id"]: r for r in QUERIES["op7_personal_data"](spark, str(tmp_path)).collect()}
     assert got[1]["spans"] == "email:2:8,ip:9:16" and got[1]["base_sha256"] == hashlib.sha256(b"email:2:8,ip:9:16").hexdigest()
     assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"], got[2]["spans"]) == (1, 1, 0, 0, "")
+
+
+def test_unseen_identifiers_cannot_veto_their_context(frame):
+    rows = [(i, f"please call me +1 202 555 0{100 + i} ok") for i in range(12)] + [(100 + i, f"please call me 55501991{10 + i} ok") for i in range(40)]
+    rows += [(200 + i, f"we met +1 202 555 0{300 + i} there") for i in range(12)] + [(300 + i, f"we met {'abcdefghijkl'[i] * 3} there") for i in range(12)] + [(400, "we met 5550199177 there")]
+    got = {r["doc_id"]: [s["base"] for s in r["spans"]] for r in pii.find(frame(rows)).collect()}
+    assert all(got[100 + i] == [False] for i in range(40)) and got[400] == []
