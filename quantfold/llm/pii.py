@@ -3,9 +3,10 @@
 Base: emails, IPv4 addresses, card numbers that pass the Luhn check and international phone numbers,
 leftmost and non-overlapping within a kind.
 
-Bootstrapping: base matches are the seed entities.  Around each seed, and around each other token that could
-be an identifier (six digits or more among digits and separators, or an @), two lexical patterns
-are induced: the two words before, and the word before with the word after, each with the token's class.
+Bootstrapping: base matches are the seed entities.  Around each seed, and around each other span that could
+be an identifier, two lexical patterns are induced.  Such a span is a token with an inner @ or with six digits or more
+among digits and separators; else up to ``SLOT`` neighbouring tokens that each hold a digit, with no punctuation
+between them and ``LEAST`` letters and digits or more in all; or an address in words (john at example dot com).  The patterns: the two words before, and the word before with the word after, each with the token's class.
 Patterns and instances form a bipartite graph in Spark.  Round by round a pattern's confidence is its distinct
 known instances against these and its distinct known wrong ones: plain words (without digit or @) that stand
 in its slot, counted in a pass over the texts for the patterns that have support.  Unknown instances don't count.  Patterns with ``SUPPORT`` instances that are known and a confidence of ``CONFIDENCE``
@@ -20,6 +21,7 @@ their texts; an empty table gives no rows; other columns are kept by ``redact``
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, tidy, with_text_hash
 
+SLOT, LEAST = 4, 6
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_ROWS = 5, 0.9, 3, 500_000
 
@@ -39,6 +42,7 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 NUMERIC = re.compile(r"[+(]?[0-9][0-9()./:-]*[0-9]")
+SPELT = re.compile(r"(?i)(?<!\S)[\w.+-]{1,64}\s[(\[]?at[)\]]?\s[\w-]{1,64}(?:\s[(\[]?dot[)\]]?\s[\w-]{1,64}){1,3}")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|"
 
 FOUND = "doc_id long, text_hash long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<patterns:array<string>,instance:string,kind:int,start:int,end:int>>"
@@ -93,24 +97,51 @@ def seen_tokens(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     spots = [(a, z, k) for k, a, z in base]
     taken = sorted((a, z) for _, a, z in base)
     tokens = [m.span() for m in TOKEN.finditer(text)]
-    i = 0
-    for a, z in tokens:
+    run: list[tuple[int, int]] = []
+
+    def within(a: int, z: int) -> bool:
+        i = bisect_left(taken, (z, z))  # spans from here on start behind
+        return any(y > a for _, y in taken[max(0, i - 4) : i])
+
+    def offer(a: int, z: int):
+        if not within(a, z):
+            spots.append((a, z, -1))
+            insort(taken, (a, z))
+
+    def flush():
+        for k in range(0, len(run), SLOT):
+            a, z = run[k][0], run[k : k + SLOT][-1][1]
+            if sum(map(str.isalnum, text[a:z])) >= LEAST:
+                offer(a, z)
+        run.clear()
+
+    for m in SPELT.finditer(text) if "dot" in text.lower() else ():
+        offer(*m.span())
+    for first, last in tokens:
+        a, z = first, last
         while a < z and text[a] in EDGES and text[a] != "(":
             a += 1
         while z > a and text[z - 1] in EDGES:
             z -= 1
         word = text[a:z]
-        could = "@" in word[1:-1] or sum(c.isdigit() for c in word) >= 6 and NUMERIC.fullmatch(word)
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if could and not any(x < z and a < y for x, y in taken[i : i + 4]):
-            spots.append((a, z, -1))
+        if "@" in word[1:-1] or sum(map(str.isdigit, word)) >= 6 and NUMERIC.fullmatch(word):
+            flush()
+            offer(a, z)
+        elif any(map(str.isdigit, word)) and not within(a, z):
+            if a > first:
+                flush()
+            run.append((a, z))
+            if z < last:
+                flush()
+        else:
+            flush()
+    flush()
     out = []
     for a, z, kind in spots:
         before = [w.strip(EDGES).lower() for w in text[max(0, a - 200) : a].split()[-2:]]
         after = [w.strip(EDGES).lower() for w in text[z : z + 100].split()[:1]]
         before, after = ([re.sub(r"\d", "0", w) for w in x] for x in (["^", "^", *before][-2:], [*after, "$"][:1]))
-        sort = "@" if "@" in text[a:z] else "9"
+        sort = "9" if any(map(str.isdigit, text[a:z])) and "@" not in text[a:z] and not SPELT.fullmatch(text[a:z]) else "@"
         out.append({"patterns": [f"{sort}|{before[0]}|{before[1]}|_", f"{sort}|{before[1]}|_|{after[0]}"], "instance": text[a:z], "kind": kind, "start": a, "end": z})
     return out
 
@@ -121,7 +152,7 @@ def found(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts, bases, seen = b.column("text"), [[]] * b.num_rows, [[]] * b.num_rows
-            some = pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
+            some = pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]|(?is:\sat[)\]]?\s.*\sdot[)\]]?\s)"), False).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
             for i in some:
                 text = texts[i].as_py()
                 base = base_spans(text)
@@ -216,7 +247,7 @@ def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE
 def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with every span of a text replaced by its kind in brackets, and ``n_chars`` of the new text.
 
-    Only texts with a digit or an @ can hold a span; the others don't leave the JVM."""
+    Only texts with a span leave the JVM."""
     rows = stored(found(docs), "personal-data").where("size(base) > 0 or size(seen) > 0")
     both = _with_added(rows.select("doc_id", "text_hash", "base"), added(rows, docs, broadcast_rows=broadcast_rows), broadcast_rows)
     spans = F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))),

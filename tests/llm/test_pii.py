@@ -92,3 +92,13 @@ def test_unseen_identifiers_cannot_veto_their_context(frame):
     rows += [(200 + i, f"we met +1 202 555 0{300 + i} there") for i in range(12)] + [(300 + i, f"we met {'abcdefghijkl'[i] * 3} there") for i in range(12)] + [(400, "we met 5550199177 there")]
     got = {r["doc_id"]: [s["base"] for s in r["spans"]] for r in pii.find(frame(rows)).collect()}
     assert all(got[100 + i] == [False] for i in range(40)) and got[400] == []
+
+
+def test_unseen_identifiers_of_other_shapes(frame):
+    rows = [(i, f"please call me +1 202 555 0{100 + i} ok") for i in range(12)] + [(50 + i, f"please mail to u{i}@example.org ok") for i in range(12)]
+    odd = ["020 7946 0958", "1234 5678 9012 3456", "AB-123-456"]
+    rows += [(100 + i, f"please call me {x} ok") for i, x in enumerate(odd)] + [(110, "please mail to john at example dot com ok"), (111, "please call me 5 times ok")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]] for r in pii.find(frame(rows)).collect()}
+    assert not pii.luhn("1234567890123456")
+    assert [got[100 + i] for i in range(3)] == [[(3, 15, 15 + len(x), False)] for x in odd]
+    assert got[110] == [(0, 15, 38, False)] and got[111] == []
