@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -166,23 +167,32 @@ def found(docs: DataFrame) -> DataFrame:
     return with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(run), FOUND)
 
 
-def wrong_words(docs: DataFrame, slots: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``slot, wrong``: how many distinct plain words stand in the slots (patterns without the token's class)."""
+def wrong_words(docs: DataFrame, slots: DataFrame, confidence: float = CONFIDENCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``slot, wrong``: how many distinct plain words stand in the slots (patterns without the token's class).
+
+    ``slots`` has the known instances ``n``.  A task that alone has seen enough words to refute a slot looks for no more of
+    them: the count is exact for slots that stay confident, and large enough for the others."""
     few = slots.count() <= broadcast_rows
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r["slot"] for r in slots.collect()) if few else None)
+    sent = docs.sparkSession.sparkContext.broadcast({r["slot"]: r["n"] for r in slots.collect()} if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = sent.value
         ends = wanted and {x.split("|")[1 if x.endswith("_") else 0] for x in wanted}
+        had: dict[str, set[str]] = defaultdict(set)  # without broadcast slots: of one slice
         for b in slices(batches, "text"):
-            out: set[tuple[str, str]] = set()
+            out: list[tuple[str, str]] = []
+            if wanted is None:
+                had.clear()
             for text in b.column("text").to_pylist():
                 words = ["^", "^", *[re.sub(r"\d", "0", w.strip(EDGES).lower()) for w in (text or "").split()], "$"]
                 for i in range(2, len(words) - 1):
                     if (ends is None or words[i - 1] in ends) and words[i].isalpha():
                         for slot in (f"{words[i - 2]}|{words[i - 1]}|_", f"{words[i - 1]}|_|{words[i + 1]}"):
-                            if wanted is None or slot in wanted:
-                                out.add((slot, words[i]))
+                            if wanted is not None and (slot not in wanted or wanted[slot] / (wanted[slot] + len(had[slot])) < confidence):
+                                continue
+                            if words[i] not in had[slot]:
+                                had[slot].add(words[i])
+                                out.append((slot, words[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["slot", "word"])
 
     seen = docs.select("text").where("text is not null").mapInArrow(tidy(run), "slot string, word string")
@@ -202,12 +212,12 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, support: int = SUPPORT
         known = F.when(F.col("kind") >= 0, F.col("kind"))
         of = links.join(scores, "instance").groupBy("pattern").agg(F.sum((F.col("score") >= confidence).cast("long")).alias("n"), F.mode(known, deterministic=True).alias("kind"))
         of = stored(of.where((F.col("n") >= support) & F.col("kind").isNotNull()).withColumn("slot", slot), "supported-patterns")
-        slots = of.select("slot").distinct()
-        new_slots = stored(slots if judged is None else slots.join(judged, "slot", "left_anti"), "new-slots")
+        slots = of.groupBy("slot").agg(F.max("n").alias("n"))
+        new_slots = stored(slots if judged is None else slots.join(judged.select("slot", F.col("n").alias("of_n")), "slot", "left").where("of_n is null or of_n < n").select("slot", "n"), "new-slots")
         if not new_slots.isEmpty():
-            more = new_slots.join(wrong_words(docs, new_slots, broadcast_rows), "slot", "left").na.fill(0, ["wrong"])
-            judged = stored(more if judged is None else judged.union(more), "wrong-words")
-        of = of.withColumn("wrong", F.lit(0)) if judged is None else of.join(judged, "slot")
+            more = new_slots.join(wrong_words(docs, new_slots, confidence, broadcast_rows), "slot", "left").na.fill(0, ["wrong"])
+            judged = stored((more if judged is None else judged.unionByName(more)).groupBy("slot").agg(F.max("wrong").alias("wrong"), F.max("n").alias("n")), "wrong-words")
+        of = of.withColumn("wrong", F.lit(0)) if judged is None else of.join(judged.select("slot", "wrong"), "slot")
         good = stored(of.withColumn("confidence", F.col("n") / (F.col("n") + F.col("wrong"))).where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"), "patterns")
         if good.isEmpty():
             break
