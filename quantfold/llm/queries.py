@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, pii, simhash, substrings, tiling, tokenfile, topk, toxicity
+from . import html, langid, packing, pii, runs, simhash, substrings, tiling, tokenfile, topk, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which end in a repeated stretch, and digests of them and of the collapsed text."""
+    return runs.digests(runs.find(runs.repeat_tails(read(spark, sf_dir, "documents"))))
