@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, pii, runs, simhash, substrings, tiling, tokenfile, topk, toxicity
+from . import html, langid, packing, pii, runs, simhash, substrings, tiling, tokenfile, topk, toxicity, versions
 from .common import read
 
 QUERIES: dict = {}
@@ -111,3 +111,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of which end in a repeated stretch, and digests of them and of the collapsed text."""
     return runs.digests(runs.find(runs.repeat_tails(read(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited version, and their likeness by the paragraph digests that peeling recovers."""
+    return versions.edited_versions(read(spark, sf_dir, "documents"))
