@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, pii, runs, simhash, substrings, tiling, tokenfile, topk, toxicity, versions
+from . import align, html, langid, packing, pii, runs, simhash, substrings, tiling, tokenfile, topk, toxicity, versions
 from .common import read
 
 QUERIES: dict = {}
@@ -117,3 +117,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited version, and their likeness by the paragraph digests that peeling recovers."""
     return versions.edited_versions(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document, weighed by how many documents hold a link."""
+    return align.alignment_query(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
