@@ -96,7 +96,7 @@ def log_transform(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.01, upper: float = 0.99,
-              by: Sequence[str] = (), method: str = "sorted") -> DataFrame:
+              by: Sequence[str] = (), method: str = "radix") -> DataFrame:
     """Cap each column at its ``lower`` / ``upper`` quantiles; NULLs untouched."""
     cols, by = numeric_columns(df, cols), list(by)
     q = quantile_wide(df, cols, [lower, upper], by, method, names=["lo", "hi"])

@@ -66,7 +66,7 @@ def null_matrix(df: DataFrame, time: str = "time", bucket: str = "day",
 
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5, by: Sequence[str] = (),
-                 suffix: str = "__outlier", method: str = "sorted") -> DataFrame:
+                 suffix: str = "__outlier", method: str = "radix") -> DataFrame:
     """Flag ``x < Q1 - k*IQR or x > Q3 + k*IQR`` per numeric column; NULL is not an outlier."""
     cols, by = numeric_columns(df, cols), list(by)
     if not cols:

@@ -1,12 +1,15 @@
 """Exact quantiles with linear interpolation (pandas / ``quantile_cont`` rule).
 
-Two physical strategies, same answer:
+Three physical strategies, same answer:
+
+``method="radix"``  (default) selection by counted 16-bit cells (:mod:`radix`): up to four scans, each with
+    one combined aggregate; no value is sorted, stored or held.
 
 ``method="percentile"``  Spark's ``percentile`` aggregate per group.  Its
     state keeps one counter per distinct value of the group, so it is only
     right when every group is bounded (a fold x feature, a window frame).
 
-``method="sorted"``  (default) a distributed order statistic that never
+``method="sorted"``  a distributed order statistic that never
     holds a group in one task: count the distinct values, range-partition and
     sort them by (group, value), number the rows by partition offset and running
     count, find each group's start rank and size with two small aggregates, then
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import radix
 
 #: (group, probability, rank) rows up to which the last join broadcasts them (under 100 bytes each).
 BROADCAST_PICKS = 500_000
@@ -39,12 +43,12 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "sorted", partitions: int | None = None) -> DataFrame:
+              method: str = "radix", partitions: int | None = None) -> DataFrame:
     cols, by = list(cols), list(by)
     return quantiles_of(_long(df, cols, by), by + ["column"], probs, method, partitions)
 
 
-def quantiles_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], method: str = "sorted",
+def quantiles_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], method: str = "radix",
                  partitions: int | None = None, value: str = "x") -> DataFrame:
     """Quantiles of ``value`` per ``keys`` on an already long frame -> (*keys, p, value)."""
     keys, probs = list(keys), [float(p) for p in probs]
@@ -63,6 +67,8 @@ def quantiles_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], m
         return (agg.select(*keys, F.posexplode("_q").alias("_i", "value"))
                 .withColumn("p", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1))
                 .select(*keys, "p", "value"))
+    if method == "radix":
+        return radix.interpolated(radix.select(long, keys, lambda n: radix.quantile_ranks(probs, n)), keys)
     if method != "sorted":
         raise ValueError(f"unknown quantile method {method!r}")
 
@@ -106,7 +112,7 @@ def quantiles_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], m
 
 
 def quantile_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                  method: str = "sorted", names: Sequence[str] | None = None) -> DataFrame:
+                  method: str = "radix", names: Sequence[str] | None = None) -> DataFrame:
     """One row per (*by, column) with a column per probability (``q_<p>`` or ``names``)."""
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q_{str(p).replace('.', '_')}" for p in probs]
@@ -116,7 +122,7 @@ def quantile_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by
 
 
 def quantile_wide_of(long: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str],
-                     method: str = "sorted", value: str = "x") -> DataFrame:
+                     method: str = "radix", value: str = "x") -> DataFrame:
     """Like :func:`quantile_wide` on a long frame: one row per ``keys``."""
     probs = [float(p) for p in probs]
     q = quantiles_of(long, keys, probs, method, value=value)

@@ -39,7 +39,7 @@ def _moments(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-                  method: str = "sorted") -> DataFrame:
+                  method: str = "radix") -> DataFrame:
     """The 14 summary statistics per numeric column (and group)."""
     cols, by = numeric_columns(df, cols), list(by)
     long = to_long(df, cols, by).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -98,7 +98,7 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30,
 
 
 def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-              whis: float = 1.5, method: str = "sorted") -> DataFrame:
+              whis: float = 1.5, method: str = "radix") -> DataFrame:
     """Box-plot data: quartiles, whisker ends (last datum within whis*IQR), flier count."""
     cols, by = numeric_columns(df, cols), list(by)
     keys = by + ["column"]
