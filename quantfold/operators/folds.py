@@ -2,8 +2,8 @@
 
 Folds are rows, not a driver loop: each panel row is expanded (``explode``,
 no range join) to the prediction years whose training window contains it,
-plus its own year as test.  Per-fold statistics are long-form aggregates
-keyed by (fold, feature) and joined back.
+plus its own year as test.  Statistics are counted once per year and added up over the
+years of each fold; rows stay wide and meet one row of bounds a fold.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-from . import ordered
-from .quantiles import quantile_wide_of
+from ..session import materialize
+from . import ordered, radix
+
+#: Draw numbers of a bootstrap member that one row stands for.
+BLOCK = 1 << 16
 
 
 def walk_forward(df: DataFrame, start: int, end: int, train_years: int = 10, date: str = "datadate") -> DataFrame:
@@ -38,72 +41,127 @@ def walk_forward(df: DataFrame, start: int, end: int, train_years: int = 10, dat
     return ex.join(F.broadcast(ok), "fold", "left_semi")
 
 
-def to_long_features(folds: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    return folds.select(*ids, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        list(ids), list(features), "feature", "x")
+def _finite(name: str):
+    x = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def fold_scale(folds: DataFrame, features: Sequence[str], key: str = "gvkey", date: str = "datadate",
-               lower: float = 0.01, upper: float = 0.99, var_min: float = 1e-8, var_min_scaled: float = 1e-10,
-               min_train: int = 10, quantile_method: str = "sorted") -> DataFrame:
-    """Per fold: winsorise at train quantiles -> drop near-constant -> >= min_train train
-    rows -> min-max scale on train -> drop folds with missing values -> drop features
-    constant after scaling.  Returns long ``(fold, role, key, date, feature, x)``.
-    """
-    ids = ["fold", "role", key, date]
-    long = to_long_features(folds, features, ids)
-    train = long.where(F.col("role") == "train")
-    b = quantile_wide_of(train, ["fold", "feature"], [lower, upper], ["lo", "hi"], quantile_method)
-    clipped = long.join(F.broadcast(b), ["fold", "feature"]).withColumn(
-        "x", F.when(F.col("x") < F.col("lo"), F.col("lo")).when(F.col("x") > F.col("hi"), F.col("hi"))
-        .otherwise(F.col("x"))).drop("lo", "hi")
-    tr = clipped.where(F.col("role") == "train")
-    st = tr.groupBy("fold", "feature").agg(F.var_samp("x").alias("_v"), F.min("x").alias("_mn"),
-                                          F.max("x").alias("_mx"))
-    st = st.where(F.col("_v") > var_min)
-    n_train = (folds.where(F.col("role") == "train").groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") >= min_train).select("fold"))
-    st = st.join(n_train, "fold", "left_semi")
-    scaled = clipped.join(F.broadcast(st), ["fold", "feature"]).withColumn(
-        "x", (F.col("x") - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))).drop("_v", "_mn", "_mx")
-    bad = scaled.where(F.col("x").isNull() | F.isnan("x")).select("fold").distinct()
-    scaled = scaled.join(bad, "fold", "left_anti")
-    v2 = (scaled.where(F.col("role") == "train").groupBy("fold", "feature").agg(F.var_samp("x").alias("_v2"))
-          .where(F.col("_v2") > var_min_scaled).select("fold", "feature"))
-    return scaled.join(F.broadcast(v2), ["fold", "feature"], "left_semi").select(*ids, "feature", "x")
+def fold_statistics(df: DataFrame, features: Sequence[str], start: int, end: int, train_years: int = 10, date: str = "datadate",
+                    lower: float = 0.01, upper: float = 0.99, var_min: float = 1e-8, var_min_scaled: float = 1e-10, min_train: int = 10) -> DataFrame:
+    """One row a fold: ``fold, n_train, n_test, bounds`` where ``bounds`` is an array of ``{lo, hi}`` aligned with ``features``
+    (NULL for a feature that is dropped).  Folds that aren't usable have no row.
+
+    Rows are counted per year; the cells of the quantile search are added up over each fold's years, so what
+    is shuffled doesn't depend on the length of the window.  Winsorised values range from ``lo`` to ``hi``, so only their
+    variance needs another pass, which keeps two sums per fold and feature and shuffles one row of them per task and fold."""
+    names = [f"_f{i}" for i in range(len(features))]  # the features' own names may clash with others
+    year = F.year(date)
+    last = F.lit(end)
+
+    def folds_of(years: DataFrame) -> DataFrame:
+        return years.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("_y") + 1, F.lit(start)), F.least(F.col("_y") + train_years, last)))).drop("_y")
+
+    def in_reach(y):  # the first fold it can train isn't after the last one
+        return (y < last) & (y + train_years >= start)
+
+    def aligned(found: DataFrame) -> DataFrame:  # one row a fold
+        held = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))
+        return found.groupBy("fold").agg(held.alias("m")).select("fold", F.transform(F.array(*[F.lit(c) for c in names]), lambda c: F.try_element_at("m", c)).alias("bounds"))
+
+    wide = df.select(year.alias("_y"), *[_finite(c).alias(n) for c, n in zip(features, names)])
+    long = wide.unpivot("_y", names, "feature", "x")
+    trained = long.where(F.col("x").isNotNull() & in_reach(F.col("_y")))
+    found = radix.select(trained, ["fold", "feature"], lambda n: radix.quantile_ranks([lower, upper], n), base=["_y", "feature"], spread=folds_of)
+    q = radix.interpolated(found, ["fold", "feature"])
+    q = q.groupBy("fold", "feature").agg(F.max(F.when(F.col("p") == lower, F.col("value"))).alias("lo"), F.max(F.when(F.col("p") == upper, F.col("value"))).alias("hi"))
+    q = materialize(q)  # folds x features rows
+    lists = aligned(q).withColumnRenamed("bounds", "_b")
+
+    years = df.groupBy(year.alias("_y")).agg(F.count(F.lit(1)).alias("n"))
+    counts = (folds_of(years.where(in_reach(F.col("_y")))).groupBy("fold").agg(F.sum("n").alias("n_train"))
+              .join(years.select(F.col("_y").alias("fold"), F.col("n").alias("n_test")), "fold")
+              .where((F.col("n_train") >= min_train) & F.col("fold").between(start, end)))
+
+    rows = folds_of(wide.where(in_reach(F.col("_y")))).join(F.broadcast(lists), "fold")  # a row a fold: bounded by the years
+    sums = []
+    for i, c in enumerate(names):
+        off = F.least(F.greatest(F.col(c), F.col("_b")[i]["lo"]), F.col("_b")[i]["hi"]) - F.col("_b")[i]["lo"]
+        off = F.when(F.col(c).isNotNull(), off)
+        sums.append(F.array(F.count(off).cast("double"), F.sum(off), F.sum(off * off)).alias(c))
+    moments = rows.groupBy("fold").agg(*sums).unpivot("fold", names, "feature", "m")
+    n, s, ss = (F.col("m")[k] for k in range(3))
+    spread = q.join(moments, ["fold", "feature"]).withColumn("_v", F.when(n > 1, (ss - s * s / n) / (n - 1)))
+    spread = materialize(spread.where(F.col("_v") > var_min).select("fold", "feature", "lo", "hi", "_v"))
+
+    # A feature that is kept and missing in a year that a fold trains or tests on makes the fold unusable.
+    missing = materialize(long.where(F.col("x").isNull()).select("_y", "feature").distinct())
+    touched = folds_of(missing.where(in_reach(F.col("_y")))).unionByName(missing.where(F.col("_y").between(start, end)).withColumnRenamed("_y", "fold"))
+    unusable = touched.join(spread, ["fold", "feature"], "left_semi").select("fold").distinct()
+    kept = spread.where(F.col("_v") / ((F.col("hi") - F.col("lo")) * (F.col("hi") - F.col("lo"))) > var_min_scaled)
+    return materialize(counts.join(aligned(kept), "fold").join(unusable, "fold", "left_anti").select("fold", "n_train", "n_test", "bounds"))
+
+
+def fold_scale(df: DataFrame, features: Sequence[str], start: int, end: int, train_years: int = 10, key: str = "gvkey", date: str = "datadate",
+               keep: Sequence[str] = (), **limits) -> DataFrame:
+    """Per fold: winsorise at train quantiles -> drop near-constant -> >= min_train train rows -> min-max scale on train -> drop
+    folds with missing values -> drop features constant after scaling.
+
+    Wide: ``(fold, role, key, date, *keep, x)`` with ``x`` aligned with ``features`` (NULL for dropped ones).  Rows meet their
+    fold's bounds, one broadcast row a fold; nothing but that is shuffled."""
+    stats = fold_statistics(df, features, start, end, train_years, date, **limits)
+    plain = df.select(key, date, *keep, F.array(*[_finite(c) for c in features]).alias("_x"))
+    rows = walk_forward(plain, start, end, train_years, date).join(F.broadcast(stats.select("fold", "bounds")), "fold")
+
+    def scaled(x, b):
+        return (F.least(F.greatest(x, b["lo"]), b["hi"]) - b["lo"]) / (b["hi"] - b["lo"])
+
+    return rows.select("fold", "role", key, date, *keep, F.zip_with("_x", "bounds", lambda x, b: F.when(b.isNotNull(), scaled(x, b))).alias("x"))
+
+
+def long_features(scaled: DataFrame, features: Sequence[str], ids: Sequence[str] = ("fold", "role", "gvkey", "datadate")) -> DataFrame:
+    """``(*ids, feature, x)`` of the features that :func:`fold_scale` kept."""
+    names = F.array(*[F.lit(c) for c in features])
+    return (scaled.select(*ids, F.posexplode("x").alias("_i", "x")).where(F.col("x").isNotNull())
+            .select(*ids, F.get(names, F.col("_i")).alias("feature"), "x"))
+
+
+def numbered(df: DataFrame, by: Sequence[str] = ("fold",), ids: Sequence[str] = ("gvkey", "datadate"), seed: int = 42, out: str = "_pos") -> DataFrame:
+    """Add the 0-based rank by a seeded hash of ``ids`` within ``by`` (reproducible, not NumPy-identical).
+
+    Ranking uses the bucketed position of :mod:`ordered`, so a large fold is not numbered in one task."""
+    h = df.withColumn("_h", hash_key(*[F.col(c) for c in ids], F.lit(seed)))
+    return ordered.with_position(h, "_h", list(by), out=out).drop("_h", "_bk")
 
 
 def assign_kfold(df: DataFrame, k: int = 5, seed: int = 42, by: Sequence[str] = ("fold",),
                  ids: Sequence[str] = ("gvkey", "datadate"), out: str = "cv") -> DataFrame:
-    """Balanced K-fold labels: rows ranked by a seeded hash within ``by``, label = rank mod k.
+    """Balanced K-fold labels: rows ranked by a seeded hash within ``by``, label = rank mod k."""
+    return numbered(df, by, ids, seed, "_rank").withColumn(out, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
 
-    Reproducible (not NumPy-identical); ranking uses the bucketed position of
-    :mod:`ordered`, so a large fold is not numbered in one task.
-    """
-    h = df.withColumn("_h", hash_key(*[F.col(c) for c in ids], F.lit(seed)))
-    pos = ordered.with_position(h, "_h", list(by), out="_rank")
-    return pos.withColumn(out, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_h", "_rank", "_bk")
 
+def draws(sizes: DataFrame, members: int = 10, frac: float = 0.6, seed: int = 42, by: Sequence[str] = ("fold",), block: int = BLOCK) -> DataFrame:
+    """Sampling with replacement from groups of ``_n`` rows: ``(*by, member, _pos, weight)``, ``floor(frac * n)`` draws each.
+
+    Draw d of member m picks position ``hash(group, m, d, seed) mod n``.  Draws are dealt in blocks of at most ``block``
+    numbers, so those of a member are spread over tasks and no array is longer than a block."""
+    by = list(by)
+    wanted = F.greatest(F.floor(F.col("_n") * frac), F.lit(1)).cast("bigint")
+    blocks = (sizes.select(*by, "_n", wanted.alias("_draws"), F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+              .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_draws - 1) div {block}"))).alias("_block")))
+    blocks = blocks.repartition(*by, "member", "_block")  # a row a block
+    numbers = F.sequence(F.col("_block") * block + 1, F.least((F.col("_block") + 1) * block, F.col("_draws")))
+    pos = F.pmod(hash_key(*[F.col(b) for b in by], F.col("member"), F.col("_d"), F.lit(seed)), F.col("_n"))
+    drawn = blocks.select(*by, "_n", "member", F.explode(numbers).alias("_d")).select(*by, "member", pos.alias("_pos"))
+    return drawn.groupBy(*by, "member", "_pos").agg(F.count(F.lit(1)).alias("weight"))
 
-def bootstrap(df: DataFrame, members: int = 10, frac: float = 0.6, seed: int = 42,
-              by: Sequence[str] = ("fold",), ids: Sequence[str] = ("gvkey", "datadate")) -> DataFrame:
-    """Sampling with replacement: ``floor(frac * n)`` draws per (group, member).
 
-    Returns ``(*by, member, *ids, weight)`` where weight is the multiplicity.
-    Draw d of member m picks position ``hash(group, m, d, seed) mod n`` - an
-    equi-join on position, no pairs, no driver RNG.
-    """
+def bootstrap(df: DataFrame, members: int = 10, frac: float = 0.6, seed: int = 42, by: Sequence[str] = ("fold",),
+              ids: Sequence[str] = ("gvkey", "datadate"), block: int = BLOCK) -> DataFrame:
+    """``(*by, member, *ids, weight)``: the rows that :func:`draws` picks, with their multiplicity.
+
+    An equi-join on position: no pairs, no driver RNG."""
     by = list(by)
-    pos = ordered.with_position(df.withColumn("_h", hash_key(*[F.col(c) for c in ids], F.lit(seed))),
-                                "_h", by, out="_pos").drop("_bk", "_h")
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = (n.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
-             .select(*by, "_n", "member",
-                     F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("_n") * frac).cast("int"), F.lit(1))))
-                     .alias("_d"))
-             .select(*by, "member",
-                     F.pmod(hash_key(*[F.col(b) for b in by], F.col("member"), F.col("_d"), F.lit(seed)),
-                            F.col("_n")).alias("_pos")))
-    counts = draws.groupBy(*by, "member", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+    pos = numbered(df, by, ids, seed)
+    counts = draws(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), members, frac, seed, by, block)
     return (counts.join(pos.select(*by, "_pos", *ids), on=[*by, "_pos"])
             .select(*by, "member", *ids, F.col("weight").cast("bigint").alias("weight")))

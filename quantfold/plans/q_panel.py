@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_sql
 from ..operators import backtest as BT
+from ..operators import estimators as ES
 from ..operators import folds as FD
 from ..operators import metrics as M
 from ..operators import panel as PN
@@ -124,7 +125,8 @@ out AS (SELECT sc2.* FROM sc2 JOIN v2 ON sc2.fold = v2.fold AND sc2.feature = v2
 @register("panel_fold_scale", f"""{_scale_sql(_SCALE_FEATURES)}
 SELECT fold, role, gvkey, datadate, feature, {r6("x")} AS x FROM out""", ops=("B14", "B15", "B18", "S24", "F12"))
 def panel_fold_scale(spark, sf_dir):
-    return FD.fold_scale(_folds(spark, sf_dir), _SCALE_FEATURES)
+    scaled = FD.fold_scale(_model_frame(spark, sf_dir), _SCALE_FEATURES, START, END, TRAIN_YEARS)
+    return FD.long_features(scaled, _SCALE_FEATURES)
 
 
 @register("panel_kfold", f"""{_FOLDS_SQL}
@@ -181,14 +183,32 @@ def panel_backtest(spark, sf_dir):
 
 
 
-def _one_sql() -> str:
-    """Ridge with a free intercept on one feature, from sums: slope = Sxy / (Sxx + alpha) around the means."""
-    sums = "sum({w}) AS n, sum({w} * x) AS sx, sum({w} * x * x) AS sxx, sum({w} * y) AS sy, sum({w} * x * y) AS sxy, sum({w} * y * y) AS syy"
-    slope = "(sxy - sx * sy / n) / (sxx - sx * sx / n + {a})"
+def _train_sql() -> str:
+    """Scaled rows of one feature (o), train rows with their place (tr) and bootstrap draws (dr)."""
     return f"""{_scale_sql(["ib_per_share"])},
 o AS (SELECT out.fold, out.role, out.gvkey, out.datadate, out.x, fo.y FROM out JOIN fo
       ON out.fold = fo.fold AND out.role = fo.role AND out.gvkey = fo.gvkey AND out.datadate = fo.datadate),
 tr AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('gvkey', 'datadate', '42')}) - 1 AS pos FROM o WHERE role = 'train'),
+n AS (SELECT fold, count(*) AS n FROM tr GROUP BY fold),
+dr AS (SELECT n.fold, m.member, {hash_sql('n.fold', 'm.member', 'd.d', '42')} % n.n AS pos
+       FROM n, range(0, 10) m(member), LATERAL (SELECT unnest(range(1, greatest(CAST(floor(n.n * 0.6) AS BIGINT), 1) + 1)) AS d) d)"""
+
+
+def _metrics_sql(best: str) -> str:
+    """The metrics of predictions pr (fold, y, p) with the record of best (fold, ..., best_cv_mse)."""
+    return f"""sz AS (SELECT fold, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test FROM fo GROUP BY fold),
+me AS (SELECT fold, avg((y - p) * (y - p)) AS mse, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2,
+              avg(abs(y - p)) AS mae, count(*) AS n FROM pr GROUP BY ROLLUP (fold))
+SELECT me.fold, {r6("mse")} AS mse, {r6("r2")} AS r2, {r6("mae")} AS mae, {r6("sqrt(mse)")} AS rmse, me.n,
+       {best}, {r6("best_cv_mse")} AS best_cv_mse, n_train, n_test
+FROM me LEFT JOIN best ON me.fold = best.fold LEFT JOIN sz ON sz.fold = best.fold"""
+
+
+def _one_sql() -> str:
+    """Ridge with a free intercept on one feature, from sums: slope = Sxy / (Sxx + alpha) around the means."""
+    sums = "sum({w}) AS n, sum({w} * x) AS sx, sum({w} * x * x) AS sxx, sum({w} * y) AS sy, sum({w} * x * y) AS sxy, sum({w} * y * y) AS syy"
+    slope = "(sxy - sx * sy / n) / (sxx - sx * sx / n + {a})"
+    return f"""{_train_sql()},
 al AS (SELECT unnest([1e-5, 1e-2, 1.0]) AS alpha),
 g AS (SELECT fold, pos % 5 AS cv, {sums.format(w="1.0")} FROM tr GROUP BY 1, 2),
 tot AS (SELECT fold, sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy, sum(syy) AS syy FROM g GROUP BY 1),
@@ -197,23 +217,77 @@ w AS (SELECT fold, cv, alpha, {slope.format(a="alpha")} AS b1, (sy - {slope.form
 err AS (SELECT w.fold, alpha, avg((syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n) AS mse
         FROM w JOIN g ON w.fold = g.fold AND w.cv = g.cv GROUP BY 1, 2),
 best AS (SELECT fold, arg_min(alpha, mse) AS best_alpha, min(mse) AS best_cv_mse FROM err GROUP BY 1),
-n AS (SELECT fold, count(*) AS n FROM tr GROUP BY fold),
-dr AS (SELECT n.fold, m.member, {hash_sql('n.fold', 'm.member', 'd.d', '42')} % n.n AS pos
-       FROM n, range(0, 10) m(member), LATERAL (SELECT unnest(range(1, greatest(CAST(floor(n.n * 0.6) AS BIGINT), 1) + 1)) AS d) d),
 mb AS (SELECT dr.fold, dr.member, {sums.format(w="1.0")} FROM dr JOIN tr ON dr.fold = tr.fold AND dr.pos = tr.pos GROUP BY 1, 2),
 cf AS (SELECT mb.fold, avg({slope.format(a="best_alpha")}) AS b1, avg((sy - {slope.format(a="best_alpha")} * sx) / n) AS b0 FROM mb JOIN best ON mb.fold = best.fold GROUP BY 1),
-pr AS (SELECT fo.fold, fo.y, cf.b0 + COALESCE(cf.b1 * out.x, 0) AS p FROM fo JOIN cf ON fo.fold = cf.fold
-       LEFT JOIN out ON out.fold = fo.fold AND out.role = 'test' AND out.gvkey = fo.gvkey AND out.datadate = fo.datadate WHERE fo.role = 'test'),
-sz AS (SELECT fold, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test FROM fo GROUP BY fold),
-me AS (SELECT fold, avg((y - p) * (y - p)) AS mse, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2,
-              avg(abs(y - p)) AS mae, count(*) AS n FROM pr GROUP BY ROLLUP (fold))
-SELECT me.fold, {r6("mse")} AS mse, {r6("r2")} AS r2, {r6("mae")} AS mae, {r6("sqrt(mse)")} AS rmse, me.n,
-       {r6("best_alpha")} AS best_alpha, {r6("best_cv_mse")} AS best_cv_mse, n_train, n_test
-FROM me LEFT JOIN best ON me.fold = best.fold LEFT JOIN sz ON sz.fold = best.fold"""
+pr AS (SELECT fo.fold, fo.gvkey, fo.datadate, fo.y, cf.b0 + COALESCE(cf.b1 * out.x, 0) AS p FROM fo JOIN cf ON fo.fold = cf.fold
+       LEFT JOIN out ON out.fold = fo.fold AND out.role = 'test' AND out.gvkey = fo.gvkey AND out.datadate = fo.datadate WHERE fo.role = 'test')"""
 
 
-@register("panel_backtest_one", _one_sql(), ops=("B23", "B24", "B25", "B26", "U05"))
+@register("panel_backtest_one", f"""{_one_sql()},
+{_metrics_sql(f"{r6('best_alpha')} AS best_alpha")}""", ops=("B23", "B24", "B25", "B26", "U05"))
 def panel_backtest_one(spark, sf_dir):
     """The whole backtest on one feature, whose solution SQL can write out."""
     _, metrics = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10)
     return metrics
+
+
+@register("panel_predictions_one", f"""{_one_sql()}
+SELECT fold, gvkey, datadate, {r6("y")} AS y_actual, {r6("p")} AS y_predicted FROM pr""", ops=("B12", "B24"))
+def panel_predictions_one(spark, sf_dir):
+    """The predictions of that backtest with their keys."""
+    preds, _ = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10)
+    return preds
+
+
+@register("panel_backtest_residuals", f"""{_one_sql()}
+SELECT fold, gvkey, datadate, {r6("y")} AS y_actual, {r6("p")} AS y_predicted, {r6("y - p")} AS residual
+FROM pr ORDER BY {hash_sql('gvkey', 'datadate', '42')} LIMIT 1000""", ops=("B27", "G09"))
+def panel_backtest_residuals(spark, sf_dir):
+    """Residuals of a display sample of the backtest's predictions."""
+    preds, _ = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10)
+    return BT.residual_sample(preds, None, 1000, 42)
+
+
+@register("panel_backtest_ridge", f"""{_one_sql()},
+{_metrics_sql("CASE best_alpha WHEN 1e-5 THEN '{\"alpha\": 1e-05}' WHEN 1e-2 THEN '{\"alpha\": 0.01}' WHEN 1.0 THEN '{\"alpha\": 1.0}' END AS best_params")}""", ops=("B23", "B24", "B25", "B26", "U05"))
+def panel_backtest_ridge(spark, sf_dir):
+    """The same backtest with ridge regression trained through the estimator interface."""
+    _, metrics = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10, estimator=ES.Ridge())
+    return metrics
+
+
+def _bins_sql() -> str:
+    """Means of the target per bin of one feature."""
+    cut = "least(bins - 1, CAST(floor({x} * bins) AS BIGINT))"
+    return f"""{_train_sql()},
+gr AS (SELECT * FROM (VALUES (0, 4), (1, 16)) v(g, bins)),
+tb AS (SELECT fold, pos, pos % 5 AS cv, g, {cut.format(x="x")} AS bin, y FROM tr, gr),
+pb AS (SELECT fold, g, cv, bin, count(*) AS n, sum(y) AS sy FROM tb GROUP BY 1, 2, 3, 4),
+ab AS (SELECT fold, g, bin, sum(n) AS n, sum(sy) AS sy FROM pb GROUP BY 1, 2, 3),
+al AS (SELECT fold, g, cv, sum(n) AS n, sum(sy) AS sy FROM pb GROUP BY 1, 2, 3),
+tot AS (SELECT fold, g, sum(n) AS n, sum(sy) AS sy FROM al GROUP BY 1, 2),
+er AS (SELECT tb.fold, tb.g, tb.cv, avg(pow(tb.y - CASE WHEN ab.n > pb.n THEN (ab.sy - pb.sy) / (ab.n - pb.n) ELSE (tot.sy - al.sy) / (tot.n - al.n) END, 2)) AS mse
+       FROM tb JOIN pb USING (fold, g, cv, bin) JOIN ab USING (fold, g, bin) JOIN al USING (fold, g, cv) JOIN tot USING (fold, g) GROUP BY 1, 2, 3),
+sco AS (SELECT fold, g, avg(mse) AS mse FROM er GROUP BY 1, 2),
+best AS (SELECT s.fold, s.g, bins, mse AS best_cv_mse FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mse, g) AS r FROM sco) s JOIN gr USING (g) WHERE r = 1),
+dm AS (SELECT dr.fold, dr.member, {cut.format(x="tr.x")} AS bin, tr.y FROM dr JOIN tr ON dr.fold = tr.fold AND dr.pos = tr.pos JOIN best ON best.fold = dr.fold),
+mm AS (SELECT fold, member, avg(y) AS m FROM dm GROUP BY 1, 2),
+mb AS (SELECT fold, member, bin, avg(y) AS m FROM dm GROUP BY 1, 2, 3),
+te AS (SELECT o.fold, gvkey, datadate, y, {cut.format(x="x")} AS bin FROM o JOIN best ON best.fold = o.fold WHERE role = 'test'),
+pr AS (SELECT te.fold, te.gvkey, te.datadate, any_value(te.y) AS y, avg(COALESCE(mb.m, mm.m)) AS p
+       FROM te JOIN mm ON mm.fold = te.fold LEFT JOIN mb ON mb.fold = te.fold AND mb.member = mm.member AND mb.bin = te.bin GROUP BY 1, 2, 3)"""
+
+
+@register("panel_backtest_bins", f"""{_bins_sql()},
+{_metrics_sql("""'{\"bins\": ' || bins || '}' AS best_params""")}""", ops=("B23", "B24", "B25", "B26", "U05"))
+def panel_backtest_bins(spark, sf_dir):
+    """The backtest with an estimator that isn't linear, on one feature."""
+    _, metrics = BT.rolling_backtest(_model_frame(spark, sf_dir), ["ib_per_share"], START, END, TRAIN_YEARS, k=5, members=10, estimator=ES.BinnedMeans())
+    return metrics
+
+
+@register("panel_backtest_mlp", None, ops=("B23", "B24", "B25", "B26", "U05"))
+def panel_backtest_mlp(spark, sf_dir):
+    """The backtest with bagged networks on all features."""
+    _, metrics = BT.rolling_backtest(_model_frame(spark, sf_dir), _SCALE_FEATURES, START, END, TRAIN_YEARS, k=5, members=10, estimator=ES.Mlp())
+    return metrics
