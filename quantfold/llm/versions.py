@@ -247,7 +247,7 @@ def successive(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     heads = stored(heads, "block-heads")
     guests = rows.join(F.broadcast(heads), ["block", "key"]).select("doc_id", "text", "key", F.col("target").alias("block"), F.lit(True).alias("guest"))
     dealt = rows.select("doc_id", "text", "key", "block", F.lit(False).alias("guest")).unionByName(guests)
-    dealt = dealt.repartition(-(-blocks // 3), "block") if blocks > 3 else dealt.coalesce(1)
+    dealt = dealt.repartitionByRange(blocks, "block") if blocks > 1 else dealt.coalesce(1)
     return dealt.sortWithinPartitions("block", "guest", F.desc("key"), F.xxhash64("text"), "text").select("doc_id", "text", "block", "guest")
 
 
