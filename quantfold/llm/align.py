@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import large, merged, ragged_take, stored, tidy
+from .tokens import by_rank, byte_of_character
 
 SLICE = 1 << 20
 #: Stretches that a worker remembers; stretches that are encoded in one call.
@@ -49,16 +50,12 @@ BROADCAST_ROWS = 4_000_000
 #: Characters that a text may hold only if it is encoded whole: control characters, white space beyond ASCII, U+2581.
 UNUSUAL = "[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{2060}\\x{2581}\\x{3000}\\x{FEFF}]"
 
-_LOADED: dict[tuple, TwoEncoders] = {}
-
+# Fixed value: the pre-token pattern of byte-level files.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters up to here are of the same kind in every library.
+LATIN = "\u024f"
 
-def byte_of_character() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): b for b in plain}
-    for n, b in enumerate(sorted(set(range(256)) - set(plain))):
-        out[chr(256 + n)] = b
-    return out
+_LOADED: dict[tuple, TwoEncoders] = {}
 
 
 class ByteLevel:
@@ -70,15 +67,19 @@ class ByteLevel:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            said = json.load(f).get("pre_tokenizer") or {}
-        self.cuts_at_spaces = said.get("type") == "ByteLevel" and said.get("use_regex", True) and not said.get("add_prefix_space")
+            said = json.load(f)
+        cut = said.get("pre_tokenizer") or {}
+        self.cuts_at_spaces = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         of, vocab = byte_of_character(), self.model.get_vocab()
         self.pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+        self.by_rank = by_rank(said, PRE_TOKEN) if self.cuts_at_spaces else None
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text that begins with its space."""
+        if self.by_rank is not None and max(text) <= LATIN:
+            return np.array(self.by_rank.encode_ordinary(text), np.int64)
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int64)
 
 

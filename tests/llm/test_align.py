@@ -126,3 +126,13 @@ def test_whole_table(coders, spark):
     got = align.alignment_query(spark.createDataFrame(docs, "doc_id long, text string"), A, B).collect()
     assert sorted((tuple(r) for r in got), key=str) == rows_of(coders, docs)
     assert QUERIES["op13_token_alignment"](spark, sf).columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_ranks_encode_like_the_file(coders):
+    assert coders[0].by_rank is not None
+    rnd = random.Random(7)
+    letters = "aabcdeghinorstuvz éßüñ'.,!&0123456789  \n\tABŠ"
+    texts = [" " + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 60))) for _ in range(5000)] + [" " + c * n for c in "a &é1'\n-=" for n in range(1, 40)]
+    texts += [" " + p.decode() for p in coders[0].pieces if not p.decode(errors="replace").count("�")]
+    for t, want in zip(texts, coders[0].model.encode_batch(texts, add_special_tokens=False)):
+        assert coders[0].encode(t).tolist() == want.ids, t
