@@ -125,8 +125,8 @@ def _strip_quotes(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip_ws(c), r'^"+|"+$', ""), r"^'+|'+$", "")
 
 
-def parse_response(c) -> Column:
-    """Model response text -> map<string,string>.
+def parse_response(c, strip_quotes: bool = True) -> Column:
+    """Model response text -> map<string,string>.  Without ``strip_quotes`` labels keep their quotes, so ``"x"`` is a class of its own.
 
     One ``key: label`` per non-blank line.  Any non-blank line that does not
     split into exactly two parts on ``:`` invalidates the whole response and
@@ -142,7 +142,7 @@ def parse_response(c) -> Column:
             F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"])))
 
     def parsed(parts: Column) -> Column:
-        pairs = F.transform(parts, lambda p: F.struct(strip_ws(p[0]).alias("k"), _strip_quotes(p[1]).alias("v")))
+        pairs = F.transform(parts, lambda p: F.struct(strip_ws(p[0]).alias("k"), (_strip_quotes if strip_quotes else strip_ws)(p[1]).alias("v")))
         bad = (F.size(parts) == 0) | F.exists(parts, lambda p: F.size(p) != 2)
         return F.when(bad, empty).otherwise(_bound(pairs, last_wins))
 

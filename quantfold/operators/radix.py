@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -58,16 +59,17 @@ def quantile_ranks(probs: Sequence[float], total: Column) -> Column:
 
 
 def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Column], value: str = "x", base: Sequence[str] | None = None,
-           spread: Callable[[DataFrame], DataFrame] | None = None, bits: Column | None = None) -> DataFrame:
-    """``(*keys, p, h, side, x)``: the value at each wanted rank of every group.
+           spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(*keys, p, h, side, x, tie)``: the value at each wanted rank of every group, and how many equal values rank before it.
 
-    ``ranks(total)`` gives the wanted ranks of a group of ``total`` rows, as :func:`quantile_ranks`.  Values must be
-    non-NULL and not NaN.  With ``spread`` rows are counted by ``base``, and ``spread`` turns a frame with those columns into one
+    ``ranks(total)`` gives the wanted ranks of a group of ``total`` rows, as :func:`quantile_ranks`.  Values are bigints or
+    doubles, non-NULL and not NaN.  With ``spread`` rows are counted by ``base``, and ``spread`` turns a frame with those columns into one
     with ``keys`` (several rows where groups overlap); columns that are in both restrict later passes."""
     keys, base = list(keys), list(base or keys)
     shared = [k for k in keys if k in base]
-    rows = long.select(*base, F.col(value).cast("double").alias("_x"))
-    rows = rows.withColumn("_b", ordered_bits(F.col("_x")) if bits is None else bits)
+    whole = isinstance(long.schema[value].dataType, T.LongType)
+    rows = long.select(*base, F.col(value).cast("bigint" if whole else "double").alias("_x"))
+    rows = rows.withColumn("_b", F.col("_x") if whole else ordered_bits(F.col("_x")))
     found, wanted = None, None
     for shift in range(64 - BITS, -1, -BITS):
         part, cell = rows, F.shiftright("_b", shift)
@@ -94,7 +96,7 @@ def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Colum
                                       F.col("_asked") >= F.col("_before"), F.col("_asked") < F.col("_before") + F.col("_n")])
             hits = hits.select(*keys, "p", "h", "side", (F.col("_asked") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
         hits = materialize(hits)
-        done = hits.where(F.col("_low") == F.col("_high")).select(*keys, "p", "h", "side", F.col("_low").alias("x"))
+        done = hits.where(F.col("_low") == F.col("_high")).select(*keys, "p", "h", "side", F.col("_low").alias("x"), F.col("_rank").alias("tie"))
         found = done if found is None else found.unionByName(done)
         wanted = hits.where(F.col("_low") != F.col("_high"))
         if wanted.isEmpty():

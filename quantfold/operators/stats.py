@@ -114,6 +114,23 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def box_fliers(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), whis: float = 1.5,
+               keep: Sequence[str] = (), method: str = "radix") -> DataFrame:
+    """The points that a box plot draws singly: ``(*by, *keep, column, x)`` of rows beyond ``whis`` * IQR.
+
+    The quartiles of a group meet its rows; the points stream to the output (no list a group)."""
+    cols, by = [c for c in numeric_columns(df, cols) if c not in keep], list(by)
+    keys = by + ["column"]
+    ids = [*by, *[c for c in keep if c not in by]]
+    long = to_long(df, cols, ids).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    q = quantile_wide_of(long, keys, [0.25, 0.75], ["_q1", "_q3"], method)
+    q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_q1", "_q3")
+    reach = F.lit(whis) * (F.col("_q3") - F.col("_q1"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    beyond = long.join(F.broadcast(q) if not by else q, same).where((F.col("x") < F.col("_q1") - reach) | (F.col("x") > F.col("_q3") + reach))
+    return beyond.select(*ids, "column", "x")
+
+
 def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line y = slope*x + intercept; NULL with two rows or fewer."""
     n = F.regr_count(y, x)

@@ -52,7 +52,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, ordinal, Title, Date, Full Text, URL)`` from documents.
 
     Title = source and number (every 23rd repeats the number 20 below), URL =
-    source || doc_id, date = 2024-01-01 plus doc_id hours; ``ordinal`` = doc_id is the stable file position used
+    source || doc_id, date = a day and hour from 2024 on that spread over ten years; ``ordinal`` = doc_id is the stable file position used
     for keep-first de-duplication.
     """
     d = table(spark, sf_dir, "documents")
@@ -61,7 +61,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Report "), F.col("source"), F.lit(" "),
                  (F.col("doc_id") - F.when(F.col("doc_id") % 23 == 0, 20).otherwise(0)).cast("string")).alias("Title"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-         + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("Date"),
+         + F.make_dt_interval(days=F.pmod(F.col("doc_id") * 7919, F.lit(3650)).cast("int"), hours=F.pmod("doc_id", F.lit(24)).cast("int"))).alias("Date"),
         F.col("text").alias("Full Text"),
         F.concat("source", F.col("doc_id").cast("string")).alias("URL"))
 

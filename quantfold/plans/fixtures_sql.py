@@ -12,9 +12,11 @@ SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
        sum(l_extendedprice) AS value
 FROM lineitem GROUP BY 1, 2, 3"""
 
-ARTICLES = """
+ARTICLE_DATE = "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id * 7919 % 3650 AS INTEGER)) + to_hours(CAST(doc_id % 24 AS INTEGER))"
+
+ARTICLES = f"""
 SELECT source, doc_id AS ordinal, doc_id, 'Report ' || source || ' ' || CAST(doc_id - CASE WHEN doc_id % 23 = 0 THEN 20 ELSE 0 END AS VARCHAR) AS "Title",
-       TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS "Date",
+       {ARTICLE_DATE} AS "Date",
        text AS "Full Text", source || CAST(doc_id AS VARCHAR) AS "URL"
 FROM documents"""
 

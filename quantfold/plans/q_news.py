@@ -16,8 +16,10 @@ from ..operators import prompts as P
 from ..operators import returns as R
 from ..operators import sampling as SM
 from ..operators import signals as S
+from ..operators import tokens
 from ..operators.asof import asof_join
 from ..operators.labelling import label_articles
+from ..operators.observed import StageCounts
 from . import fixtures as fx
 from . import fixtures_sql as fsql
 from ..session import materialize
@@ -80,10 +82,10 @@ def news_mentions(spark, sf_dir):
     return m.select("doc_id", F.array_join("mentioned_currencies", ",").alias("mentioned"))
 
 
-@register("news_dates", """
+@register("news_dates", f"""
 SELECT doc_id,
-  date_trunc('day', timezone('America/New_York', timezone('UTC', TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER))))) AS ny_date,
-  date_trunc('day', TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER))) AS pub_date
+  date_trunc('day', timezone('America/New_York', timezone('UTC', {fsql.ARTICLE_DATE}))) AS ny_date,
+  date_trunc('day', {fsql.ARTICLE_DATE}) AS pub_date
 FROM documents""", ops=("F03", "F04", "F05", "F06"))
 def news_dates(spark, sf_dir):
     a = fx.articles(spark, sf_dir)
@@ -139,12 +141,12 @@ def asof_backward_by(spark, sf_dir):
 ART_BASE = "1995-06-01 00:00:00"
 
 
-def labelled_articles(spark, sf_dir):
-    """Articles dated 1995-06-01 + 6h * doc_id, labelled, one wide row each."""
+def labelled_articles(spark, sf_dir, counts=None):
+    """Articles whose days spread over the six years from 1995-06-01, labelled, one wide row each."""
     art = fx.articles(spark, sf_dir).withColumn(
-        "Date", F.lit(ART_BASE).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") * 6).cast("int")))
+        "Date", F.lit(ART_BASE).cast("timestamp_ntz") + F.make_dt_interval(days=F.pmod(F.col("doc_id") * 7919, F.lit(2190)).cast("int")))
     labels = materialize(R.label_table(fx.monthly_series(spark, sf_dir), codes=CODES))  # date x code rows
-    return label_articles(art, labels, CODES, STAND_SYNONYMS, keep=["doc_id"])
+    return label_articles(art, labels, CODES, STAND_SYNONYMS, keep=["doc_id"], counts=counts)
 
 
 def _labelled_sql() -> str:
@@ -153,8 +155,7 @@ def _labelled_sql() -> str:
     cols = ", ".join([f"fw.{c}_future_label" for c in CODES] + [f"pw.{c}_past_label" for c in CODES])
     notnull = " AND ".join([f"fw.{c}_future_label IS NOT NULL" for c in CODES]
                            + [f"pw.{c}_past_label IS NOT NULL" for c in CODES])
-    arts = fsql.ARTICLES.replace("TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER))",
-                                 f"TIMESTAMP '{ART_BASE}' + to_hours(CAST(doc_id * 6 AS INTEGER))")
+    arts = fsql.ARTICLES.replace(fsql.ARTICLE_DATE, f"TIMESTAMP '{ART_BASE}' + to_days(CAST(doc_id * 7919 % 2190 AS INTEGER))")
     return f"""{_SQL_HORIZON},
 lab AS (SELECT date, ccy,
    {_LABEL.format(p="(row_number() OVER (PARTITION BY date ORDER BY future DESC, ccy_ord) - 1)")} AS future_label,
@@ -207,17 +208,25 @@ def news_sample(spark, sf_dir):
 
 @register("news_split", f"""WITH r AS (
   SELECT doc_id, row_number() OVER (ORDER BY {hash_sql('doc_id', '42')}, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents
-  WHERE TIMESTAMP '2019-12-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) < TIMESTAMP '2020-01-01 00:00:00')
+  WHERE TIMESTAMP '2019-12-01 00:00:00' + to_hours(CAST(doc_id % 1000 AS INTEGER)) < TIMESTAMP '2020-01-01 00:00:00')
 SELECT doc_id, CASE WHEN k < 200 THEN 'eval' WHEN k < 200 + floor((n - 200) * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""",
           ops=("G08",))
 def news_split(spark, sf_dir):
     """200 articles for evaluation and an 80/20 split of the rest, of the articles before 2020-01-01."""
-    date = F.lit("2019-12-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    date = F.lit("2019-12-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.pmod("doc_id", F.lit(1000)).cast("int"))
     art = fx.table(spark, sf_dir, "documents").select("doc_id", date.alias("Date"))
     old = art.where(F.col("Date") < F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
     return SM.split_exact(old, 200, 0.8, ["doc_id"]).select("doc_id", "split")
 
 
+@register("pred_balanced", f"""WITH p AS ({fsql.PREDICTIONS_LONG}),
+r AS (SELECT article_id, label, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('article_id', '42')}, article_id) AS k FROM p)
+SELECT article_id, label FROM r WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM p GROUP BY label))""", ops=("G12",))
+def pred_balanced(spark, sf_dir):
+    """Every label cut to the size of the smallest."""
+    return SM.balance_labels(fx.predictions_long(spark, sf_dir).select("article_id", "label"), "label", ["article_id"])
+
+
 @register("prompt_targets", f"""{_labelled_sql()},
 lb AS (SELECT doc_id, mentioned, MAP {{{", ".join(f"'{c}_{h}': {c}_{h}_label" for c in CODES for h in ("past", "future"))}}} AS labels FROM out)
 SELECT doc_id, array_to_string(list_transform(mentioned, lambda x: x || '_past: "' || labels[x || '_past'] || '"' || chr(10)
@@ -233,14 +242,11 @@ SELECT 'read' AS stage, count(*) AS n FROM a UNION ALL SELECT 'long enough', cou
 UNION ALL SELECT 'without repeats', count(*) FROM c UNION ALL SELECT 'mentioning', count(*) FROM m2
 UNION ALL SELECT 'labelled', count(*) FROM out""", ops=("C25", "C06"))
 def news_stage_counts(spark, sf_dir):
-    art = fx.articles(spark, sf_dir)
-    stages = {"read": art, "long enough": art.where(TX.has_min_words("`Full Text`", 20)), "without repeats": A.clean_articles(art),
-              "mentioning": A.with_mentions(A.clean_articles(art), STAND_SYNONYMS), "labelled": labelled_articles(spark, sf_dir)}
-    counts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, df in stages.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out
+    """Rows after each stage, counted while the articles are labelled once."""
+    counts = StageCounts()
+    labelled = labelled_articles(spark, sf_dir, counts)
+    materialize(labelled.select("doc_id"))
+    return counts.table(spark)
 
 
 # --- responses, parsing and evaluation ---------------------------------------------
@@ -276,23 +282,24 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _parsed_sql() -> str:
+def _parsed_sql(strip_quotes: bool = True) -> str:
+    label = _strip("string_split(lines[i], ':')[2]")
+    if strip_quotes:
+        label = f"regexp_replace(regexp_replace({label}, '^\"+|\"+$', '', 'g'), '^\'\'+|\'\'+$', '', 'g')"
     return f"""{_labelled_sql()},
 resp AS (SELECT doc_id, out.* EXCLUDE (doc_id), {_response_sql()} AS response FROM out),
 ln AS (SELECT doc_id, list_filter(string_split(response, chr(10)), lambda l: {_strip('l')} <> '') AS lines FROM resp),
 ok AS (SELECT doc_id, lines FROM ln WHERE len(lines) > 0
        AND len(list_filter(lines, lambda l: len(string_split(l, ':')) <> 2)) = 0),
-kv AS (SELECT doc_id, i, {_strip("string_split(lines[i], ':')[1]")} AS k,
-              regexp_replace(regexp_replace({_strip("string_split(lines[i], ':')[2]")}, '^"+|"+$', '', 'g'),
-                             '^''+|''+$', '', 'g') AS v
+kv AS (SELECT doc_id, i, {_strip("string_split(lines[i], ':')[1]")} AS k, {label} AS v
        FROM ok, range(1, len(lines) + 1) t(i)),
 last AS (SELECT doc_id, k, arg_max(v, i) AS label FROM kv GROUP BY doc_id, k)"""
 
 
-def parsed_predictions(spark, sf_dir):
+def parsed_predictions(spark, sf_dir, strip_quotes=True):
     lab = labelled_articles(spark, sf_dir).withColumn("response", _response_expr())
     # Parsed once: a filter on the map would repeat the parser in the plan.
-    return materialize(lab.withColumn("sentiment_predictions", TX.parse_response("response")).drop("response"))
+    return materialize(lab.withColumn("sentiment_predictions", TX.parse_response("response", strip_quotes)).drop("response"))
 
 
 @register("parse_responses", f"""{_parsed_sql()}
@@ -302,13 +309,13 @@ def parse_responses(spark, sf_dir):
     return p.select("doc_id", F.explode("sentiment_predictions").alias("key", "label"))
 
 
-def _pairs_sql() -> str:
+def _pairs_sql(strip_quotes: bool = True) -> str:
     sel = " UNION ALL ".join(
         f"SELECT ok.doc_id, '{c}' AS code, '{h}' AS horizon, o.{c}_{h}_label AS actual, "
         f"COALESCE((SELECT label FROM last WHERE last.doc_id = ok.doc_id AND last.k = '{c}_{h}'), 'unchanged') AS predicted "
         f"FROM ok JOIN out o ON ok.doc_id = o.doc_id"
         for c in CODES for h in ("past", "future"))
-    return f"""{_parsed_sql()},
+    return f"""{_parsed_sql(strip_quotes)},
 pairs AS ({sel})"""
 
 
@@ -361,7 +368,7 @@ def _quality_pairs(spark, sf_dir):
                                           pred.alias("predicted"))
 
 
-@register("cls_report", _QPAIRS + f""",
+_REPORT_SQL = f"""
 lbl AS (SELECT actual AS label FROM pairs UNION SELECT predicted FROM pairs),
 pc AS (SELECT label,
          COALESCE((SELECT count(*) FROM pairs WHERE actual = label AND predicted = label) /
@@ -370,16 +377,26 @@ pc AS (SELECT label,
                   NULLIF(CAST((SELECT count(*) FROM pairs WHERE actual = label) AS DOUBLE), 0), 0.0) AS r,
          (SELECT count(*) FROM pairs WHERE actual = label) AS s
        FROM lbl),
-f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pc)
-SELECT label, {r6("p")} AS precision, {r6("r")} AS recall, {r6("f1")} AS f1, CAST(s AS BIGINT) AS support FROM f
+rf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pc)
+SELECT label, {r6("p")} AS precision, {r6("r")} AS recall, {r6("f1")} AS f1, CAST(s AS BIGINT) AS support FROM rf
 UNION ALL SELECT 'accuracy', NULL, NULL, {r6("avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END)")}, count(*) FROM pairs
-UNION ALL SELECT 'macro avg', {r6("avg(p)")}, {r6("avg(r)")}, {r6("avg(f1)")}, CAST(sum(s) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', {r6("avg(p)")}, {r6("avg(r)")}, {r6("avg(f1)")}, CAST(sum(s) AS BIGINT) FROM rf
 UNION ALL SELECT 'weighted avg', {r6("sum(p * s) / sum(s)")}, {r6("sum(r * s) / sum(s)")},
-                 {r6("sum(f1 * s) / sum(s)")}, CAST(sum(s) AS BIGINT) FROM f""", ops=("C21",))
+                 {r6("sum(f1 * s) / sum(s)")}, CAST(sum(s) AS BIGINT) FROM rf"""
+
+
+@register("cls_report", _QPAIRS + "," + _REPORT_SQL, ops=("C21",))
 def cls_report(spark, sf_dir):
     return M.classification_report(_quality_pairs(spark, sf_dir))
 
 
+@register("eval_report_quoted", _pairs_sql(False) + "," + _REPORT_SQL, ops=("F17", "C21"))
+def eval_report_quoted(spark, sf_dir):
+    """The report when quotes are not stripped: quoted labels are classes of their own."""
+    parsed = parsed_predictions(spark, sf_dir, strip_quotes=False)
+    return M.classification_report(M.label_pairs(parsed, "doc_id", CODES, "sentiment_predictions"))
+
+
 @register("cls_metrics", _cls_sql(_QPAIRS).replace("'appreciation'", "'q0'").replace("'depreciation'", "'q1'")
           .replace("'unchanged'", "'q2'").replace("appreciation_", "q0_").replace("depreciation_", "q1_")
           .replace("unchanged_", "q2_"), ops=("C20",))
@@ -590,3 +607,25 @@ def score_batches(spark, sf_dir):
     scored = P.score_batches(pr, _echo_scorer_factory, "prompt", "response", batch_size=16)
     parsed = scored.select("doc_id", TX.parse_response("response").alias("pred"))
     return parsed.select("doc_id", F.explode("pred").alias("key", "label"))
+
+
+def _file_tokenizer():
+    """A public tokenizer file; where it lies is the caller's to say."""
+    import public_tokenizers
+
+    return tokens.TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("prompt_truncate_file", None, ops=("F19",))
+def prompt_truncate_file(spark, sf_dir):
+    """Whole texts cut at the end of the last token that fits, by a tokenizer file."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = tokens.truncated(d, "text", P.MAX_ARTICLE_TOKENS, _file_tokenizer())
+    return t.select("doc_id", "n_tokens", F.length("truncated").cast("bigint").alias("trunc_len"), F.md5("truncated").alias("trunc_md5"))
+
+
+@register("prompt_overhead_file", None, ops=("F20",))
+def prompt_overhead_file(spark, sf_dir):
+    """Tokens of the prompt and answer around every article by a tokenizer file, and what remains of the budget."""
+    m = A.with_mentions(fx.table(spark, sf_dir, "documents"), STAND_SYNONYMS, text="text", drop_empty=False)
+    return tokens.overheads(m.select("doc_id", "mentioned_currencies"), "mentioned_currencies", _file_tokenizer())

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import series
-from ..operators import clean, quality, rolling, stats
+from ..operators import clean, quality, regress, rolling, stats
 from ..operators.returns import to_wide
 from . import fixtures as fx
 from . import fixtures_sql as fsql
@@ -283,6 +283,30 @@ def ts_box_stats(spark, sf_dir):
     return b.withColumnRenamed("column", "col_name")
 
 
+@register("ts_box_fliers", E + f""",
+q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e GROUP BY event_type)
+SELECT e.event_type, e.event_id, 'value' AS col_name, {r6("value")} AS x FROM e JOIN q ON e.event_type = q.event_type
+WHERE value < q1 - 0.25 * (q3 - q1) OR value > q3 + 0.25 * (q3 - q1)""", ops=("A29",))
+def ts_box_fliers(spark, sf_dir):
+    """Points beyond a quarter of the IQR (the stand-in's values are spread evenly, so none is beyond 1.5)."""
+    out = stats.box_fliers(_ev(spark, sf_dir).select("event_type", "event_id", "value"), ["value"], ["event_type"], 0.25, ["event_id"])
+    return out.withColumnRenamed("column", "col_name")
+
+
+_REG = "CASE WHEN event_id % 11 <> 0 THEN CAST(user_id AS DOUBLE) END"
+
+
+@register("ts_fill_regression", E + f""",
+x AS (SELECT event_id, value AS y, {_REG} AS x FROM e),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x),
+m AS (SELECT avg(y) AS m FROM x)
+SELECT event_id, {r6("COALESCE(y, CASE WHEN x IS NULL THEN m ELSE a + b * x END)")} AS value FROM x, f, m""", ops=("A17",))
+def ts_fill_regression(spark, sf_dir):
+    """Missing values from a line over the user's number, or their mean where that is missing too."""
+    df = _ev(spark, sf_dir).select("event_id", "value", F.expr(_REG).alias("user"))
+    return regress.fill_regression(df, "value", ["user"]).select("event_id", "value")
+
+
 _HOURLY = """h AS (SELECT date_trunc('hour', ts) AS time, event_type, avg(value) AS v FROM events GROUP BY 1, 2)"""
 
 
