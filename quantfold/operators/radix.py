@@ -48,27 +48,27 @@ def _same(left: Sequence[str], right: Sequence[str]) -> list[Column]:
 
 
 def quantile_ranks(probs: Sequence[float], total: Column) -> Column:
-    """``array<struct<p, h, side, rank>>``: the two neighbouring 0-based ranks of every probability."""
+    """``array<struct<_p, _h, _side, _rank>>``: the two neighbouring 0-based ranks of every probability."""
     out = []
     for p in probs:
         h = F.lit(p) * (total - 1)
         low = F.floor(h).cast("bigint")
         for side, rank in ((0, low), (1, F.least(low + 1, total - 1))):
-            out.append(F.struct(F.lit(p).alias("p"), h.alias("h"), F.lit(side).alias("side"), rank.alias("rank")))
+            out.append(F.struct(F.lit(p).alias("_p"), h.alias("_h"), F.lit(side).alias("_side"), rank.alias("_rank")))
     return F.array(*out)
 
 
 def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Column], value: str = "x", base: Sequence[str] | None = None,
-           spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``(*keys, p, h, side, x, tie)``: the value at each wanted rank of every group, and how many equal values rank before it.
+           spread: Callable[[DataFrame], DataFrame] | None = None, weight: str | None = None) -> DataFrame:
+    """``(*keys, _p, _h, _side, _v, _tie)``: the value at each wanted rank of every group, and how many equal values rank before it.
 
     ``ranks(total)`` gives the wanted ranks of a group of ``total`` rows, as :func:`quantile_ranks`.  Values are bigints or
-    doubles, non-NULL and not NaN.  With ``spread`` rows are counted by ``base``, and ``spread`` turns a frame with those columns into one
+    doubles, non-NULL and not NaN; with ``weight`` a row stands for so many equal ones.  With ``spread`` rows are counted by ``base``, and ``spread`` turns a frame with those columns into one
     with ``keys`` (several rows where groups overlap); columns that are in both restrict later passes."""
     keys, base = list(keys), list(base or keys)
     shared = [k for k in keys if k in base]
     whole = isinstance(long.schema[value].dataType, T.LongType)
-    rows = long.select(*base, F.col(value).cast("bigint" if whole else "double").alias("_x"))
+    rows = long.select(*base, F.col(value).cast("bigint" if whole else "double").alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
     rows = rows.withColumn("_b", F.col("_x") if whole else ordered_bits(F.col("_x")))
     found, wanted = None, None
     for shift in range(64 - BITS, -1, -BITS):
@@ -77,7 +77,7 @@ def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Colum
             open_cells = materialize(wanted.select(*[F.col(k).alias(f"_k_{k}") for k in shared], F.col("_cell").alias("_open")).distinct())
             open_cells = F.broadcast(open_cells) if open_cells.count() <= BROADCAST_ROWS else open_cells
             part = rows.join(open_cells, [*_same(shared, [f"_k_{k}" for k in shared]), F.shiftright("_b", shift + BITS) == F.col("_open")], "left_semi")
-        cells = part.groupBy(*base, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        cells = part.groupBy(*base, cell.alias("_cell")).agg(F.sum("_w").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         if spread is not None:
             cells = spread(cells).groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
         parent = F.shiftright("_cell", BITS) if wanted is not None else F.lit(0).cast("bigint")
@@ -86,17 +86,17 @@ def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Colum
             "_before", F.sum("_n").over(of_parent.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         if wanted is None:
             cells = cells.withColumn("_total", F.sum("_n").over(of_parent))
-            held = F.filter(ranks(F.col("_total")), lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_n")))
+            held = F.filter(ranks(F.col("_total")), lambda r: (r["_rank"] >= F.col("_before")) & (r["_rank"] < F.col("_before") + F.col("_n")))
             hits = cells.select(*keys, "_cell", "_low", "_high", "_before", F.explode(held).alias("_r"))
-            hits = hits.select(*keys, "_r.p", "_r.h", "_r.side", (F.col("_r.rank") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
+            hits = hits.select(*keys, "_r._p", "_r._h", "_r._side", (F.col("_r._rank") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
         else:
-            asked = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "p", "h", "side", F.col("_rank").alias("_asked"), F.col("_cell").alias("_open"))
+            asked = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_p", "_h", "_side", F.col("_rank").alias("_asked"), F.col("_cell").alias("_open"))
             asked = F.broadcast(asked) if wanted.count() <= BROADCAST_ROWS else asked
             hits = cells.join(asked, [*_same(keys, [f"_k_{k}" for k in keys]), F.col("_parent") == F.col("_open"),
                                       F.col("_asked") >= F.col("_before"), F.col("_asked") < F.col("_before") + F.col("_n")])
-            hits = hits.select(*keys, "p", "h", "side", (F.col("_asked") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
+            hits = hits.select(*keys, "_p", "_h", "_side", (F.col("_asked") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
         hits = materialize(hits)
-        done = hits.where(F.col("_low") == F.col("_high")).select(*keys, "p", "h", "side", F.col("_low").alias("x"), F.col("_rank").alias("tie"))
+        done = hits.where(F.col("_low") == F.col("_high")).select(*keys, "_p", "_h", "_side", F.col("_low").alias("_v"), F.col("_rank").alias("_tie"))
         found = done if found is None else found.unionByName(done)
         wanted = hits.where(F.col("_low") != F.col("_high"))
         if wanted.isEmpty():
@@ -106,5 +106,5 @@ def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Colum
 
 def interpolated(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(*keys, p, value)`` from :func:`select` with :func:`quantile_ranks`: linear between the two neighbours."""
-    both = found.groupBy(*keys, "p", "h").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("_a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("_z"))
-    return both.select(*keys, "p", (F.col("_a") + (F.col("h") - F.floor("h")) * (F.col("_z") - F.col("_a"))).alias("value"))
+    both = found.groupBy(*keys, "_p", "_h").agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_z"))
+    return both.select(*keys, F.col("_p").alias("p"), (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))).alias("value"))

@@ -28,12 +28,12 @@ def among_first(df: DataFrame, sizes: dict[str, Callable[[Column], Column]], ids
     h = df.withColumn("_h", hash_key(*[F.col(c) for c in ids], F.lit(seed)))
 
     def last_ranks(total: Column) -> Column:
-        return F.array(*[F.struct(F.lit(float(i)).alias("p"), F.lit(0.0).alias("h"), F.lit(0).alias("side"), (F.least(sizes[n](total), total) - 1).cast("bigint").alias("rank"))
+        return F.array(*[F.struct(F.lit(float(i)).alias("_p"), F.lit(0.0).alias("_h"), F.lit(0).alias("_side"), (F.least(sizes[n](total), total) - 1).cast("bigint").alias("_rank"))
                          for i, n in enumerate(names)])
 
     found = radix.select(h, by, last_ranks, "_h")
-    cut = F.struct(F.col("x").alias("x"), F.col("tie").alias("tie"))
-    at = found.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(*[F.max(F.when(F.col("p") == float(i), cut)).alias(f"_c{i}") for i in range(len(names))])
+    cut = F.struct(F.col("_v").alias("x"), F.col("_tie").alias("tie"))
+    at = found.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(*[F.max(F.when(F.col("_p") == float(i), cut)).alias(f"_c{i}") for i in range(len(names))])
     at = materialize(at)  # a row a group
     at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     marked = h.join(at, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left") if by else h.crossJoin(at)

@@ -349,14 +349,17 @@ def ts_plot_frame(spark, sf_dir):
     return series.series_frame(ev, ["value", "user_id", "not_a_column"], ["event_id", "time"])
 
 
-_W_US = 6 * 3600 * 1_000_000
+_HOUR_US = 3600 * 1_000_000
 
 
-def _roll_sql() -> str:
-    w = f"(PARTITION BY event_type ORDER BY epoch_us(time) RANGE BETWEEN {_W_US - 1} PRECEDING AND CURRENT ROW)"
-    # A seventh of the values: no exact decimals whose rounding the order of summation would decide.
+_LONG = "value * 1000 / 9973"  # a prime: sums over long windows don't end on a digit that is rounded
+
+
+def _roll_sql(hours: int = 6, by: str = "PARTITION BY event_type ", value: str = "value / 7") -> str:
+    w = f"({by}ORDER BY epoch_us(time) RANGE BETWEEN {hours * _HOUR_US - 1} PRECEDING AND CURRENT ROW)"
+    # Values divided by seven: no exact decimals whose rounding the order of summation would decide.
     return E.rstrip() + f""",
-s AS (SELECT event_id, time, event_type, value / 7 AS value FROM e)
+s AS (SELECT event_id, time, event_type, {value} AS value FROM e)
 SELECT event_id, time, {r6("value")} AS value,
   {r6(f"avg(value) OVER {w}")} AS value_mean,
   {r6(f"quantile_cont(value, 0.5) OVER {w}")} AS value_median,
@@ -382,6 +385,17 @@ def ts_rolling_stats(spark, sf_dir):
     return rolling.rolling_stats(_sevenths(spark, sf_dir), "6h", "time", ["value"], by=["event_type"], tie=["event_id"]).drop("event_type")
 
 
+@register("ts_rolling_year", f"SELECT * FROM ({_roll_sql(365 * 24, '', _LONG)})", ops=("A31", "S9"))
+def ts_rolling_year(spark, sf_dir):
+    """A window of 365 days over the whole series, without keys."""
+    return rolling.rolling_stats(_ev(spark, sf_dir).select("event_id", "time", F.expr(_LONG).alias("value")), "365D", "time", ["value"], tie=["event_id"])
+
+
+@register("ts_rolling_ten_days", f"SELECT * FROM ({_roll_sql(240, '', _LONG)})", ops=("A31", "S9"))
+def ts_rolling_ten_days(spark, sf_dir):
+    return rolling.rolling_stats(_ev(spark, sf_dir).select("event_id", "time", F.expr(_LONG).alias("value")), "10D", "time", ["value"], tie=["event_id"])
+
+
 @register("ts_rolling_selection", f"SELECT event_id, value_median, value_iqr, value_kurt FROM ({_roll_sql()})", ops=("A32",))
 def ts_rolling_selection(spark, sf_dir):
     out = rolling.rolling_selection(_sevenths(spark, sf_dir), "6h", ["median", "iqr", "kurt"], "time", ["value"], by=["event_type"], tie=["event_id"])
