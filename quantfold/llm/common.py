@@ -145,13 +145,25 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``df`` has such columns (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def without_rows(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text hash) is not in ``keys`` (doc_id, text_hash; null ids are equal).
 
     Texts don't leave the JVM.  The keys (16 bytes) are broadcast up to ``broadcast_rows``, else shuffled."""
-    gone = stored(keys.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "removed-rows")
+    gone_id, gone_hash = fresh(docs, "gone_id", "gone_hash")
+    gone = stored(keys.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "removed-rows")
     if gone.isEmpty():
         return docs
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_hash))
     return docs.join(gone, same, "left_anti")

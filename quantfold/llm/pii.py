@@ -5,14 +5,16 @@ leftmost and non-overlapping within a kind.
 
 Bootstrapping: base matches are the seed entities.  Around each seed, and around each other span that could
 be an identifier, two lexical patterns are induced.  Such a span is a token with an inner @ or with six digits or more
-among digits and separators; else up to ``SLOT`` neighbouring tokens that each hold a digit, with no punctuation
+among digits and separators; else a whole run of neighbouring tokens that each hold a digit, with no punctuation
 between them and ``LEAST`` letters and digits or more in all; or an address in words (john at example dot com).  The patterns: the two words before, and the word before with the word after, each with the token's class.
 Patterns and instances form a bipartite graph in Spark.  Round by round a pattern's confidence is its distinct
 known instances against these and its distinct known wrong ones: plain words (without digit or @) that stand
-in its slot, counted in a pass over the texts for the patterns that have support.  Unknown instances don't count.  Patterns with ``SUPPORT`` instances that are known and a confidence of ``CONFIDENCE``
+in its slot, counted in a pass over the texts for the patterns that have support, and unknown instances of another shape
+than all known ones (``foreign``: dates, times and amounts, plain numbers of other lengths, codes with letters, far more digits).  Other unknown
+instances don't count, so what is to be discovered can't veto its context.  Patterns with ``SUPPORT`` instances that are known and a confidence of ``CONFIDENCE``
 raise the scores of the unknown instances they match (one minus the product of the doubts), which count in the next
 round.  In the end unknown tokens in confident patterns are spans of their pattern's
-commonest kind.  Base spans always stay; added spans don't overlap them.
+commonest kind, but for those that can't be such an identifier: foreign ones without letters.  Base spans always stay; added spans don't overlap them.
 
 Defined cases: null and empty texts have no spans; equal rows get equal spans; rows that share a doc_id are told apart by
 their texts; an empty table gives no rows; other columns are kept by ``redact`` and ignored by ``find``.
@@ -30,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, tidy, with_text_hash
+from .common import fresh, slices, stored, tidy, with_text_hash
 
-SLOT, LEAST = 4, 6
+LEAST = 6
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS, BROADCAST_ROWS = 5, 0.9, 3, 500_000
 
@@ -46,6 +48,10 @@ NUMERIC = re.compile(r"[+(]?[0-9][0-9()./:-]*[0-9]")
 SPELT = re.compile(r"(?i)(?<!\S)[\w.+-]{1,64}\s[(\[]?at[)\]]?\s[\w-]{1,64}(?:\s[(\[]?dot[)\]]?\s[\w-]{1,64}){1,3}")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|"
 
+# Dates, times and amounts as they are written.
+DATED = r"^(\d{4}[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12]\d|3[01])|(0?[1-9]|[12]\d|3[01])[-/.](0?[1-9]|[12]\d|3[01])[-/.](\d{4}|\d{2}))([T ]\d{1,2}:.*)?$|^\d{1,2}:\d{2}(:\d{2})?$"
+AMOUNT = r"^\d{1,3}([.,]\d{3})*[.,]\d{1,2}$|^\d{1,3}(,\d{3})+$"
+
 FOUND = "doc_id long, text_hash long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<patterns:array<string>,instance:string,kind:int,start:int,end:int>>"
 SPANS = "array<struct<kind:int,start:int,end:int,base:boolean>>"
 
@@ -110,10 +116,8 @@ def seen_tokens(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             insort(taken, (a, z))
 
     def flush():
-        for k in range(0, len(run), SLOT):
-            a, z = run[k][0], run[k : k + SLOT][-1][1]
-            if sum(map(str.isalnum, text[a:z])) >= LEAST:
-                offer(a, z)
+        if run and sum(map(str.isalnum, text[run[0][0] : run[-1][1]])) >= LEAST:
+            offer(run[0][0], run[-1][1])
         run.clear()
 
     for m in SPELT.finditer(text) if "dot" in text.lower() else ():
@@ -200,8 +204,22 @@ def wrong_words(docs: DataFrame, slots: DataFrame, confidence: float = CONFIDENC
     return seen.distinct().groupBy("slot").agg(F.count("*").alias("wrong"))
 
 
+def shape(instance):
+    """``{sort, digits}`` of an instance: date, amount, plain (only digits), letters, address or grouped."""
+    sort = (F.when(F.contains(instance, F.lit("@")) | instance.rlike(r"(?i)\s[(\[]?at[)\]]?\s"), "address").when(instance.rlike(DATED), "date").when(instance.rlike(AMOUNT), "amount")
+            .when(instance.rlike(r"^\d+$"), "plain").when(instance.rlike(r"\p{L}"), "letters").otherwise("grouped"))
+    return F.struct(sort.alias("sort"), F.length(F.regexp_replace(instance, r"\D", "")).alias("digits"))
+
+
+def foreign(of, known):
+    """Whether a shape is another one than those of known instances (``{sorts, fewest, most}``)."""
+    new = ~F.array_contains(known["sorts"], of["sort"])
+    far = (of["digits"] < known["fewest"] - 2) | (of["digits"] > known["most"] + 2)
+    return (new & of["sort"].isin("date", "amount", "letters")) | ((of["sort"] == "plain") & new & far) | ((of["sort"] != "address") & (of["digits"] > 2 * known["most"] + 4))
+
+
 def confident_patterns(edges: DataFrame, docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``pattern, kind`` from distinct ``pattern, instance, kind`` edges (kind -1: unknown) and the texts."""
+    """``pattern, kind, known`` (the shapes of its known instances) from distinct ``pattern, instance, kind`` edges (kind -1: unknown) and the texts."""
     first = edges.groupBy("instance").agg(F.max("kind").alias("kind"))
     scores = first.select("instance", "kind", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0).alias("score"))
     links = stored(edges.select("pattern", "instance").distinct(), "pattern-edges")
@@ -210,23 +228,36 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, support: int = SUPPORT
     for _ in range(rounds):
         scores = stored(scores, "instance-scores")
         known = F.when(F.col("kind") >= 0, F.col("kind"))
-        of = links.join(scores, "instance").groupBy("pattern").agg(F.sum((F.col("score") >= confidence).cast("long")).alias("n"), F.mode(known, deterministic=True).alias("kind"))
-        of = stored(of.where((F.col("n") >= support) & F.col("kind").isNotNull()).withColumn("slot", slot), "supported-patterns")
+        both = links.join(scores, "instance").select("pattern", shape(F.col("instance")).alias("shape"), known.alias("kind"), (F.col("score") >= confidence).alias("sure"))
+        by_shape = stored(both.groupBy("pattern", "shape", "kind").agg(F.count_if("sure").alias("n"), F.count_if(~F.col("sure")).alias("unknown")), "pattern-shapes")
+        sure = F.col("n") > 0
+        kinds = by_shape.where("kind is not null").groupBy("pattern", "kind").agg(F.sum(F.col("n") + F.col("unknown")).alias("of"))
+        kinds = kinds.groupBy("pattern").agg(F.max(F.struct("of", -F.col("kind"))).alias("k")).select("pattern", (-F.col("k.col2")).alias("kind"))
+        shapes = F.struct(F.collect_set(F.when(sure, F.col("shape.sort"))).alias("sorts"), F.min(F.when(sure, F.col("shape.digits"))).alias("fewest"), F.max(F.when(sure, F.col("shape.digits"))).alias("most"))
+        of = by_shape.groupBy("pattern").agg(F.sum("n").alias("n"), shapes.alias("known")).where(F.col("n") >= support).join(kinds, "pattern")
+        strange = by_shape.where("unknown > 0").join(of.select("pattern", "known"), "pattern").where(foreign(F.col("shape"), F.col("known"))).groupBy("pattern").agg(F.sum("unknown").alias("foreign"))
+        of = stored(of.join(strange, "pattern", "left").na.fill(0, ["foreign"]).withColumn("slot", slot), "supported-patterns")
         slots = of.groupBy("slot").agg(F.max("n").alias("n"))
         new_slots = stored(slots if judged is None else slots.join(judged.select("slot", F.col("n").alias("of_n")), "slot", "left").where("of_n is null or of_n < n").select("slot", "n"), "new-slots")
         if not new_slots.isEmpty():
             more = new_slots.join(wrong_words(docs, new_slots, confidence, broadcast_rows), "slot", "left").na.fill(0, ["wrong"])
             judged = stored((more if judged is None else judged.unionByName(more)).groupBy("slot").agg(F.max("wrong").alias("wrong"), F.max("n").alias("n")), "wrong-words")
         of = of.withColumn("wrong", F.lit(0)) if judged is None else of.join(judged.select("slot", "wrong"), "slot")
-        good = stored(of.withColumn("confidence", F.col("n") / (F.col("n") + F.col("wrong"))).where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"), "patterns")
+        good = stored(of.withColumn("confidence", F.col("n") / (F.col("n") + F.col("wrong") + F.col("foreign"))).where(F.col("confidence") >= confidence).select("pattern", "kind", "known", "confidence"), "patterns")
         if good.isEmpty():
             break
         doubt = F.sum(F.ln(1 - F.least("confidence", F.lit(0.999))))
-        new = links.join(good, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("raised"), F.mode("kind", deterministic=True).alias("as_kind"))
+        new = links.join(good, "pattern").where(possible()).groupBy("instance").agg((1 - F.exp(doubt)).alias("raised"), F.mode("kind", deterministic=True).alias("as_kind"))
         now = scores.join(new, "instance", "left")
         sure = F.coalesce(F.col("raised"), F.lit(0.0)) >= confidence
         scores = now.select("instance", F.when((F.col("kind") < 0) & sure, F.col("as_kind")).otherwise(F.col("kind")).alias("kind"), F.when(F.col("score") == 1, 1.0).otherwise(F.coalesce("raised", F.lit(0.0))).alias("score"))
-    return good.select("pattern", "kind")
+    return good.select("pattern", "kind", "known")
+
+
+def possible():
+    """Rows with ``instance`` and a pattern's ``known`` whose instance can be such an identifier: not foreign, but for letters."""
+    of = shape(F.col("instance"))
+    return ~foreign(of, F.col("known")) | ((of["sort"] == "letters") & (of["digits"] <= 2 * F.col("known.most") + 4))
 
 
 def added(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -234,7 +265,7 @@ def added(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, confidence:
     seen = rows.select("doc_id", "text_hash", F.explode("seen").alias("s")).select("doc_id", "text_hash", "s.*")
     spots = stored(seen.withColumn("pattern", F.explode("patterns")).drop("patterns"), "identifier-spots")
     good = confident_patterns(spots.select("pattern", "instance", "kind").distinct(), docs, support, confidence, rounds, broadcast_rows)
-    hits = spots.where("kind < 0").drop("kind").join(good, "pattern")
+    hits = spots.where("kind < 0").drop("kind").join(good, "pattern").where(possible())
     each = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.min("kind").cast("int").alias("kind"))
     return each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
 
@@ -263,18 +294,19 @@ def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     spans = F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))),
                      F.coalesce(F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:int,start:int,end:int>>")))
     marked = stored(both.select("doc_id", "text_hash", spans.alias("spans")).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "marked-rows")
-    of = marked.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans")
+    of_id, of_hash, marks = fresh(docs, "of_id", "of_hash", "spans")
+    of = marked.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("spans").alias(marks))
     of = F.broadcast(of) if marked.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0] <= broadcast_rows else of
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash))
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column(marks).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    new = docs.join(of, same).select(*names, "spans").mapInArrow(tidy(run), schema)
-    out = docs.join(of.select("of_id", "of_hash"), same, "left_anti").unionByName(new)
+    new = docs.join(of, same).select(*[f"`{c}`" for c in names], marks).mapInArrow(tidy(run), schema)
+    out = docs.join(of.select(of_id, of_hash), same, "left_anti").unionByName(new)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

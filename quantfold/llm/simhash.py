@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large, slices, stored, tidy, with_text_hash, without_rows, words
+from .common import fresh, large, slices, stored, tidy, with_text_hash, without_rows, words
 from .graph import components
 
 SHINGLE, DISTANCE, SEED, CHUNK = 3, 3, 42, 1024
@@ -155,8 +155,9 @@ def first_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> Da
     if repeated.isEmpty():
         return kept
     one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    again = repeated.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    of_id, of_hash, nth = fresh(docs, "of_id", "of_hash", "nth_of_key")
+    again = repeated.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
     again = F.broadcast(again) if again.count() <= broadcast_rows else again
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
-    several = kept.join(again, same, "left_semi").withColumn("nth_of_key", F.row_number().over(one)).where("nth_of_key = 1")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash))
+    several = kept.join(again, same, "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
     return without_rows(kept, repeated, broadcast_rows).unionByName(several.select(*docs.columns))

@@ -102,3 +102,69 @@ def test_unseen_identifiers_of_other_shapes(frame):
     assert not pii.luhn("1234567890123456")
     assert [got[100 + i] for i in range(3)] == [[(3, 15, 15 + len(x), False)] for x in odd]
     assert got[110] == [(0, 15, 38, False)] and got[111] == []
+
+
+def test_other_numbers_in_a_context_of_phones(frame):
+    """Order numbers, dates and amounts in the slot of known phones are no phones, however many."""
+    phones = [(i, f"reference number +44 20 7946 1{100 + i} was noted") for i in range(30)]
+    orders = [(1000 + i, f"reference number {400000 + 7 * i} was noted") for i in range(300)]
+    dates = [(2000 + i, f"reference number {1990 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d} was noted") for i in range(300)]
+    few = [(3000 + i, f"reference number 1,{200 + i}.50 was noted") for i in range(2)] + [(3100, "reference number 2024-03-09 was noted"), (3101, "reference number 123456 was noted"), (3102, "reference number 020 7946 1234 was noted")]
+    for rows in (phones + orders, phones + dates, phones + orders + dates):
+        assert all(s["base"] for r in pii.find(frame(rows)).collect() for s in r["spans"])
+    got = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in pii.find(frame(phones + [(500 + i, f"reference number +44 20 7946 2{100 + i} was noted") for i in range(30)] + few)).collect()}
+    # The context stays confident; what can't be a phone is left alone, what can be one is found.
+    assert got[3000] == got[3001] == got[3100] == got[3101] == [] and got[3102] == [(3, False)]
+
+
+def test_long_identifiers_are_one_span(frame):
+    rows = [(i, f"please transfer to +44 20 7946 {1000 + i} today") for i in range(30)] + [(50, "please transfer to DE89 3704 0044 0532 0130 00 today")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in pii.find(frame(rows)).collect()}
+    assert got[50] == [(19, 46)]
+
+
+def brute_patterns(texts, support=pii.SUPPORT, confidence=pii.CONFIDENCE):
+    """Confident patterns of one round over texts whose spans are all seeds or free of digits, by plain sets."""
+    known, words = {}, {}
+    for t in texts:
+        for s in pii.seen_tokens(t, pii.base_spans(t)):
+            for p in s["patterns"]:
+                if s["kind"] >= 0:
+                    known.setdefault(p, set()).add(s["instance"])
+        w = ["^", "^", *[re.sub(r"\d", "0", x.strip(pii.EDGES).lower()) for x in t.split()], "$"]
+        for i in range(2, len(w) - 1):
+            if w[i].isalpha():
+                for slot in (f"{w[i - 2]}|{w[i - 1]}|_", f"{w[i - 1]}|_|{w[i + 1]}"):
+                    words.setdefault(slot, set()).add(w[i])
+    return {p for p, x in known.items() if len(x) >= support and len(x) / (len(x) + len(words.get(p[2:], ()))) >= confidence}
+
+
+def test_patterns_are_those_of_plain_sets(frame):
+    rnd = random.Random(9)
+    texts = []
+    for i in range(600):
+        context = rnd.choice(["call me {} now", "ring {} please", "we met {} there", "see {} at home"])
+        what = f"+1 202 555 0{rnd.randint(100, 140)}" if rnd.random() < {"c": 0.97, "r": 0.99, "w": 0.5, "s": 0.9}[context[0]] else "".join(rnd.choice("abc") for _ in range(3))
+        texts.append(context.format(what))
+    df = frame(list(enumerate(texts)))
+    rows = pii.stored(pii.found(df), "found")
+    edges = rows.select(pii.F.explode("seen").alias("s")).select(pii.F.explode("s.patterns").alias("pattern"), "s.instance", "s.kind").distinct()
+    got = {r["pattern"] for r in pii.confident_patterns(edges, df).collect()}
+    assert got == brute_patterns(texts) and 0 < len(got)
+
+
+ODD_NAMES = ["spans", "of_id", "of_hash", "gone_id", "gone_hash", "nth_of_key", "text_hash", "base", "kind", "root", "items", "coverage", "salt", "fp", "stays", "N_CHARS_"]
+
+
+def test_clashing_columns_in_every_filter(spark):
+    from quantfold.llm import simhash, tiling
+
+    rows = [(i, f"please call me +1 202 555 0{100 + i} about these plain words number {i}", "en", i) for i in range(8)] + [(8, "please call me +1 202 555 0100 about these plain words number 0", "en", 5), (8, "please call me +1 202 555 0100 about these plain words number 0", "en", 5), (9, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    for n in ODD_NAMES:
+        df = df.withColumn(n, pii.F.lit(7))
+    bench = spark.createDataFrame([(1, "please call me about these things")], "item_id long, text string")
+    for stage in (pii.redact, simhash.first_of_each, lambda d: tiling.clean(d, bench)):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert all(r[n] == 7 for r in got.collect() for n in ODD_NAMES)
