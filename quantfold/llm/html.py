@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, tidy
 
+#: A part of the article with a weak name counts as named only if it holds less than one of so many characters.
+LONG = 10
 THRESHOLD, SUPPORT, GAMMA, BROADCAST_ROWS, SALTS, COPY_SALTS = 0.75, 30, 0.9, 200_000, 32, 8
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +55,11 @@ NOISE = set("""ad ads advert advertisement adverts advertising alert aside banne
 contentinfo cookie cookies dialog disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification pager pagination
 popup promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar widget""".split())
+# Such words that are also used of parts of an article, and words that say nothing of what a part is.
+WEAK = set("""alert aside banner complementary consent dialog footer form login menu modal nav notice notification pager popup promotion recommended related reply
+replies respond search share sharing signup skip social subscribe subscription toolbar widget""".split())
+GENERIC = set("""area articles bar block body bottom box btn button buttons col column container content count div end footer form global group head header holder icons inner item items
+left link links list lists main masthead menu meta news outer page pane panel posts primary right row secondary section shell site slot stories thread title top unit wrap wrapper""".split())
 APART = set("dialog footer menu nav".split())
 MODIFIER = re.compile(r"(?<![a-z])(?:has|have|hide|is|no|non|not|with|without)[-_]+[a-z]+")
 HEADERS = {"header", "masthead"}  # the same outside of the article
@@ -63,23 +70,30 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""
 
 
 class Node:
-    __slots__ = ("name", "path", "parent", "children", "named", "whole", "noise", "inside", "depth", "chars")
+    __slots__ = ("name", "path", "parent", "children", "named", "whole", "noise", "inside", "depth", "chars", "soft")
 
     def __init__(self, name, path, parent, named, whole, inside, depth):
         self.name, self.path, self.parent, self.named, self.whole, self.inside, self.depth = name, path, parent, named, whole, inside, depth
         self.children: list[str] = []
-        self.noise, self.chars = False, 0
+        self.noise, self.chars, self.soft = False, 0, False
 
 
 def _styled(name: str, attributes: str) -> tuple[str, set[str]]:
-    """Label of an element, and the words of its name, class, id and role."""
+    """Label of an element, and the words of its name, class, id and role that may say that it isn't the article.
+
+    Of compound names (related-work) a weak word counts only if all other words are such words too or generic ones."""
     said = {k.lower(): v.strip("\"'").lower() for k, v in reversed(ATTRIBUTE.findall(attributes))} if "=" in attributes else {}
     label = name
     if said.get("class"):
         label += "." + ".".join(sorted(re.sub(r"\d+", "0", said["class"]).split()))
     if said.get("id"):
         label += "#" + re.sub(r"\d+", "0", said["id"]).strip()
-    return label, {name, *re.findall(r"[a-z]+", MODIFIER.sub(" ", " ".join(said.values())))}
+    words = {name}
+    for token in " ".join(said.values()).split():
+        parts = re.findall(r"[a-z]+", MODIFIER.sub(" ", token))
+        plain = all(w in NOISE or w in GENERIC or len(w) == 1 for w in parts)
+        words.update(w for w in parts if plain or w in NOISE and w not in WEAK)
+    return label, words
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -148,7 +162,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         inside = up.inside or name in ("article", "main")
         noise = bool(said & NOISE or not inside and said & HEADERS)
         up.children.append(label)
+        weak = noise and inside and name not in NOISE and (said & NOISE) <= WEAK
         node = Node(name, xxh64_intdigest(label, up.path), up, noise and name not in WHOLE, not noise and name in ("article", "main"), inside, up.depth + 1)
+        node.soft = weak
         if not m[3].rstrip().endswith("/>") or name not in UNSEEN:
             stack.append(node)
             unseen += name in UNSEEN
@@ -166,6 +182,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             n.parent.chars += n.chars
             n.parent.whole |= n.whole
     for n in nodes:
+        if n.soft and LONG * n.chars >= nodes[0].chars:  # a long part of the article: its entropy decides
+            n.named = False
         n.noise = n.named or n.parent is not None and n.parent.noise
     return nodes, blocks
 

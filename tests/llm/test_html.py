@@ -122,3 +122,19 @@ def test_low_nodes_are_joined_to_the_pages_that_have_them(sites):
     for limit in (10**6, -1):
         got = {r["page_id"]: r["text"] for r in html.extract(sites(rows), broadcast_rows=limit).collect()}
         assert [got[i] for i in range(41)] == [*want, want[0]]
+
+
+@pytest.mark.parametrize("name", ["related-work", "post-reply-analysis", "search-method", "alert", "methods"])
+def test_a_name_does_not_remove_a_varied_part_of_the_article(sites, name):
+    want = [[" ".join(sentence(20) for _ in range(2)) for _ in range(3)] for _ in range(40)]
+    rows = [(i, f"http://paper/{i}", f"<nav>home about</nav><article><p>{a}</p><p>{b}</p><section class='{name}'><p>{c}</p></section></article>"
+             f"<div class='reader-comments'><p>{sentence(5)}</p></div><div class='ad-box'>buy {sentence(3)}</div>") for i, (a, b, c) in enumerate(want)]
+    got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
+    assert [got[i] for i in range(40)] == [" ".join(w) for w in want]
+
+
+def test_notices_and_comments_within_the_article_go(sites):
+    want = [" ".join(sentence(30) for _ in range(3)) for _ in range(40)]
+    rows = [(i, f"http://in/{i}", f"<article><p>{t}</p><div class='alert'>{sentence(2)}</div><div class='comments'><p>{sentence(12)}</p></div><div class='related-posts'>{sentence(3)}</div></article>") for i, t in enumerate(want)]
+    got = {r["page_id"]: r["text"] for r in html.extract(sites(rows)).collect()}
+    assert [got[i] for i in range(40)] == want
