@@ -17,7 +17,6 @@ repeat are matched one by one; empty tables give clean texts or no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -32,6 +31,8 @@ from .common import large, slices, stored, tidy, with_text_hash, without_rows, w
 from .substrings import rolled
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 1_000_000
+#: Pairs of places with equal seeds that are looked at together (about ten arrays of 8 bytes each).
+PAIRS = 2_000_000
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 VERDICT = ("coverage", "items")
 
@@ -66,8 +67,8 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def judge(self, texts: pa.Array) -> list[list[tuple[int, float]]]:
-        """``(item_id, coverage)`` for each text and the items that share a seed with it."""
+    def judge(self, texts: pa.Array, least: float = COVERAGE) -> list[list[tuple[int, float]]]:
+        """``(item_id, coverage)`` for each text: all items covered by ``least`` or more, and the one that is covered most."""
         offsets, h = word_hashes(texts)
         seeds = rolled(h, self.size)
         hit = np.flatnonzero(self.maybe[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -76,15 +77,75 @@ class Items:
         hit, a, n = hit[n > 0], a[n > 0], n[n > 0]
         text = np.searchsorted(offsets, hit, "right") - 1
         inside = hit + self.size <= offsets[text + 1]
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for t, p, x, k in zip(text[inside].tolist(), (hit - offsets[text])[inside].tolist(), a[inside].tolist(), n[inside].tolist()):
-            for s in range(x, x + k):
-                pairs[t, int(self.item[s])].append((p, int(self.at[s])))
         out: list[list[tuple[int, float]]] = [[] for _ in range(len(offsets) - 1)]
-        for (t, i), shared in pairs.items():
-            out[t].append((self.ids[i], sum(n for _, _, n in tiles(shared, self.size)) / int(self.lens[i])))
+        text, at, a, n = text[inside], (hit - offsets[text])[inside], a[inside], n[inside]
+        total, lo, parts = np.cumsum(n), 0, []
+        while lo < len(n):  # a bounded number of pairs at a time; what is kept are runs
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+            row = np.repeat(np.arange(lo, hi), n[lo:hi])
+            s = np.arange(len(row)) + np.repeat(a[lo:hi] - (np.cumsum(n[lo:hi]) - n[lo:hi]), n[lo:hi])
+            parts.append(_joined(text[row], self.item[s], at[row], self.at[s], np.ones(len(row), np.int64)))
+            lo = hi
+        if parts:
+            t, i, p, j, count = (np.concatenate(x) for x in zip(*parts)) if len(parts) == 1 else _joined(*(np.concatenate(x) for x in zip(*parts)))
+            self._tile(t, i, p, j, count + self.size - 1, least, out)
         return out
 
+    def _tile(self, t: np.ndarray, i: np.ndarray, p: np.ndarray, j: np.ndarray, length: np.ndarray, least: float, out: list[list[tuple[int, float]]]) -> None:
+        """Of each text, items are tiled by falling bound as long as they can reach ``least`` or more than the best so far."""
+        # Words of the item that any run holds: no tiling covers more.
+        order = np.lexsort((j, i, t))
+        pair = np.cumsum(np.append(True, (np.diff(t[order]) != 0) | (np.diff(i[order]) != 0))) - 1
+        shift = pair * (int(self.lens.max()) + 1)
+        reach = np.maximum.accumulate(shift + j[order] + length[order])
+        held = np.maximum(0, shift + j[order] + length[order] - np.maximum(shift + j[order], np.append(0, reach[:-1])))
+        first = np.flatnonzero(np.append(True, np.diff(pair) != 0))
+        most = np.add.reduceat(held, first) / self.lens[i[order][first]]
+        runs = np.stack([p, j, length])[:, order]
+        ends = np.append(first[1:], len(order))
+        best: dict[int, float] = {}
+        for k in np.lexsort((-most, t[order][first])).tolist():
+            of, item = int(t[order[first[k]]]), int(i[order[first[k]]])
+            if most[k] < least and most[k] <= best.get(of, 0.0):
+                continue
+            marked = tile_runs(runs[:, first[k] : ends[k]], self.size)
+            coverage = sum(m for _, _, m in marked) / int(self.lens[item])
+            best[of] = max(best.get(of, 0.0), coverage)
+            out[of].append((self.ids[item], coverage))
+
+
+def _joined(t: np.ndarray, i: np.ndarray, p: np.ndarray, j: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of seeds (text, item, places in both, seeds) that follow one another on a diagonal as one, by text and item."""
+    order = np.lexsort((p, p - j, i, t))
+    t, p, i, j, count = t[order], p[order], i[order], j[order], count[order]
+    new = np.append(True, (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(p - j) != 0) | (p[1:] != p[:-1] + count[:-1]))
+    head = np.flatnonzero(new)
+    return t[head], i[head], p[head], j[head], np.add.reduceat(count, head)
+
+
+def tile_runs(runs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles ``(text position, item position, words)`` from runs (rows: text position, item position, words)."""
+    p0, j0 = int(runs[0].min()), int(runs[1].min())
+    in_text = np.zeros(int((runs[0] + runs[2]).max()) - p0, bool)
+    in_item = np.zeros(int((runs[1] + runs[2]).max()) - j0, bool)
+    heap = [(-n, j - j0, p - p0) for p, j, n in runs.T.tolist()]
+    heapify(heap)
+    out = []
+    while heap:
+        n, j, p = heappop(heap)
+        taken = in_text[p : p - n] | in_item[j : j - n]
+        if not taken.any():
+            in_text[p : p - n] = in_item[j : j - n] = True
+            out.append((p + p0, j + j0, -n))
+            if in_item.all():
+                break
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[1], taken, [1]])))  # what the tiles leave of the run
+        for a, z in edges.reshape(-1, 2).tolist():
+            if z - a >= size:
+                heappush(heap, (a - z, j + a, p + a))
+    return out
+
 
 def tiles(seeds: list[tuple[int, int]], size: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles ``(text position, item position, words)`` from positions of shared seeds."""
@@ -95,26 +156,7 @@ def tiles(seeds: list[tuple[int, int]], size: int = SEED) -> list[tuple[int, int
         else:
             now = [p, j, size]
             runs.append(now)
-    heap = [(-n, j, p) for p, j, n in runs]
-    heapify(heap)
-    in_text: set[int] = set()
-    in_item: set[int] = set()
-    out = []
-    while heap:
-        n, j, p = heappop(heap)
-        free = [k for k in range(-n) if p + k not in in_text and j + k not in in_item]
-        if len(free) == -n:
-            in_text.update(range(p, p - n))
-            in_item.update(range(j, j - n))
-            out.append((p, j, -n))
-            continue
-        a = 0
-        for z in range(1, len(free) + 1):  # what the tiles leave of the run
-            if z == len(free) or free[z] != free[z - 1] + 1:
-                if z - a >= size:
-                    heappush(heap, (a - z, j + free[a], p + free[a]))
-                a = z
-    return out
+    return tile_runs(np.array(runs).T, size) if runs else []
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
@@ -146,7 +188,7 @@ def _pass(df: DataFrame, sent, least: float, keep_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = sent.value.judge(large(b.column("text")))
+            found = sent.value.judge(large(b.column("text")), least)
             coverage = [max([x, *(c for _, c in f)]) for x, f in zip(b.column("coverage").to_pylist(), found)]
             items = [sorted([*x, *(i for i, c in f if c >= least)]) for x, f in zip(b.column("items").to_pylist(), found)]
             done = {"coverage": pa.array(coverage, pa.float64()), "items": pa.array(items, pa.list_(pa.int64()))}

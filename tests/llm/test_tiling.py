@@ -63,3 +63,26 @@ def test_empty_tables(spark, frame):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert tiling.judged(frame([(1, "some text")]), bench).select("coverage").first()[0] == 0
     assert tiling.judged(frame([]), spark.createDataFrame(ITEMS, "item_id long, text string")).collect() == []
+
+
+def test_repeats_are_runs_not_pairs():
+    import time
+
+    import pyarrow as pa
+
+    items = tiling.Items([1], ["again " * 400])
+    for pairs in (tiling.PAIRS, 1000):
+        tiling.PAIRS, before = pairs, tiling.PAIRS
+        try:
+            assert items.judge(pa.array(["again " * 600, "x " + "again " * 100 + "y"], pa.large_string())) == [[(1, 1.0)], [(1, 0.25)]]
+        finally:
+            tiling.PAIRS = before
+    start = time.time()
+    assert items.judge(pa.array(["again " * 5000], pa.large_string())) == [[(1, 1.0)]]
+    assert time.time() - start < 3
+    same = " ".join(f"pre{k}" for k in range(15))
+    many = tiling.Items(list(range(2000)), [f"{same} " + " ".join(f"i{n}w{k}" for k in range(20)) for n in range(2000)])
+    start = time.time()
+    got = many.judge(pa.array([f"{same} t{k} " + " ".join(f"i7w{x}" for x in range(15)) for k in range(50)], pa.large_string()))
+    assert all(max(c for _, c in g) == pytest.approx(30 / 35) and [i for i, c in g if c >= 0.8] == [7] for g in got)
+    assert time.time() - start < 5
