@@ -3,7 +3,7 @@
 A double becomes a 64-bit integer in the same order (:func:`ordered_bits`).  Each pass counts the rows per cell of
 16 more bits (one combined aggregate for all groups and probabilities), a running count over the cells of a
 group finds the cell of every wanted rank, and the next pass counts only rows of those cells.  A cell whose smallest and
-largest value are equal is done, so four passes are the most.
+largest value are equal is done, so four passes are the most; once few rows are left in the wanted cells, one more pass ends it.
 
 What is shuffled are cells, never rows: at most 65,536 a group (or wanted cell) and pass, however many rows there are.
 Groups that overlap (training windows of several years) are counted once per part, and the parts' cells
@@ -23,6 +23,8 @@ from ..session import materialize
 #: Wanted (group, probability) rows up to which they are broadcast (under 100 bytes each).
 BROADCAST_ROWS = 500_000
 BITS = 16
+#: Rows in the wanted cells up to which the next pass is the last, with a cell a value.
+LAST_ROWS = 1_000_000
 
 
 def ordered_bits(x: Column) -> Column:
@@ -70,38 +72,40 @@ def select(long: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Colum
     whole = isinstance(long.schema[value].dataType, T.LongType)
     rows = long.select(*base, F.col(value).cast("bigint" if whole else "double").alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
     rows = rows.withColumn("_b", F.col("_x") if whole else ordered_bits(F.col("_x")))
-    found, wanted = None, None
-    for shift in range(64 - BITS, -1, -BITS):
+    found, wanted, asked_rows, shift, above = None, None, 0, 64 - BITS, 64
+    while True:
         part, cell = rows, F.shiftright("_b", shift)
         if wanted is not None:
-            open_cells = materialize(wanted.select(*[F.col(k).alias(f"_k_{k}") for k in shared], F.col("_cell").alias("_open")).distinct())
-            open_cells = F.broadcast(open_cells) if open_cells.count() <= BROADCAST_ROWS else open_cells
-            part = rows.join(open_cells, [*_same(shared, [f"_k_{k}" for k in shared]), F.shiftright("_b", shift + BITS) == F.col("_open")], "left_semi")
+            open_cells = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in shared], F.col("_cell").alias("_open")).distinct()
+            open_cells = F.broadcast(open_cells) if asked_rows <= BROADCAST_ROWS else open_cells
+            part = rows.join(open_cells, [*_same(shared, [f"_k_{k}" for k in shared]), F.shiftright("_b", above) == F.col("_open")], "left_semi")
         cells = part.groupBy(*base, cell.alias("_cell")).agg(F.sum("_w").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         if spread is not None:
             cells = spread(cells).groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-        parent = F.shiftright("_cell", BITS) if wanted is not None else F.lit(0).cast("bigint")
+        parent = F.shiftright("_cell", above - shift) if wanted is not None else F.lit(0).cast("bigint")
         of_parent = Window.partitionBy(*keys, "_parent")
         cells = cells.withColumn("_parent", parent).withColumn(
             "_before", F.sum("_n").over(of_parent.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         if wanted is None:
             cells = cells.withColumn("_total", F.sum("_n").over(of_parent))
             held = F.filter(ranks(F.col("_total")), lambda r: (r["_rank"] >= F.col("_before")) & (r["_rank"] < F.col("_before") + F.col("_n")))
-            hits = cells.select(*keys, "_cell", "_low", "_high", "_before", F.explode(held).alias("_r"))
-            hits = hits.select(*keys, "_r._p", "_r._h", "_r._side", (F.col("_r._rank") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
+            hits = cells.select(*keys, "_cell", "_n", "_low", "_high", "_before", F.explode(held).alias("_r"))
+            hits = hits.select(*keys, "_r._p", "_r._h", "_r._side", (F.col("_r._rank") - F.col("_before")).alias("_rank"), "_cell", "_n", "_low", "_high")
         else:
             asked = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_p", "_h", "_side", F.col("_rank").alias("_asked"), F.col("_cell").alias("_open"))
-            asked = F.broadcast(asked) if wanted.count() <= BROADCAST_ROWS else asked
+            asked = F.broadcast(asked) if asked_rows <= BROADCAST_ROWS else asked
             hits = cells.join(asked, [*_same(keys, [f"_k_{k}" for k in keys]), F.col("_parent") == F.col("_open"),
                                       F.col("_asked") >= F.col("_before"), F.col("_asked") < F.col("_before") + F.col("_n")])
-            hits = hits.select(*keys, "_p", "_h", "_side", (F.col("_asked") - F.col("_before")).alias("_rank"), "_cell", "_low", "_high")
+            hits = hits.select(*keys, "_p", "_h", "_side", (F.col("_asked") - F.col("_before")).alias("_rank"), "_cell", "_n", "_low", "_high")
         hits = materialize(hits)
         done = hits.where(F.col("_low") == F.col("_high")).select(*keys, "_p", "_h", "_side", F.col("_low").alias("_v"), F.col("_rank").alias("_tie"))
         found = done if found is None else found.unionByName(done)
         wanted = hits.where(F.col("_low") != F.col("_high"))
-        if wanted.isEmpty():
-            break
-    return found
+        left = wanted.agg(F.count(F.lit(1)).alias("asked"), F.sum("_n").alias("rows")).first()
+        if not left["asked"]:
+            return found
+        # Few rows are left in the open cells: their values themselves are the last cells.
+        asked_rows, above, shift = left["asked"], shift, 0 if left["rows"] <= LAST_ROWS else shift - BITS
 
 
 def interpolated(found: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -41,9 +41,10 @@ def frame(spark):
     return groups, spark.createDataFrame(rows, "g string, v double").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [radix.BROADCAST_ROWS, 0])
-def test_quantiles_of_groups(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, last", [(radix.BROADCAST_ROWS, radix.LAST_ROWS), (0, radix.LAST_ROWS), (radix.BROADCAST_ROWS, 0), (0, 0)])
+def test_quantiles_of_groups(spark, monkeypatch, limit, last):
     monkeypatch.setattr(radix, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(radix, "LAST_ROWS", last)
     groups, df = frame(spark)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     got = {(r["g"], r["p"]): r["value"] for r in Q.quantiles(df, ["v"], probs, ["g"]).collect()}
