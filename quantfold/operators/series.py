@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def align_series(left: DataFrame, right: DataFrame, on: str = "time") -> DataFrame:
-    """Rows of both series at the times they share; raises ValueError if they share none."""
-    out = left.join(right, on, "inner")
+    """Rows of both series at the times they share; raises ValueError if they share none.
+
+    The joined rows are written once, so the check and the caller's job don't both run the join."""
+    out = materialize(left.join(right, on, "inner"))
     if out.isEmpty():
         raise ValueError("the series do not overlap: no common time")
     return out

@@ -8,6 +8,7 @@ written as Parquet into the shared folder named by ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,22 +57,62 @@ def read_rates(spark: SparkSession, sources: dict[str, str], date_col: str = "TI
 
 
 def combine_series(frames: Sequence[DataFrame], on: str = "time", how: str = "outer") -> DataFrame:
-    """Join several series on the time column (each frame keyed uniquely by ``on``)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, on=on, how=how)
-    return out
+    """Several series side by side on the time column (each frame keyed uniquely by ``on``; other column names differ).
+
+    Any number of frames meets in one shuffle: rows of all of them are grouped by time (``outer``: times of any frame,
+    ``inner``: of every frame).  Rows without a time match none, as in a join."""
+    frames = list(frames)
+    names = [c for f in frames for c in f.columns if c != on]
+    if len(set(names)) < len(names):
+        raise ValueError("the series share column names")
+    if how not in ("outer", "inner"):
+        raise ValueError(f"how must be outer or inner, not {how!r}")
+    marked = [f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)]
+    rows = marked[0]
+    for f in marked[1:]:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    cols = [F.col(f"`{c}`") for c in names]
+    together = rows.where(F.col(on).isNotNull()).groupBy(on).agg(*[F.first(c, ignorenulls=True).alias(n) for c, n in zip(cols, names)], F.count_distinct("_frame").alias("_frames"))
+    if how == "inner":
+        return together.where(F.col("_frames") == len(frames)).drop("_frames")
+    return together.drop("_frames").unionByName(rows.where(F.col(on).isNull()).select(on, *cols))
+
+
+def _commits(spark: SparkSession, target: str) -> DataFrame | None:
+    """The commit records of a stage, newest first, or None."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("version long, folder string").json(f"{target}/commits").orderBy(F.desc("version"), F.desc("folder"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> str:
-    """Write an inter-stage table as Parquet (the reference pickled its caches)."""
-    target = path or stage_path(df.sparkSession, name)
-    w = df.write.mode("overwrite")
+    """Write an inter-stage table as Parquet (the reference pickled its caches).
+
+    Every write goes to a folder of its own and counts once its commit record is there, so a failed rewrite leaves
+    the table as it was, and a job that reads it meanwhile keeps its files.  Earlier versions stay on disk."""
+    spark, target = df.sparkSession, path or stage_path(df.sparkSession, name)
+    folder = f"data-{uuid.uuid4().hex}"
+    w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(target)
+    w.parquet(f"{target}/{folder}")
+    before = _commits(spark, target)
+    last = before.first() if before is not None else None
+    record = spark.createDataFrame([((last["version"] if last else 0) + 1, folder)], "version long, folder string")
+    record.coalesce(1).write.mode("append").json(f"{target}/commits")
     return target
 
 
 def read_stage(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
-    return spark.read.parquet(path or stage_path(spark, name))
+    """The last committed version of a stage."""
+    target = path or stage_path(spark, name)
+    found = _commits(spark, target)
+    last = found.first() if found is not None else None
+    if last is None:
+        raise FileNotFoundError(f"no stage has been committed at {target}")
+    return spark.read.parquet(f"{target}/{last['folder']}")

@@ -99,14 +99,16 @@ def test_backtest_solver_is_numpy_on_sixty_features(spark):
     from quantfold.operators import backtest
 
     rng = np.random.default_rng(5)
-    names = [f"f{i}" for i in range(60)]
     x = rng.normal(size=(900, 60))
     y = x @ rng.normal(size=60) + rng.normal(size=900) + 3
     grp = np.array([f"cv{i % 5}" for i in range(600)] + ["m0"] * 150 + ["m1"] * 150)
-    rows = [(1, str(g), int(i % 3), float(b), 1.0, *map(float, a)) for i, (g, a, b) in enumerate(zip(grp, x, y))]
-    df = spark.createDataFrame(rows, "fold int, grp string, part int, y double, weight double, " + ", ".join(f"{c} double" for c in names))
-    sums = df.repartition(2, "fold", "grp", "part").sortWithinPartitions("fold", "grp", "part").mapInPandas(backtest._grams(names), "fold int, grp string, v array<double>")
-    got = sums.groupBy("fold").applyInPandas(backtest._solver(names, (1e-2, 50.0), 5), "fold int, feature string, coef double, best_alpha double, best_cv_mse double").toPandas()
+    part = [int(g[2:]) if g.startswith("cv") else -1 for g in grp]
+    rows = [(1, c, {int(g[1:]): 1} if c < 0 else None, list(map(float, a)), float(b)) for g, c, a, b in zip(grp, part, x, y)]
+    df = spark.createDataFrame(rows, "fold int, cv int, times map<int,bigint>, x array<double>, y double").repartition(3)
+    test = spark.createDataFrame([(1, i, "d", [float(i == j) for j in range(60)], 0.0) for i in range(-1, 60)], "fold int, gvkey int, datadate string, x array<double>, y double")
+    preds, record = backtest._ridge(df, test, 60, (1e-2, 50.0), 5, 2, ("gvkey", "datadate"))
+    at = {r["gvkey"]: r["y_predicted"] for r in preds.collect()}
+    got = record.toPandas()
 
     def ridge(on, alpha):
         a = np.hstack([np.ones((on.sum(), 1)), x[on]])
@@ -122,4 +124,35 @@ def test_backtest_solver_is_numpy_on_sixty_features(spark):
     best = min(scores, key=scores.get)
     want = np.mean([ridge(grp == m, best) for m in ("m0", "m1")], axis=0)
     assert got["best_alpha"].iloc[0] == best and abs(got["best_cv_mse"].iloc[0] - scores[best]) < 1e-8
-    assert np.allclose(got.set_index("feature").loc[["_intercept", *names], "coef"], want, atol=1e-8)
+    # The prediction at 0 is the intercept, at a unit vector the intercept and one coefficient.
+    assert np.allclose([at[-1], *[at[i] - at[-1] for i in range(60)]], want, atol=1e-8)
+
+
+def test_a_failed_rewrite_leaves_the_stage(spark, tmp_path):
+    from quantfold.sources import read_stage, write_stage
+
+    path = str(tmp_path / "stage")
+    with pytest.raises(FileNotFoundError):
+        read_stage(spark, "x", path)
+    write_stage(spark.range(10), "x", path=path)
+    held = read_stage(spark, "x", path)
+    with pytest.raises(Exception, match="broken"):
+        write_stage(spark.range(20).withColumn("id", F.when(F.col("id") == 15, F.raise_error(F.lit("broken"))).otherwise(F.col("id"))), "x", path=path)
+    assert read_stage(spark, "x", path).count() == 10
+    write_stage(spark.range(30).withColumn("k", F.col("id") % 3), "x", ["k"], path=path)
+    assert read_stage(spark, "x", path).count() == 30 and held.count() == 10
+
+
+def test_many_series_side_by_side(spark):
+    from quantfold.sources import combine_series
+
+    frames = [spark.createDataFrame([(t, float(10 * k + t)) for t in range(k, 6)] + ([(None, -1.0)] if k == 1 else []), f"time int, v{k} double") for k in range(5)]
+    got = {r["time"]: r for r in combine_series(frames).collect()}
+    assert set(got) == {None, 0, 1, 2, 3, 4, 5} and got[None]["v1"] == -1.0
+    for t in range(6):
+        assert [got[t][f"v{k}"] for k in range(5)] == [10.0 * k + t if t >= k else None for k in range(5)]
+    assert sorted(r["time"] for r in combine_series(frames, how="inner").collect()) == [4, 5]
+    plan = combine_series(frames)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    with pytest.raises(ValueError, match="share"):
+        combine_series([frames[0], frames[0]])
