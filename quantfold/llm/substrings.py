@@ -36,6 +36,8 @@ from .common import large, merged, slices, stored, tidy, words
 SIZE, BATCH, RANGE_BYTES, BROADCAST_BYTES = 13, 8 << 20, 8 << 20, 32 << 20
 BASE = 0x9E3779B97F4A7C15  # any odd number
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Ranges that one batch writes to; more ranges are dealt in levels, like the digits of their numbers in this base.
+FAN = 2048
 HEAD = struct.Struct("<qqBBB")
 PACKED = "bucket int, payload binary"
 SPANS = "doc_id long, spans array<struct<start:int,end:int>>"
@@ -153,28 +155,57 @@ def _rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.binary())], names=["bucket", "payload"])
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``SPANS``: word intervals of each document that windows starting in a smaller doc_id cover."""
+def repeated_spans(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
+    """``SPANS``: word intervals of each document that windows starting in a smaller doc_id cover.
+
+    A batch writes at most ``fan`` rows of windows, however many ranges the corpus needs: beyond that its windows go to
+    ranges of ranges, and batches of those on to the next level."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(4, -(-total // range_bytes))
 
+    levels = 1
+    while fan**levels < ranges:
+        levels += 1
+
+    def emit(h: np.ndarray, doc: np.ndarray, position: np.ndarray, below: int) -> Iterator[pa.RecordBatch]:
+        """Windows that repeat are decided; of the others, sorted by hash, one row a range of ``fan ** below`` ranges."""
+        order = np.argsort(h, kind="stable")
+        h, doc, position = h[order], doc[order], position[order]
+        if not len(h):
+            return
+        later = _later(h, doc)
+        yield from ([_rows(v)] if (v := list(_verdicts(doc[later], position[later], ranges, size))) else [])
+        h, doc, position = h[~later], doc[~later], position[~later]
+        bucket = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64) // fan**below
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        out = [(int(bucket[a]), pack(h[a:z], doc[a:z], position[a:z])) for a, z in zip(first, [*first[1:], len(h)])]
+        for at in range(0, len(out), 64):
+            yield _rows(out[at : at + 64])
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in merged(batches, "text", BATCH):
             text, position, h = window_hashes(large(t["text"]), size)
-            doc = t["doc_id"].combine_chunks().to_numpy()[text]
-            order = np.argsort(h, kind="stable")
-            h, doc, position = h[order], doc[order], position[order]
-            if not len(h):
-                continue
-            later = _later(h, doc)
-            yield from ([_rows(v)] if (v := list(_verdicts(doc[later], position[later], ranges, size))) else [])
-            h, doc, position = h[~later], doc[~later], position[~later]
-            bucket = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(ranges + 1))
-            out = [(k, pack(h[a:z], doc[a:z], position[a:z])) for k, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if z > a]
-            for at in range(0, len(out), 64):
-                yield _rows(out[at : at + 64])
+            yield from emit(h, t["doc_id"].combine_chunks().to_numpy()[text], position, levels - 1)
+
+    def split(below: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size_held, now = [], 0, None
+            for b in batches:
+                for key, data in zip(b.column("bucket").to_pylist(), b.column("payload")):
+                    if key < 0:
+                        yield _rows([(key, data.as_py())])
+                        continue
+                    if held and (key != now or size_held > BATCH):
+                        yield from emit(*map(np.concatenate, zip(*map(unpack, held))), below)
+                        held, size_held = [], 0
+                    now = key
+                    held.append(data.as_py())
+                    size_held += len(held[-1])
+            if held:
+                yield from emit(*map(np.concatenate, zip(*map(unpack, held))), below)
+
+        return run
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _by_bucket(batches):
@@ -204,13 +235,15 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_B
             yield pa.RecordBatch.from_arrays([pa.array(doc[head]), lists], names=["doc_id", "spans"])
 
     packed = docs.mapInArrow(tidy(hashed), PACKED)
+    for below in reversed(range(levels - 1)):
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(split(below)), PACKED)
     counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(counted), PACKED)
     return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(joined), SPANS)
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, range_bytes: int = RANGE_BYTES, broadcast_bytes: int = BROADCAST_BYTES, fan: int = FAN) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` of every row; ``text``: the kept words, one space between."""
-    spans = stored(repeated_spans(docs, size, range_bytes), "repeated-spans")
+    spans = stored(repeated_spans(docs, size, range_bytes, fan), "repeated-spans")
     held = spans.agg(F.coalesce(F.sum(F.size("spans") * 8 + 40), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = rows.join(F.broadcast(spans) if held <= broadcast_bytes else spans, "doc_id", "left")

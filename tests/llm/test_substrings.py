@@ -53,6 +53,14 @@ def test_remove_repeats(frame, monkeypatch, broadcast_bytes):
     assert found(got) == by_force(rows, 13)
 
 
+@pytest.mark.parametrize("range_bytes, fan", [(20_000, 4), (300, 16), (300, 5)])
+def test_many_ranges_in_levels(frame, range_bytes, fan):
+    """More ranges than a batch may write to: the same result by two, three or four levels."""
+    rows = corpus(1)
+    got = substrings.remove_repeats(frame(rows).repartition(7), range_bytes=range_bytes, fan=fan)
+    assert found(got) == by_force(rows, 13)
+
+
 def test_empty_table(frame):
     assert found(substrings.remove_repeats(frame([]))) == []
 
