@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
 from ..functions.text import LABELS
+from ..session import materialize
 
 ANNUALIZATION = 252
 
@@ -127,8 +128,8 @@ def strategy_metrics(pnl: DataFrame, weights: DataFrame, periods: int = ANNUALIZ
 def run_strategy(preds: DataFrame, returns: DataFrame, codes: Sequence[str], horizon: str = "future",
                  periods: int = ANNUALIZATION) -> DataFrame:
     """Predictions + returns -> the five strategy metrics (counts, signal, weights, P&L, metrics)."""
-    w = portfolio_weights(sentiment_signal(daily_counts(preds, codes, horizon)))
-    pnl = execute_strategy(w, returns)
+    w = materialize(portfolio_weights(sentiment_signal(daily_counts(preds, codes, horizon))))  # dates x codes rows, read three times
+    pnl = materialize(execute_strategy(w, returns))  # a row a date
     return strategy_metrics(pnl, w, periods)
 
 
