@@ -54,7 +54,7 @@ def fold_statistics(df: DataFrame, features: Sequence[str], start: int, end: int
     Rows are counted per year; the cells of the quantile search are added up over each fold's years, so what
     is shuffled doesn't depend on the length of the window.  Winsorised values range from ``lo`` to ``hi``, so only their
     variance needs another pass, which keeps two sums per fold and feature and shuffles one row of them per task and fold."""
-    names = [f"_f{i}" for i in range(len(features))]  # the features' own names may clash with others
+    size = len(features)
     year = F.year(date)
     last = F.lit(end)
 
@@ -66,10 +66,10 @@ def fold_statistics(df: DataFrame, features: Sequence[str], start: int, end: int
 
     def aligned(found: DataFrame) -> DataFrame:  # one row a fold
         held = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))
-        return found.groupBy("fold").agg(held.alias("m")).select("fold", F.transform(F.array(*[F.lit(c) for c in names]), lambda c: F.try_element_at("m", c)).alias("bounds"))
+        return found.groupBy("fold").agg(held.alias("m")).select("fold", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("m", i)).alias("bounds"))
 
-    wide = df.select(year.alias("_y"), *[_finite(c).alias(n) for c, n in zip(features, names)])
-    long = wide.unpivot("_y", names, "feature", "x")
+    wide = df.select(year.alias("_y"), F.array(*[_finite(c) for c in features]).alias("_x"))
+    long = wide.select("_y", F.posexplode("_x").alias("feature", "x"))  # a feature is its number
     trained = long.where(F.col("x").isNotNull() & in_reach(F.col("_y")))
     found = radix.select(trained, ["fold", "feature"], lambda n: radix.quantile_ranks([lower, upper], n), base=["_y", "feature"], spread=folds_of)
     q = radix.interpolated(found, ["fold", "feature"])
@@ -84,11 +84,11 @@ def fold_statistics(df: DataFrame, features: Sequence[str], start: int, end: int
 
     rows = folds_of(wide.where(in_reach(F.col("_y")))).join(F.broadcast(lists), "fold")  # a row a fold: bounded by the years
     sums = []
-    for i, c in enumerate(names):
-        off = F.least(F.greatest(F.col(c), F.col("_b")[i]["lo"]), F.col("_b")[i]["hi"]) - F.col("_b")[i]["lo"]
-        off = F.when(F.col(c).isNotNull(), off)
-        sums.append(F.array(F.count(off).cast("double"), F.sum(off), F.sum(off * off)).alias(c))
-    moments = rows.groupBy("fold").agg(*sums).unpivot("fold", names, "feature", "m")
+    for i in range(size):
+        x, at = F.get("_x", F.lit(i)), F.get("_b", F.lit(i))
+        off = F.when(x.isNotNull(), F.least(F.greatest(x, at["lo"]), at["hi"]) - at["lo"])
+        sums.append(F.struct(F.lit(i).alias("feature"), F.array(F.count(off).cast("double"), F.sum(off), F.sum(off * off)).alias("m")))
+    moments = rows.groupBy("fold").agg(F.array(*sums).alias("s")).select("fold", F.inline("s"))
     n, s, ss = (F.col("m")[k] for k in range(3))
     spread = q.join(moments, ["fold", "feature"]).withColumn("_v", F.when(n > 1, (ss - s * s / n) / (n - 1)))
     spread = materialize(spread.where(F.col("_v") > var_min).select("fold", "feature", "lo", "hi", "_v"))
