@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is a bag of paragraphs: its lines, long ones cut after words chosen by their own bytes (so that an edit moves
-no cut elsewhere), lines under ``SHORT`` bytes word by word.  The pieces cover the text; each has a 64-bit
+no cut elsewhere), lines under ``SHORT`` bytes and texts of up to ``SMALL`` word by word.  The pieces cover the text; each has a 64-bit
 digest, and the n-th occurrence of a piece has a digest of its own.
 
 A sketch of ``m`` cells adds each digest to one cell of each of its three parts: a count, the sum of
@@ -37,6 +37,8 @@ from .common import merged, slices, stored, tidy
 
 #: Cells of a fingerprint; bytes of a line that is cut word by word; one of so many words ends a piece of a longer line.
 CELLS, SHORT, WORDS = 12, 64, 6
+#: Texts of up to so many bytes are cut word by word, so that half of a short text is more than one piece.
+SMALL = 256
 SLICE = 2 << 20
 #: Text of a block, and the most blocks (their bounds are one array in the plan).
 BLOCK_BYTES, MAX_BLOCKS = 8 << 20, 1 << 16
@@ -66,7 +68,8 @@ def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, 9):
         at = space - k
         tail |= np.where(at >= begin, byte[np.maximum(at, 0)], 0).astype(np.uint64) << np.uint64(8 * (k - 1))
-    cut = (_mix(tail, 7) % np.uint64(WORDS) == 0) | (line_end[line] - begin < SHORT)
+    small = np.array([len(t) <= SMALL for t in texts], bool)[np.searchsorted(text_end, space)]
+    cut = (_mix(tail, 7) % np.uint64(WORDS) == 0) | (line_end[line] - begin < SHORT) | small
     after = np.union1d(space[cut], line_end) + 1  # a piece ends behind its white space
     joint = text_end + 1
     joins = np.zeros(len(data) + 1, np.int64)

@@ -30,7 +30,7 @@ def pieces(text):
         for at, byte in enumerate(line):
             if byte == 32:
                 tail = int.from_bytes(line[max(0, at - 8) : at], "big")
-                if len(line) < versions.SHORT or mix(tail, 7) % versions.WORDS == 0:
+                if len(data) <= versions.SMALL or len(line) < versions.SHORT or mix(tail, 7) % versions.WORDS == 0:
                     out.append(line[start : at + 1])
                     start = at + 1
         rest = line[start:] + (b"\n" if i + 1 < len(lines) else b"")
