@@ -30,6 +30,8 @@ from .common import fresh, large, slices, stored, tidy, with_text_hash, without_
 from .graph import components
 
 SHINGLE, DISTANCE, SEED, CHUNK = 3, 3, 42, 1024
+#: Rows of a table of fingerprints or components (40 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +125,14 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
     return pairs.union(lists.where(F.size("fps") > 1).select("fps").mapInArrow(lambda x: forest(x, distance), "a long, b long"))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """``rows`` (with doc_id and text_hash) joined to a stored ``table`` of one row a key; a key of many rows is dealt to ``salts`` tasks."""
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), key)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int"))
+    return salted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"]).drop("salt")
+
+
 def grouped(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, text_hash, fp, root, component_id`` for every row of ``docs`` (doc_id, text); root: a fingerprint that names the component."""
     rows = with_text_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -133,7 +143,8 @@ def grouped(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, seed
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("smallest"))
     of = distinct.join(linked.join(smallest, "root").select("fp", "root", "smallest"), "fp", "left")
     component = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("smallest"))
-    return prints.join(of.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    of = stored(of.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")), "of-fingerprints")
+    return looked_up(prints, of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -147,9 +158,9 @@ def first_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> Da
     rows = stored(grouped(docs, **how), "grouped")
     keys = rows.groupBy("doc_id", "text_hash", "fp", "root", "component_id").agg(F.count("*").alias("n"))
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = keys.where(own).groupBy("root").agg(F.min(F.struct("fp", "text_hash")).alias("first"))
+    first = stored(keys.where(own).groupBy("root").agg(F.min(F.struct("fp", "text_hash")).alias("first")), "first-rows")
     is_first = own & (F.struct("fp", "text_hash") == F.col("first"))
-    named = stored(keys.join(first, "root").select("doc_id", "text_hash", "n", is_first.alias("stays")), "row-keys")
+    named = stored(looked_up(keys, first, "root").select("doc_id", "text_hash", "n", is_first.alias("stays")), "row-keys")
     kept = without_rows(docs, named.where("not stays"), broadcast_rows)
     repeated = named.where("stays and n > 1").select("doc_id", "text_hash")
     if repeated.isEmpty():

@@ -92,3 +92,16 @@ def test_first_of_each(frame):
         got = sorted((str(r["doc_id"]), f"{fingerprint(r['text']):016x}") for r in kept.collect())
         assert len(got) == len({of[x] if x[0] != "None" else x for x in got}) + 1  # id 3000 names two components
         assert set(got) <= set(want) and {of[x] for x in got} == {of[x] for x in want}
+
+
+def test_hot_fingerprints_are_salted(frame, monkeypatch):
+    from functools import partial
+
+    rows = corpus(4) + [(5000 + i, "the very same words in very many rows") for i in range(200)]
+    want, kept = found(simhash.near_duplicates(frame(rows))), found_rows(simhash.first_of_each(frame(rows)))
+    monkeypatch.setattr(simhash, "looked_up", partial(simhash.looked_up, broadcast_rows=-1, salts=5))
+    assert found(simhash.near_duplicates(frame(rows))) == want and found_rows(simhash.first_of_each(frame(rows))) == kept
+
+
+def found_rows(df):
+    return sorted(map(str, df.collect()))
