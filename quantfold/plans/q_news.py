@@ -121,6 +121,15 @@ def asof_forward(spark, sf_dir):
     return asof_join(left, _urgent(spark, sf_dir), "o_orderdate", "d", "forward")
 
 
+@register("asof_backward_tolerance", f"""
+SELECT l.o_orderkey, l.o_orderdate, CASE WHEN l.o_orderdate - r.d <= INTERVAL 1 DAY THEN r.d END AS d
+FROM orders l ASOF LEFT JOIN {_URGENT} r ON l.o_orderdate >= r.d""", ops=("C13",))
+def asof_backward_tolerance(spark, sf_dir):
+    """Matches of at most a day."""
+    left = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return asof_join(left, _urgent(spark, sf_dir), "o_orderdate", "d", "backward", tolerance=dt.timedelta(days=1))
+
+
 @register("asof_forward_by", f"""
 SELECT l.o_orderkey, l.o_custkey, l.o_orderdate, r.d FROM orders l ASOF LEFT JOIN {_URGENT_BY} r
   ON l.o_custkey = r.o_custkey AND l.o_orderdate <= r.d""", ops=("C12", "C16"))

@@ -232,3 +232,16 @@ def test_drop_null_columns_threshold(spark):
     assert quality.drop_null_columns(df, 0.5).columns == ["a"]
     with pytest.raises(ValueError):
         quality.drop_null_columns(df, 1.5)
+
+
+def test_columns_in_their_order(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "n int, s string, x double")
+    assert quality.columns(df) == ["n", "s", "x"] and quality.numeric_columns(df) == ["n", "x"]
+    assert quality.numeric_columns(df, ["x", "missing", "s"]) == ["x"]
+
+
+def test_asof_within_a_tolerance(spark):
+    left = spark.createDataFrame([(1, 10), (2, 13), (3, 20), (4, 5)], "id int, k int")
+    right = spark.createDataFrame([(9, "a"), (12, "b")], "k int, v string")
+    got = {r["id"]: (r["m"], r["v"]) for r in asof.asof_join(left, right, "k", "k", "backward", tolerance=1, match_col="m").collect()}
+    assert got == {1: (9, "a"), 2: (12, "b"), 3: (None, None), 4: (None, None)}
