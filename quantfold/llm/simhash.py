@@ -30,8 +30,8 @@ from .common import fresh, large, slices, stored, tidy, with_text_hash, without_
 from .graph import components
 
 SHINGLE, DISTANCE, SEED, CHUNK = 3, 3, 42, 1024
-#: Rows of a table of fingerprints or components (40 bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 500_000
+#: A fingerprint or component is hot if it has more rows than this and more than this share of all rows.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +125,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
     return pairs.union(lists.where(F.size("fps") > 1).select("fps").mapInArrow(lambda x: forest(x, distance), "a long, b long"))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
-    """``rows`` (with doc_id and text_hash) joined to a stored ``table`` of one row a key; a key of many rows is dealt to ``salts`` tasks."""
-    if table.count() <= broadcast_rows:
-        return rows.join(F.broadcast(table), key)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int"))
-    return salted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"]).drop("salt")
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Stored ``rows`` joined to a stored ``table`` of one row a key.
+
+    Keys of more than ``hot_rows`` rows and of more than 1 / ``hot_keys`` of all rows, so fewer than ``hot_keys``, are looked up in a
+    broadcast of their table rows; the others are shuffled."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(hot_rows, rows.count() // hot_keys))
+    hot = stored(table.join(F.broadcast(hot.select(key)), key, "left_semi"), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key))
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
@@ -156,7 +160,7 @@ def first_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> Da
     """One row of ``docs`` of each component: of its smallest doc_id (null if it has no other) and, where rows
     with other texts repeat that id, of the smallest fingerprint and text hash."""
     rows = stored(grouped(docs, **how), "grouped")
-    keys = rows.groupBy("doc_id", "text_hash", "fp", "root", "component_id").agg(F.count("*").alias("n"))
+    keys = stored(rows.groupBy("doc_id", "text_hash", "fp", "root", "component_id").agg(F.count("*").alias("n")), "distinct-rows")
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = stored(keys.where(own).groupBy("root").agg(F.min(F.struct("fp", "text_hash")).alias("first")), "first-rows")
     is_first = own & (F.struct("fp", "text_hash") == F.col("first"))

@@ -94,12 +94,12 @@ def test_first_of_each(frame):
         assert set(got) <= set(want) and {of[x] for x in got} == {of[x] for x in want}
 
 
-def test_hot_fingerprints_are_salted(frame, monkeypatch):
+def test_hot_fingerprints_are_looked_up_apart(frame, monkeypatch):
     from functools import partial
 
     rows = corpus(4) + [(5000 + i, "the very same words in very many rows") for i in range(200)]
     want, kept = found(simhash.near_duplicates(frame(rows))), found_rows(simhash.first_of_each(frame(rows)))
-    monkeypatch.setattr(simhash, "looked_up", partial(simhash.looked_up, broadcast_rows=-1, salts=5))
+    monkeypatch.setattr(simhash, "looked_up", partial(simhash.looked_up, hot_rows=20))
     assert found(simhash.near_duplicates(frame(rows))) == want and found_rows(simhash.first_of_each(frame(rows))) == kept
 
 
