@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged_take, words
+from .common import give_back, ragged_take, words
 
 # The pre-token pattern of the file, for words of the plain characters only.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
@@ -38,6 +38,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for a file, loaded once per Python worker."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+        give_back()  # what the file's lists and the check of its ranks took
     return _LOADED[path]
 
 
@@ -70,9 +71,11 @@ def by_rank(said: dict, pattern: str):
     for ends in (False, True) if suffix else (False,):
         own = {t: i for t, i in vocab.items() if t not in special and bool(suffix and t.endswith(suffix)) == ends}
         coder = Tokenizer.from_str(json.dumps(plain if not ends else plain | {"model": model}))
-        got = coder.encode_batch_fast([t.removesuffix(suffix) if ends else t for t in own], add_special_tokens=False)
-        if any(e.ids != [i] for e, i in zip(got, own.values())):
-            return None
+        names, ids = [t.removesuffix(suffix) if ends else t for t in own], list(own.values())
+        for at in range(0, len(names), 2000):
+            got = coder.encode_batch_fast(names[at : at + 2000], add_special_tokens=False)
+            if any(e.ids != [i] for e, i in zip(got, ids[at : at + 2000])):
+                return None
     ranks = {}
     for t, i in vocab.items():
         whole = bool(suffix) and t.endswith(suffix)
@@ -97,8 +100,9 @@ class Encoder:
                         and said["model"].get("end_of_word_suffix") == "</w>" and not said.get("post_processor"))
         self.special = [x["content"] for x in said.get("added_tokens", [])]
         self.ranks = by_rank(said, f"[^{END}]+{END}") if self.by_word else None
-        self.model = Tokenizer(self.full.model)  # pre-tokens separated by spaces
-        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not self.ranks:
+            self.model = Tokenizer(self.full.model)  # pre-tokens separated by spaces
+            self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.full.get_vocab_size(), bool)
         self.ends[[i for x, i in self.full.get_vocab().items() if x.endswith("</w>")]] = True
         self._forget()
