@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import large, merged, stored, tidy
 from .tokens import encoder
 
-SIZE = 2048
+SIZE, SLICE = 2048, 4 << 20
 #: ``ids``: little-endian, 2 bytes an id if the vocabulary allows it, else 4.
 PIECES = "doc_id long, start long, length int, doc_tokens long, task int, nth long, ids binary"
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for t in merged(batches, "text", 5 << 20):
+        for t in merged(batches, "text", SLICE):
             offsets, ids = code.encode(large(t["text"]))
             ids = np.insert(ids, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))

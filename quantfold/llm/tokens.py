@@ -29,7 +29,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "\x01"
 
 #: Pre-tokens whose ids a Python worker remembers between slices.
-MEMORY = 150_000
+MEMORY = 100_000
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -91,7 +91,8 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.full = Tokenizer.from_file(path)
+        full = Tokenizer.from_file(path)
+        self.path, self._full = path, None
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         steps = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
@@ -101,12 +102,23 @@ class Encoder:
         self.special = [x["content"] for x in said.get("added_tokens", [])]
         self.ranks = by_rank(said, f"[^{END}]+{END}") if self.by_word else None
         if not self.ranks:
-            self.model = Tokenizer(self.full.model)  # pre-tokens separated by spaces
+            self.model = Tokenizer(full.model)  # pre-tokens separated by spaces
             self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.full.get_vocab_size(), bool)
-        self.ends[[i for x, i in self.full.get_vocab().items() if x.endswith("</w>")]] = True
+        self.ends = np.zeros(full.get_vocab_size(), bool)
+        self.ends[[i for x, i in full.get_vocab().items() if x.endswith("</w>")]] = True
+        if not self.by_word or not self.ranks:
+            self._full = full
         self._forget()
 
+    @property
+    def full(self):
+        """The library's tokenizer, loaded again when a word needs it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.path)
+        return self._full
+
     def _forget(self) -> None:
         """Number 0 is the line end between words, which has no ids."""
         self.known, self.starts, self.lens, self.flat = {"\n": 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -132,7 +144,7 @@ class Encoder:
         lower = pc.utf8_lower(distinct.filter(plain)).dictionary_encode()
         starts, ids = self._plain(lower.dictionary.to_pylist())
         odd = distinct.filter(pc.invert(plain)).to_pylist()
-        odd_starts, odd_ids = _joined([x.ids for x in self.full.encode_batch_fast(odd, add_special_tokens=False)])
+        odd_starts, odd_ids = _joined([x.ids for x in self.full.encode_batch_fast(odd, add_special_tokens=False)] if odd else [])
         plain, which = plain.to_numpy(zero_copy_only=False), lower.indices.to_numpy()
         at, lens = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
         at[plain], lens[plain] = starts[:-1][which], np.diff(starts)[which]
