@@ -129,28 +129,61 @@ class Mlp:
 
     def fit(self, x, y, weight, params, seed):
         rnd = np.random.default_rng(seed)
-        model = self.start([x.shape[1], *params["hidden"], 1], rnd)
+        start = self.start([x.shape[1], *params["hidden"], 1], rnd)
+        flat = np.concatenate([w.ravel() for w in start])  # all parameters, so that a step of Adam is a few calls whatever the layers
+        grad, first, second, move, scale = (np.zeros_like(flat) for _ in range(5))
+        model, slopes, at = [], [], 0
+        for w in start:
+            model.append(flat[at : at + w.size].reshape(w.shape))
+            slopes.append(grad[at : at + w.size].reshape(w.shape))
+            at += w.size
+        last = len(model) - 2
         times = np.repeat(np.arange(len(x)), weight.astype(np.int64))
-        first, second = ([np.zeros_like(w) for w in model] for _ in range(2))
         best, waited, step = np.inf, 0, 0
         for _ in range(self.epochs):
             losses = []
             order = rnd.permutation(times)
-            for at in range(0, len(order), self.batch):
-                rows = order[at : at + self.batch]
-                loss, grads = self.gradients(model, x[rows], y[rows])
-                losses.append(loss)
-                step += 1
-                for w, g, m, v in zip(model, grads, first, second):
-                    g = g + params["alpha"] * w
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    w -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            for block in range(0, len(order), self.batch * 128):
+                rows = order[block : block + self.batch * 128]
+                drawn, wanted = x[rows], y[rows]
+                for at in range(0, len(rows), self.batch):
+                    out, ys = [drawn[at : at + self.batch]], wanted[at : at + self.batch]
+                    for k in range(0, last + 1, 2):
+                        z = out[-1] @ model[k]
+                        z += model[k + 1]
+                        out.append(np.maximum(z, 0, out=z) if k < last else z)
+                    off = out[-1][:, 0] - ys
+                    losses.append(float(off @ off / len(ys)))
+                    flow = (2 / len(ys)) * off[:, None]
+                    for k in range(last, -1, -2):
+                        below = out[k // 2]
+                        np.matmul(below.T, flow, out=slopes[k])
+                        np.add.reduce(flow, axis=0, out=slopes[k + 1])
+                        if k:
+                            flow = flow @ model[k].T
+                            flow *= below > 0
+                    step += 1
+                    np.multiply(flat, params["alpha"], out=move)
+                    np.add(grad, move, out=grad)
+                    np.subtract(grad, first, out=move)
+                    move *= 0.1
+                    first += move
+                    np.multiply(grad, grad, out=grad)
+                    grad -= second
+                    grad *= 0.001
+                    second += grad
+                    np.divide(first, 1 - 0.9**step, out=move)
+                    move *= self.rate
+                    np.divide(second, 1 - 0.999**step, out=scale)
+                    np.sqrt(scale, out=scale)
+                    scale += 1e-8
+                    move /= scale
+                    flat -= move
             loss = float(np.mean(losses))
             best, waited = (loss, 0) if loss < best else (best, waited + 1)
             if waited >= self.patience:
                 break
-        return model
+        return [w.copy() for w in model]
 
     def predict(self, model, x):
         return self.forward(model, x)[-1][:, 0]

@@ -175,3 +175,27 @@ def test_the_network_learns():
     line = ES.Ridge((1e-5,))
     flat = line.fit(x, y, np.ones(800), line.grid[0], 1)
     assert np.mean((net.predict(model, x) - y) ** 2) < 0.5 * np.mean((line.predict(flat, x) - y) ** 2)
+
+
+def test_network_is_trained_step_by_step():
+    """The steps of Adam, written out on each layer, give the same numbers."""
+    rnd = np.random.default_rng(8)
+    x, net = rnd.random((210, 5)), ES.Mlp(epochs=4, patience=2)
+    y, weight = 2 * x[:, 0] - x[:, 1], rnd.integers(0, 3, 210).astype(float)
+    for params in net.grid:
+        got = net.fit(x, y, weight, params, 3)
+        rnd = np.random.default_rng(3)
+        want, step = ES.Mlp.start([5, *params["hidden"], 1], rnd), 0
+        first, second = ([np.zeros_like(w) for w in want] for _ in range(2))
+        for _ in range(4):
+            order = rnd.permutation(np.repeat(np.arange(210), weight.astype(int)))
+            for at in range(0, len(order), net.batch):
+                _, grads = ES.Mlp.gradients(want, x[order[at : at + net.batch]], y[order[at : at + net.batch]])
+                step += 1
+                for w, g, m, v in zip(want, grads, first, second):
+                    g = g + params["alpha"] * w
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    w -= net.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(got, want))
+        assert all(a.base is None for a in got)  # the model that travels is its own arrays
