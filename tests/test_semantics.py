@@ -245,3 +245,17 @@ def test_asof_within_a_tolerance(spark):
     right = spark.createDataFrame([(9, "a"), (12, "b")], "k int, v string")
     got = {r["id"]: (r["m"], r["v"]) for r in asof.asof_join(left, right, "k", "k", "backward", tolerance=1, match_col="m").collect()}
     assert got == {1: (9, "a"), 2: (12, "b"), 3: (None, None), 4: (None, None)}
+
+
+def test_tokenizer_gets_bounded_pieces():
+    """No piece of a batch is over the bound in bytes, but for a text that is longer by itself; no row is lost."""
+    import pyarrow as pa
+
+    from quantfold.operators import tokens as TK
+
+    texts = ["ä" * 9_000] * 100 + [None, "", "b" * (TK.PIECE + 1)] + ["c d"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "id"])
+    pieces = list(TK._pieces(batch.slice(1), "text"))
+    assert [i for p in pieces for i in p.column("id").to_pylist()] == list(range(1, len(texts)))
+    sizes = [sum(len((t or "").encode()) for t in p.column("text").to_pylist()) for p in pieces]
+    assert len(pieces) > 5 and all(n <= TK.PIECE or p.num_rows == 1 for n, p in zip(sizes, pieces))
