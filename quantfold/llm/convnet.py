@@ -1,7 +1,7 @@
 """A small convolutional text network in numpy: symbol embeddings, filters of several widths, max
-pooling over a text and a linear layer.  Training is plain Adam on one machine over a bounded
-sample; applying it needs only table lookups, because a filter over embedded symbols is a sum of
-one table row per position."""
+pooling over a text and a linear layer.  Training is plain Adam, over rows held together (``fit``) or
+step by step (``step``); applying it needs only table lookups, because a filter over embedded symbols
+is a sum of one table row per position."""
 
 from __future__ import annotations
 
@@ -73,22 +73,30 @@ class ConvNet:
     def fit(self, texts: list[np.ndarray], symbols: np.ndarray, loss_gradient, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0, vary=None) -> None:
         """``symbols``: the ``rows`` of ``pooled``; ``loss_gradient(rows, outputs)``: gradient by the outputs; ``vary(symbols, rnd)``: augmentation."""
         rnd, step = np.random.default_rng(seed), 0
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        moments = self.moments()
         total = epochs * -(-len(texts) // batch)
         for _ in range(epochs):
             order = rnd.permutation(len(texts))
             for a in range(0, len(order), batch):
                 rows = order[a : a + batch]
-                hidden, context = self.pooled(*self.laid([vary(texts[i], rnd) if vary else texts[i] for i in rows]), symbols)
-                g, used = self.gradients(loss_gradient(rows, hidden @ self.p["out"] + self.p["bias"]).astype(np.float32), hidden, context)
                 step += 1
-                now = rate * (1 - step / (total + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, x in g.items():
-                    on = used if k == "embed" else slice(None)
-                    m[k][on] += 0.1 * (x - m[k][on])
-                    v2[k][on] += 0.001 * (x * x - v2[k][on])
-                    self.p[k][on] -= now * m[k][on] / (np.sqrt(v2[k][on]) + 1e-8)
+                self.step(rows, [vary(texts[i], rnd) if vary else texts[i] for i in rows], symbols, loss_gradient, moments, step, rate * (1 - step / (total + 1)))
+
+    def moments(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Adam's averages before the first step."""
+        return {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    def step(self, rows: np.ndarray, texts: list[np.ndarray], symbols: np.ndarray, loss_gradient, moments, step: int, rate: float) -> None:
+        """The ``step``-th step (from 1) of Adam, on ``texts``, the texts of ``rows``."""
+        m, v2 = moments
+        hidden, context = self.pooled(*self.laid(texts), symbols)
+        g, used = self.gradients(loss_gradient(rows, hidden @ self.p["out"] + self.p["bias"]).astype(np.float32), hidden, context)
+        now = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for k, x in g.items():
+            on = used if k == "embed" else slice(None)
+            m[k][on] += 0.1 * (x - m[k][on])
+            v2[k][on] += 0.001 * (x * x - v2[k][on])
+            self.p[k][on] -= now * m[k][on] / (np.sqrt(v2[k][on]) + 1e-8)
 
     def laid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Texts one after another with their padding, and their starts."""

@@ -84,3 +84,37 @@ def test_no_labels_and_empty(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.toxicity_query(frame([(1, "a")]), none).collect()] == [0.0]
     assert toxicity.toxicity_query(frame([]), none).collect() == []
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    rows, labels = corpus(800)
+    rows[5] = (5, rows[5][1] + " en7" * 20_000, "en")  # whole, whatever its length
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame(labels + [(9999, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 400)
+    for limit in (1_000_000, 0):  # looked up by broadcast and by shuffle
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", limit)
+        got = toxicity.labelled_sample(docs, marks)
+        assert sorted((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == rows
+        assert got.select("shard").distinct().count() == 3
+    model = toxicity.train(got)
+    assert model["langs"] == ["de", "en"]
+    truth = {i: t for i, _, t in labels}
+    scored = toxicity.score(docs, model).collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in scored) >= 0.97 * len(scored)
+
+
+def test_thresholds_of_all_rows(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(3), round(rnd.gauss(0, 2), 1)) for _ in range(600)]
+    rows = [(own, x, int(own < 2 and rnd.random() < 1 / (1 + 2.7 ** -(x - own)))) for own, x in rows]
+    got = toxicity.best_thresholds(spark.createDataFrame(rows, "own int, logit double, toxic int"), range_rows=20)
+    for own in (-1, 0, 1, 2):
+        of = [(x, t) for k, x, t in rows if own in (k, -1)]
+        xs, hits, best = sorted({x for x, _ in of}, reverse=True), sum(t for _, t in of), None
+        for i, x in enumerate(xs):
+            above = [t for v, t in of if v >= x]
+            f = 1.25 * sum(above) / (len(above) + 0.25 * hits)
+            if best is None or f > best[0]:
+                best = (f, (x + xs[i + 1]) / 2 if i + 1 < len(xs) else x - 1)
+        assert got[own] == (pytest.approx(best[1]), hits), own
